@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import syntax
+from . import credentials, functions, syntax
 
 SQL: dict[str, str] = {}
 
@@ -17,6 +17,16 @@ def _arrow(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    _arrow(spark, 2000)
+    return functions.pair_entities(table(spark, base, "entity")).select("entity_id")
+
+
+def p1_pairs(spark: SparkSession, base: str) -> DataFrame:
+    _arrow(spark)
+    return functions.extract_functions(table(spark, base, "sourcecode"))
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     _arrow(spark)
     return syntax.find_unparsable(table(spark, base, "sourcecode")).selectExpr("id AS source_id")
@@ -27,7 +37,28 @@ def p2_rates(spark: SparkSession, base: str) -> DataFrame:
     return syntax.unparsable_rates(table(spark, base, "sourcecode"))
 
 
+def _credentials(spark: SparkSession, base: str) -> DataFrame:
+    return (
+        credentials.find_credentials(table(spark, base, "sourcecode")).selectExpr("'sourcecode' AS origin", "row_id", "line_no")
+        .unionByName(credentials.find_credentials(table(spark, base, "entity")).selectExpr("'entity' AS origin", "row_id", "line_no"))
+    )
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    _arrow(spark)
+    return _credentials(spark, base)
+
+
+def p7_redacted(spark: SparkSession, base: str) -> DataFrame:
+    _arrow(spark)
+    return credentials.redact(table(spark, base, "sourcecode")).withColumnRenamed("row_id", "source_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pairs": p1_pairs,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
 }
