@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import credentials, functions, syntax
+from . import credentials, functions, languages, syntax
 
 SQL: dict[str, str] = {}
 
@@ -37,6 +37,22 @@ def p2_rates(spark: SparkSession, base: str) -> DataFrame:
     return syntax.unparsable_rates(table(spark, base, "sourcecode"))
 
 
+def _languages(spark: SparkSession, base: str) -> DataFrame:
+    _arrow(spark)
+    logp = languages.train(table(spark, base, "documents"))
+    files = languages.text_languages(table(spark, base, "sourcecode"), logp)
+    comments = languages.text_languages(table(spark, base, "entity"), logp, kind="text", text_col="comment", filename_col=None)
+    return files.selectExpr("'sourcecode' AS origin", "*").unionByName(comments.selectExpr("'entity' AS origin", "*"))
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return _languages(spark, base).filter("lang <> 'en'").select("origin", "row_id", "lang")
+
+
+def p4_share(spark: SparkSession, base: str) -> DataFrame:
+    return _languages(spark, base)
+
+
 def _credentials(spark: SparkSession, base: str) -> DataFrame:
     return (
         credentials.find_credentials(table(spark, base, "sourcecode")).selectExpr("'sourcecode' AS origin", "row_id", "line_no")
@@ -59,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pairs": p1_pairs,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
+    "p4_found": p4_found,
+    "p4_share": p4_share,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,
 }
