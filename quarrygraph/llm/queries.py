@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import credentials, functions, languages, syntax
+from . import credentials, functions, languages, provenance, syntax
 
 SQL: dict[str, str] = {}
 
@@ -53,6 +53,19 @@ def p4_share(spark: SparkSession, base: str) -> DataFrame:
     return _languages(spark, base)
 
 
+def _produced(spark: SparkSession, base: str) -> DataFrame:
+    _arrow(spark, 500)
+    return provenance.produced_files(table(spark, base, "sourcecode"), table(spark, base, "library_file"))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return _produced(spark, base).filter("produced").selectExpr("file_id AS source_id")
+
+
+def p5_handwritten(spark: SparkSession, base: str) -> DataFrame:
+    return _produced(spark, base).filter("NOT produced").selectExpr("file_id AS source_id", "score")
+
+
 def _credentials(spark: SparkSession, base: str) -> DataFrame:
     return (
         credentials.find_credentials(table(spark, base, "sourcecode")).selectExpr("'sourcecode' AS origin", "row_id", "line_no")
@@ -77,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_rates": p2_rates,
     "p4_found": p4_found,
     "p4_share": p4_share,
+    "p5_found": p5_found,
+    "p5_handwritten": p5_handwritten,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,
 }
