@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -147,20 +148,25 @@ class Library:
 
     def __init__(self, texts: list[str]):
         self.words = [set(_IDENT.findall(x)) for x in texts if x]
-        self.of: dict[str, list[int]] = {}
-        for i, w in enumerate(self.words):
+        self.row: dict[str, int] = {}
+        for w in self.words:
             for x in w:
-                self.of.setdefault(x, []).append(i)
+                self.row.setdefault(x, len(self.row))
+        self.holds = np.zeros((len(self.row), len(self.words)), np.int32)
+        for i, w in enumerate(self.words):
+            self.holds[[self.row[x] for x in w], i] = 1
+        self.sizes = np.array([len(w) for w in self.words])
 
     def nearest(self, src: str) -> float:
         own = set(_IDENT.findall(src))
-        if len(own) < 10:
+        if len(own) < 10 or not self.words:
+            return 0.0
+        get = self.row.get
+        rows = [r for r in map(get, own) if r is not None]
+        if not rows:
             return 0.0
-        hits: Counter = Counter()
-        for w in own:
-            if w in self.of:
-                hits.update(self.of[w])
-        return max((c / (len(own) + len(self.words[i]) - c) for i, c in hits.items()), default=0.0)
+        shared = self.holds[rows].sum(0)
+        return float((shared / (len(own) + self.sizes - shared)).max())
 
 
 def _library_passes(library: DataFrame | None) -> list[Library]:
