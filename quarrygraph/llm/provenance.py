@@ -86,8 +86,8 @@ def states_produced(src: str, filename: str, lang: str, k: Skim) -> tuple[bool,
     return made, small, at
 
 
-def measures(src: str, k: Skim, at: int) -> list[float]:
-    """The FEATURES of the text behind its head."""
+def measures(src: str, k: Skim, at: int) -> tuple[list[float], Counter]:
+    """The FEATURES of the text behind its head, and its line forms with their counts."""
     body, code = src[at:], k.code[at:]
     raw = body.encode("utf-8", "replace")
     n = max(1, len(body))
@@ -95,52 +95,47 @@ def measures(src: str, k: Skim, at: int) -> list[float]:
     counts = Counter(idents)
     total = max(1, len(idents))
     entropy = -sum(c / total * math.log2(c / total) for c in counts.values())
-    lengths = [len(x) for x in idents] or [0]
-    mean = sum(lengths) / len(lengths)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths))
+    sizes = Counter(map(len, idents)) or Counter([0])
+    number = sum(sizes.values())
+    letters = sum(x * c for x, c in sizes.items())
+    mean = letters / number
+    spread = math.sqrt(sum(c * (x - mean) ** 2 for x, c in sizes.items()) / number)
     lines = body.split("\n")
     filled = [x for x in lines if x.strip()]
-    forms = [x for x in (y.strip() for y in _NUMBER.sub("9", _IDENT.sub("w", _FORM.sub("S", code))).split("\n")) if x]
+    forms = Counter(map(str.strip, _NUMBER.sub("9", _IDENT.sub("w", _FORM.sub("S", code))).split("\n")))
+    forms.pop("", None)
+    n_forms = sum(forms.values())
+    seen = len(code) - sum(map(code.count, " \n\t\r")) + sum(len(x) - 1 for x in _FORM.findall(code))
     comments = sum(e - s for s, e in k.comments if s >= at)
     literals = sum(e - s for s, e in k.strings if s >= at)
-    return [
+    values = [
         len(zlib.compress(raw, 1)) / max(40, len(raw)),
         entropy,
         mean,
         spread,
         comments / n,
-        len(set(forms)) / max(1, len(forms)),
+        len(forms) / max(1, n_forms),
         sum(map(code.count, "0123456789")) / n,
         literals / n,
         sum(map(len, filled)) / max(1, len(filled)),
         math.log1p(max(map(len, lines), default=0)),
-        math.log1p(len(forms)),
-        sum(x <= 2 for x in lengths) / len(lengths),
-        values_share(code),
-        max(Counter(forms).values(), default=0) / max(1, len(forms)),
+        math.log1p(n_forms),
+        sum(c for x, c in sizes.items() if x <= 2) / number,
+        1 - letters / max(1, seen),
+        max(forms.values(), default=0) / max(1, n_forms),
     ]
+    return values, forms
 
 
-def values_share(code: str) -> float:
-    """The part of the code's characters, blanks aside, that belongs to literals and what separates them."""
-    seen = len(code) - sum(map(code.count, " \n\t\r")) + (held := sum(len(x) - 1 for x in _FORM.findall(code)))
-    rest = sum(map(len, _IDENT.findall(code)))
-    return 1 - rest / max(1, seen) if held >= 0 else 0.0
-
-
-def mostly_literals(values: list[float], k: Skim, at: int) -> bool:
-    """Whether the file is a table: four fifths literals over a thousand characters, or thirty lines, four of
-    five alike, with three literals or more each."""
-    code = k.code[at:]
-    size = len(code.strip())
+def mostly_literals(values: list[float], forms: Counter, size: int) -> bool:
+    """Whether the file is a table: four fifths of its characters literals and separators, over a thousand
+    characters, or thirty lines, few forms among them, four of five with three literals or more."""
     if values[12] >= 0.8 and size >= 1000 and values[6] + values[7] >= 0.4:
         return True
-    lines = [x.strip() for x in _NUMBER.sub("9", _IDENT.sub("w", _FORM.sub("S", code))).split("\n")]
-    lines = [x for x in lines if x]
-    if len(lines) < 30 or values[5] > 0.15:
+    n = sum(forms.values())
+    if n < 30 or values[5] > 0.15:
         return False
-    rows = Counter(lines)
-    return sum(n for x, n in rows.items() if x.count("9") + x.count("S") >= 3) >= 0.8 * len(lines)
+    return sum(c for x, c in forms.items() if x.count("9") + x.count("S") >= 3) >= 0.8 * n
 
 
 class Library:
@@ -199,15 +194,15 @@ def measure_files(files: DataFrame, library: DataFrame | None = None, id_col: st
                     continue
                 k = skim(src, lang)
                 made, small, at = states_produced(src, name, lang, k)
-                values = measures(src, k, at)
+                values, forms = measures(src, k, at)
                 near = max((p.nearest(src) for p in passes), default=0.0)
                 third = bool(_PACKAGE_DIR.search(name.replace("\\", "/"))) or near >= LIBRARY_SHARE
                 notice_only = made and values[5] > 0.25 and values[9] < 6
                 odd = made or small or third or values[5] < 0.35 or values[9] > 6 or values[12] > 0.6
-                problem = problem_of(src, lang) if check and odd else None
+                problem = problem_of(src, lang, None if src[0] == "\ufeff" else k) if check and odd else None
                 # a generated Go file may lack its package clause, which its notice has displaced
                 damaged = problem is not None and not (made and problem == "no beginning of the language" and lang == "go")
-                labelled = (made and not notice_only) or small or mostly_literals(values, k, at) or (values[5] <= 0.06 and values[10] > math.log1p(40))
+                labelled = (made and not notice_only) or small or mostly_literals(values, forms, len(src) - at) or (values[5] <= 0.06 and values[10] > math.log1p(40))
                 rows.append((i, made or small, third, labelled, damaged, *values))
             yield pd.DataFrame(rows, columns=["file_id", "stated", "third_party", "labelled", "damaged", *FEATURES])
 

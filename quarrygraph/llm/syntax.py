@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexing import _PRE, language_of, skim
+from .lexing import _PRE, Skim, language_of, skim
 
 CHECKED = ("python", "javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust", "json")
 
@@ -158,8 +158,8 @@ def json_valid(src: str) -> bool:
     return state == "after" and not stack
 
 
-def problem_of(src: str | None, lang: str | None) -> str | None:
-    """What keeps the text from being parsed in the language, or None."""
+def problem_of(src: str | None, lang: str | None, walked: Skim | None = None) -> str | None:
+    """What keeps the text from being parsed in the language, or None. walked: the text's walk, if it has been made."""
     if not src or lang not in CHECKED:
         return None
     src = src.removeprefix("﻿")
@@ -169,7 +169,7 @@ def problem_of(src: str | None, lang: str | None) -> str | None:
         return None if json_valid(src) else "merge conflict" if _MARKERS.search(src) else "invalid json"
     if _MARKUP.match(src):
         return "markup"
-    k = skim(src, lang)
+    k = walked or skim(src, lang)
     code = k.code
     if _MARKERS.search(code):
         return "merge conflict"
