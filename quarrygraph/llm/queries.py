@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import credentials, functions, languages, provenance, syntax
+from . import credentials, functions, languages, near, provenance, syntax
 
 SQL: dict[str, str] = {}
 
@@ -37,6 +37,19 @@ def p2_rates(spark: SparkSession, base: str) -> DataFrame:
     return syntax.unparsable_rates(table(spark, base, "sourcecode"))
 
 
+def _similar(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    _arrow(spark, 2000)
+    return near.similar_pairs(table(spark, base, "entity").filter("type = 'function'"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return near.all_pairs(*_similar(spark, base)).selectExpr("id_a AS entity_id_a", "id_b AS entity_id_b")
+
+
+def p3_groups(spark: SparkSession, base: str) -> DataFrame:
+    return near.groups(*_similar(spark, base)).withColumnRenamed("rid", "entity_id")
+
+
 def _languages(spark: SparkSession, base: str) -> DataFrame:
     _arrow(spark)
     logp = languages.train(table(spark, base, "documents"))
@@ -88,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pairs": p1_pairs,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_share": p4_share,
     "p5_found": p5_found,
