@@ -10,8 +10,8 @@ are checked by the complete distance of fingerprints, then exactly on the words.
 Words that stand in more than ``COMMON`` of all records tell nothing, and are left out of fingerprints
 (not of the exact check); the counts are taken over all records. There are at most 1/COMMON times the
 mean number of words of them, whatever the input, so the list is bounded. Equal word sets are one
-record until the end, so copies cost nothing. With pairs of similarity 0.7 the chance to share no key is
-under one in two hundred at the least similar fingerprints and about one in two thousand overall.
+record until the end, so copies cost nothing. With pairs of similarity 0.7 and more the
+chance to share no key is about one in five thousand on code.
 
 Cases: null and empty texts and records of fewer than ``min_words`` distinct words form no pairs;
 repeated rows under other ids are pairs; ids must be unique and not null; other columns are ignored;
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from ..plans.rounds import connected_components, cut
 
-SEGMENTS, WIDTH = 12, 5
-COMMON = 0.05
+SEGMENTS, WIDTH = 10, 5
+COMMON = 0.12
 DOUBT = 0.25  # share of equal symbols (one byte of each is compared) below which a match is dropped
 VOCABULARY = 400_000  # word hashes remembered in a process
 _WORD = re.compile(r"[A-Za-z0-9_]+")
