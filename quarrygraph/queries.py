@@ -5,6 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .operators import hierarchy
+from .sources.tables import table
+
+
+def _extends(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of inheritance that extend, with both classes in entity."""
+    known = table(spark, base, "entity").select("id")
+    rows = table(spark, base, "inheritance").filter(F.lower(F.trim("relationship_type")) == "extends").select(F.col("child_entity_id").alias("child"), F.col("parent_entity_id").alias("parent"))
+    return rows.join(known.withColumnRenamed("id", "child"), "child", "left_semi").join(known.withColumnRenamed("id", "parent"), "parent", "left_semi")
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    trees = hierarchy.forest(_extends(spark, base))
+    calls = hierarchy.circles(table(spark, base, "relationship"), "caller", "callee")
+    return trees.selectExpr("'inheritance' AS graph", "node_id", "root_id", "depth").unionByName(calls.selectExpr("'call' AS graph", "node_id", "root_id", "-1 AS depth"))
+
+
+def p6_paths(spark: SparkSession, base: str) -> DataFrame:
+    return hierarchy.forest(_extends(spark, base))
+
+
+def p6_descendants(spark: SparkSession, base: str) -> DataFrame:
+    return hierarchy.descendants(hierarchy.forest(_extends(spark, base)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
+    "p6_paths": p6_paths,
+    "p6_descendants": p6_descendants,
+}
 SQL: dict[str, str] = {}
