@@ -2,7 +2,7 @@
 
 ``forest`` peels leaves bottom-up: a node without open children is closed, and tells its parent how many
 nodes its subtree holds; what no peeling reaches lies on circles. Then, from the nodes closed last down,
-every node takes its parent's path and appends itself. Only open nodes take part in a round, ``STEPS``
+every node takes its parent's path and appends itself. Only open nodes take part in a round, a few
 rounds are planned at once, and each such plan ends in a reliable checkpoint. Descendants are given as
 rows, not as arrays, so the subtree of one root never has to fit into one task.
 
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..plans.rounds import connected_components, cut
 
-STEPS = 5
+STEPS = 5  # rounds planned at once where a round reads its predecessor once
+TWICE = 2  # the same where it reads it twice, which doubles the plan
 PART_EDGES = 100_000
 
 
@@ -38,21 +39,21 @@ def _peel(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     nodes: id, parent (null for a root)."""
     kids = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("open"))
-    state = cut(nodes.join(kids, "id", "left").select("id", "parent", F.coalesce("open", F.lit(0)).alias("open"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("int").alias("level")))
-    closed, level = [], 0
+    state = cut(nodes.join(kids, "id", "left").select("id", "parent", F.coalesce("open", F.lit(0)).alias("open"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("round")))
+    closed = []
     while True:
         s = state
-        for _ in range(STEPS):
+        for _ in range(TWICE):
             leaves = (F.col("open") == 0) & F.col("level").isNull()
             told = s.filter(leaves & F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.sum("size").alias("more"))
-            s = s.withColumn("level", F.when(leaves, F.lit(level)).otherwise(F.col("level"))).join(told, "id", "left")
-            s = s.select("id", "parent", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "level")
-            level += 1
+            s = s.withColumn("level", F.when(leaves, F.col("round")).otherwise(F.col("level"))).join(told, "id", "left")
+            s = s.select("id", "parent", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "level", (F.col("round") + 1).alias("round"))
         s = cut(s)
         done = s.filter("level IS NOT NULL").select("id", "parent", "size", "level")
         closed.append(done)
         state = s.filter("level IS NULL")
-        if done.limit(1).count() == 0 or state.limit(1).count() == 0:
+        gone, left = s.agg(F.count("level"), F.count("*") - F.count("level")).first()
+        if not gone or not left:
             break
     out = closed[0]
     for x in closed[1:]:
@@ -170,7 +171,7 @@ def _spread(e: DataFrame, value: DataFrame) -> DataFrame:
     cur = cut(value)
     while True:
         s = cur
-        for _ in range(STEPS):
+        for _ in range(TWICE):
             got = e.join(s.select(F.col("node").alias("u"), "value"), "u").select(F.col("v").alias("node"), "value")
             s = s.unionByName(got).groupBy("node").agg(F.min("value").alias("value"))
         nxt = cut(s)
@@ -184,7 +185,7 @@ def _coloured(e: DataFrame) -> DataFrame:
     found = None
     while True:
         while True:  # trimming ends when it changes nothing
-            t = cut(_trim(e, STEPS))
+            t = cut(_trim(e, 1))
             same = t.count() == e.count()
             e = t
             if same:
@@ -211,8 +212,8 @@ def circles(edges: DataFrame, source: str = "source", target: str = "target", pa
     e = cut(e)
     own = e.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("least"))
     core = e.filter("u <> v")
-    for _ in range(3):
-        core = cut(_trim(core, 3))
+    for _ in range(6):
+        core = cut(_trim(core, 1))
     part = connected_components(core, "u", "v")
     tagged = cut(core.join(part.select(F.col("node").alias("u"), "component"), "u"))
     sizes = tagged.groupBy("component").agg(F.count("*").alias("n"))
