@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import credentials, functions, languages, near, provenance, syntax
+from . import credentials, encoding, functions, languages, mixing, near, provenance, syntax, truncation
 
 SQL: dict[str, str] = {}
 
@@ -96,6 +96,40 @@ def p7_redacted(spark: SparkSession, base: str) -> DataFrame:
     return credentials.redact(table(spark, base, "sourcecode")).withColumnRenamed("row_id", "source_id")
 
 
+def p8_ids(spark: SparkSession, base: str) -> DataFrame:
+    _arrow(spark)
+    return encoding.encode(table(spark, base, "documents"))
+
+
+def p8_decoded(spark: SparkSession, base: str) -> DataFrame:
+    """The texts back from their ids, beside the stored ones."""
+    _arrow(spark)
+    docs = table(spark, base, "documents")
+    back = encoding.decode(encoding.encode(docs)).withColumnRenamed("text", "decoded")
+    return docs.select("doc_id", "text").join(back, "doc_id").selectExpr("doc_id", "decoded", "decoded = coalesce(text, '') AS same")
+
+
+def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    _arrow(spark)
+    return mixing.mix(encoding.count_tokens(table(spark, base, "documents")), table(spark, base, "mix_target"))
+
+
+def p9_mix(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base)[0]
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base)[1]
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.flag_truncated(table(spark, base, "documents")).filter("truncated").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, base: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, base, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -109,4 +143,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_handwritten": p5_handwritten,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,
+    "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
