@@ -20,8 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.rounds import stored
+
 ENOUGH = 4  # times that a trigram, pair or word must occur to be judged by
 RARELY = 0.03  # share of a token sequence's occurrences at an end, up to which it shows a cut
+TAIL = 240  # characters at a text's or line's end in which its mark or full stop is looked for
 MOSTLY = 0.8  # share of the lines with the same first word that end in a full stop, from which an open one is cut
 
 # fixed values: what tools leave at a cut
@@ -42,47 +45,48 @@ def flag_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = documents.sparkSession
     documents.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text", f"`{source_col}` AS source").createOrReplaceTempView("truncation_documents")
     spark.sql(f"""
-        CREATE OR REPLACE TEMP VIEW truncation_tokens AS
-        WITH bare AS (
-            SELECT doc_id, source, regexp_replace(rtrim(regexp_replace(text, '\\\\s+$', '')), {_q(MARK)}, '') AS body0,
-                   regexp_like(regexp_replace(text, '\\\\s+$', ''), {_q(MARK)}) AS marked
-            FROM truncation_documents WHERE text IS NOT NULL AND trim(text) <> ''
-        ), body AS (
-            SELECT doc_id, source, marked, regexp_like(body0, {_q(ELLIPSIS)}) AS dots, regexp_replace(body0, {_q(ELLIPSIS)}, '') AS body FROM bare
+        CREATE OR REPLACE TEMP VIEW truncation_bodies AS
+        WITH trimmed AS (
+            SELECT doc_id, source, rtrim(' \\n\\r\\t', text) AS text FROM truncation_documents WHERE text IS NOT NULL AND trim(text) <> ''
+        ), tails AS (
+            SELECT doc_id, source, text, regexp_extract(right(text, {TAIL}), {_q(MARK)}, 0) AS mark FROM trimmed
+        ), bare AS (
+            SELECT doc_id, source, mark <> '' AS marked, left(text, length(text) - length(mark)) AS body0 FROM tails
         )
-        SELECT doc_id, source, marked, dots, body, regexp_extract(body, '[^\\\\n]*$', 0) AS last_line,
-               concat(array('^', '^'), transform(regexp_extract_all(body, {_q(TOKEN)}, 0), t -> CASE
-                   WHEN t LIKE 'http%://%' THEN 'URL' WHEN t LIKE '`%' OR t LIKE '%!_%' ESCAPE '!' OR t RLIKE '[a-z][A-Z]' THEN 'I'
-                   WHEN t RLIKE '^[0-9]' THEN '9' WHEN t LIKE '\\n%' THEN '\\n' ELSE lower(t) END), array('$')) AS t
-        FROM body
+        SELECT doc_id, source, marked, left(body0, length(body0) - length(regexp_extract(right(body0, {TAIL}), {_q(ELLIPSIS)}, 0))) AS body FROM bare
     """)
-    spark.sql("""
-        CREATE OR REPLACE TEMP VIEW truncation_counts AS
+    tokens = f"""concat(array('^', '^'), transform(regexp_extract_all(body, {_q(TOKEN)}, 0), t -> CASE
+        WHEN t LIKE 'http%://%' THEN 'URL' WHEN t LIKE '`%' OR t LIKE '%!_%' ESCAPE '!' OR t RLIKE '[a-z][A-Z]' THEN 'I'
+        WHEN t RLIKE '^[0-9]' THEN '9' WHEN t LIKE '\\n%' THEN '\\n' ELSE lower(t) END), array('$'))"""
+    stored(spark.sql(f"""
         SELECT a, b, c, count(*) AS n, count_if(z) AS ends, count_if(z2) AS ends_next
         FROM (
-            SELECT g.a, g.b, g.c, g.z, g.z2 FROM truncation_tokens
+            SELECT g.a, g.b, g.c, g.z, g.z2 FROM (SELECT {tokens} AS t FROM truncation_bodies)
             LATERAL VIEW explode(transform(sequence(2, size(t) - 2), i -> struct(t[i - 2] AS a, t[i - 1] AS b, t[i] AS c,
                 t[i + 1] IN ('\\n', '$') AS z, coalesce(get(t, i + 2), '') IN ('\\n', '$') AND t[i + 1] NOT IN ('\\n', '$') AS z2))) AS g
             WHERE size(t) > 3
         ) WHERE c <> '\\n' GROUP BY a, b, c
-    """)
+    """), "trigrams").createOrReplaceTempView("truncation_counts")
+    stored(spark.sql(f"""
+        SELECT doc_id, marked, stopped, last_line, a, b, c, first,
+               last_line RLIKE '[.!?]["”)]?\\\\s+\\\\S+|[。！？].' AND NOT last_line RLIKE '^\\\\s*(?:[-*+] |[0-9]+[.)] |[:@][a-z]+ |[|>#])' AS after_stop
+        FROM (
+            SELECT doc_id, marked, last_line, t[size(t) - 4] AS a, t[size(t) - 3] AS b, t[size(t) - 2] AS c,
+                   right(last_line, {TAIL}) RLIKE {_q(_SENTENCE_END)} AS stopped, lower(regexp_extract(last_line, {_q(FIRST)}, 1)) AS first
+            FROM (SELECT doc_id, marked, element_at(split(body, '\\n'), -1) AS last_line, {tokens} AS t FROM truncation_bodies) WHERE size(t) > 3
+        )
+    """), "last-trigrams").createOrReplaceTempView("truncation_last")
     return spark.sql(f"""
-        WITH last AS (
-            SELECT doc_id, source, marked, dots, body, last_line, t[size(t) - 4] AS a, t[size(t) - 3] AS b, t[size(t) - 2] AS c, lower(regexp_extract(last_line, {_q(FIRST)}, 1)) AS first,
-                   body RLIKE {_q(_SENTENCE_END)} AS stopped,
-                   last_line RLIKE '[.!?]["”)]?\\\\s+\\\\S+|[。！？].' AND NOT last_line RLIKE '^\\\\s*(?:[-*+] |[0-9]+[.)] |[:@][a-z]+ |[|>#])' AS after_stop
-            FROM truncation_tokens WHERE size(t) > 3
-        ),
-        open AS (
-            SELECT * FROM last WHERE NOT stopped AND NOT last_line RLIKE '^\\\\s*(?:`{{3}}|~{{3}})' AND NOT last_line RLIKE '(?::[-]?[)D(]|;[-]?[)])$'
+        WITH open AS (
+            SELECT * FROM truncation_last WHERE NOT stopped AND NOT last_line RLIKE '^\\\\s*(?:`{{3}}|~{{3}})' AND NOT last_line RLIKE '(?::[-]?[)D(]|;[-]?[)])$'
         ),
         c3 AS (SELECT * FROM truncation_counts WHERE n >= {ENOUGH}),
         c2 AS (SELECT b, c, sum(n) AS n, sum(ends) AS ends, sum(ends_next) AS ends_next FROM truncation_counts GROUP BY b, c),
         c1 AS (SELECT c, sum(n) AS n, sum(ends) AS ends FROM truncation_counts GROUP BY c),
         firsts AS (
             SELECT first, count(*) AS n, count_if(stopped) AS stops FROM (
-                SELECT lower(regexp_extract(l, {_q(FIRST)}, 1)) AS first, rtrim(l) RLIKE {_q(_SENTENCE_END)} AS stopped
-                FROM truncation_tokens LATERAL VIEW explode(slice(split(body, '\\n'), 1, size(split(body, '\\n')) - 1)) AS l
+                SELECT lower(regexp_extract(l, {_q(FIRST)}, 1)) AS first, right(rtrim(l), {TAIL}) RLIKE {_q(_SENTENCE_END)} AS stopped
+                FROM truncation_bodies LATERAL VIEW explode(slice(split(body, '\\n'), 1, size(split(body, '\\n')) - 1)) AS l
             ) WHERE first <> '' GROUP BY first HAVING count(*) >= {ENOUGH}
         ),
         judged AS (
@@ -103,7 +107,7 @@ def flag_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         )
         SELECT d.doc_id, d.source, coalesce(k.marked, false) OR coalesce(c.cut, false) AS truncated
         FROM truncation_documents d
-        LEFT JOIN (SELECT doc_id, max(marked) AS marked FROM truncation_tokens GROUP BY doc_id) k ON d.doc_id = k.doc_id
+        LEFT JOIN (SELECT doc_id, max(marked) AS marked FROM truncation_last GROUP BY doc_id) k ON d.doc_id = k.doc_id
         LEFT JOIN cut c ON d.doc_id = c.doc_id
     """)
 
