@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import rules as R
 from .functions import text as T
 from .operators import codegraph as G
-from .operators import hierarchy
+from .operators import extraction, hierarchy
 from .plans.rounds import cut
 from .sources.tables import table
 
@@ -497,3 +497,36 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     calls = t.symbol_reference.filter("symbol_type = 'function' AND NOT is_definition").select("project_id", "filename", "line", "symbol").distinct()
     return G.resolve_calls(calls, t.entity)
+
+
+# ---------------------------------------------------------------- extraction from files (no SQL can express a parser)
+
+
+def _small_batches(t: Tables) -> DataFrame:
+    t._spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return t.sourcecode
+
+
+@_q("extract_entities")
+def _(t: Tables) -> DataFrame:
+    return extraction.extract(_small_batches(t), kinds=("function", "class", "struct", "interface"))
+
+
+@_q("extract_inheritance")
+def _(t: Tables) -> DataFrame:
+    return extraction.extract(_small_batches(t), kinds=("extends", "implements", "embeds"))
+
+
+@_q("extract_calls")
+def _(t: Tables) -> DataFrame:
+    return extraction.extract(_small_batches(t), kinds=("call",))
+
+
+@_q("extract_identifiers")
+def _(t: Tables) -> DataFrame:
+    return extraction.extract(_small_batches(t), kinds=("identifier",))
+
+
+@_q("control_flow_edges")
+def _(t: Tables) -> DataFrame:
+    return extraction.control_flow(_small_batches(t))
