@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexing import Skim, language_of, skim
+from ..functions.lexing import language_of, walk_functions
 
 _CODE_LANGUAGES = {"python", "javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust"}
 
@@ -99,94 +99,7 @@ def describes(doc: str | None, symbol: str | None = "") -> bool:
     return False
 
 
-# ---------------------------------------------------------------- functions and their extents
-
-_HEAD = {
-    "python": re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<n>\w+)[ \t]*(?=\()", re.M),
-    "javascript": re.compile(r"(?:^|(?<=[;}{\s]))(?:(?:export|default|async|static|get|set)\s+)*(?:function\s*\*?\s*(?P<n>[\w$]+)\s*(?=\()|(?:const|let|var)\s+(?P<v>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*\s*)?(?=\([^\n]*(?:=>|\{))|(?<=[\s;}{])(?P<m>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|with\b|new\b|await\b|else\b)[\w$]+)\s*(?=\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)\s*(?::[^;{}\n]+)?\{))", re.M),
-    "java": re.compile(r"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|internal|virtual|override|sealed|async|unsafe|extern|partial|new)\s+)*(?:<[^>\n]+>\s*)?(?!return\b|new\b|else\b|throw\b|case\b|package\b|import\b)[\w.]+(?:<[^;{}()\n]*>)?(?:\[\s*\])*\??\s+(?P<n>[\w]+)\s*(?=\([^;]*?\)\s*(?:throws\s+[\w., ]+)?(?:where[^{;]+)?\s*(?:\{|=>))", re.M),
-    "c": re.compile(r"^(?![ \t]*(?:return|else|if|for|while|switch|case|typedef|throw|delete|new|using|namespace)\b)[ \t]*[\w][\w\s*&:<>,~]*?[\s*&:](?P<n>~?\w+)\s*(?=\([^;{}]*\)\s*(?:const|noexcept|override|final|\s)*(?:->\s*[\w:<>&* ]+)?\s*(?::[^;{]*)?\{)", re.M),
-    "go": re.compile(r"^func\s+(?:\([^)]*\)\s*)?(?P<n>\w+)(?:\[[^\]]*\])?\s*(?=\()", re.M),
-    "rust": re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<n>\w+)(?:<[^{;]*?>)?\s*(?=\()", re.M),
-}
-_HEAD |= {"typescript": _HEAD["javascript"], "csharp": _HEAD["java"], "cpp": _HEAD["c"]}
-
-
-def _python_end(code: str, head: int, body: int) -> int:
-    """Where the indented block of the head at ``head`` ends."""
-    start = code.rfind("\n", 0, head) + 1
-    indent = len(code[start:]) - len(code[start:].lstrip(" \t"))
-    at = code.find("\n", body)
-    end = len(code) if at < 0 else at
-    while 0 <= at < len(code):
-        nxt = code.find("\n", at + 1)
-        line = code[at + 1 : nxt if nxt >= 0 else len(code)]
-        text = line.lstrip(" \t")
-        if text.strip():
-            if len(line) - len(text) <= indent:
-                break
-            end = nxt if nxt >= 0 else len(code)
-        at = nxt
-    return end
-
-
-def docstring(src: str, k: Skim, head: int) -> str | None:
-    """The string that opens the body of the Python function whose head begins at ``head``."""
-    code = k.code
-    op = code.find("(", head)
-    if op < 0:
-        return None
-    close = dict(k.pairs).get(op)
-    if close is None:
-        return None
-    colon = code.find(":", close)
-    if colon < 0:
-        return None
-    at = colon + 1
-    while at < len(code) and code[at].isspace():
-        at += 1
-    for s, e in k.strings:
-        if s == at or (s in (at + 1, at + 2) and code[at:s].lower() in ("r", "u", "b", "ru", "ur")):
-            return src[s:e]
-    return None
-
-
-def walk_functions(src: str, lang: str) -> Iterator[tuple[str, int, int, str | None]]:
-    """(symbol, begin, end, documentation) of every function of the text."""
-    k = skim(src, lang)
-    code, closing = k.code, dict(k.pairs)
-    ends = sorted(k.comments, key=lambda x: x[0])
-    for m in _HEAD[lang].finditer(code):
-        name = next(x for x in m.groups() if x)
-        begin = m.start() + (len(m[0]) - len(m[0].lstrip()))
-        op = code.find("(", m.end())
-        close = closing.get(op, op) if op >= 0 else m.end()
-        if lang == "python":
-            end = _python_end(code, begin, close)
-            doc = docstring(src, k, begin)
-        else:
-            brace = code.find("{", close)
-            semi = code.find(";", close)
-            if brace < 0 or 0 <= semi < brace:
-                if "=>" not in code[close : semi if semi >= 0 else len(code)]:
-                    continue
-                end = semi + 1 if semi >= 0 else len(code)
-            else:
-                end = closing.get(brace, len(code) - 1) + 1
-            doc = None
-        if doc is None:
-            # comments that end right above the head, with nothing but white space between
-            low, parts = begin, []
-            for s, e in reversed(ends):
-                if s >= low:
-                    continue
-                between = src[e:low]
-                if between.strip() or between.count("\n") > 1 or code[code.rfind("\n", 0, s) + 1 : s].strip():
-                    break
-                parts.append(src[s:e])
-                low = s
-            doc = "\n".join(reversed(parts)) or None
-        yield name, begin, end, doc
+# ---------------------------------------------------------------- pairs of files and of entities
 
 
 def extract_functions(files: DataFrame, id_col: str = "id", filename_col: str = "filename", source_col: str = "source") -> DataFrame:

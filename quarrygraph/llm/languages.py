@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexing import language_of, skim
+from ..functions.lexing import language_of, skim
 from .tokenizers import DIRECTORY, encoding
 
 CLASSES = ("en", "code", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "ja", "zh")

@@ -34,7 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexing import Skim, language_of, skim
+from ..functions.lexing import Skim, language_of, skim
 from .syntax import problem_of
 
 TRAINING_ROWS = 12_000

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexing import _PRE, Skim, language_of, skim
+from ..functions.lexing import _PRE, Skim, language_of, skim
 
 CHECKED = ("python", "javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust", "json")
 
