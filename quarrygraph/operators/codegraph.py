@@ -386,9 +386,12 @@ def error_handling(entity: DataFrame) -> DataFrame:
 
 
 def concurrency_findings(entity: DataFrame) -> DataFrame:
-    """One row for each form of concurrency that a JavaScript or TypeScript function uses."""
-    hits = [F.when(F.col("source").rlike(p), F.struct(F.lit(c).alias("category"), F.lit(t).alias("kind"))) for c, t, p in R.CONCURRENCY["javascript"]]
-    f = functions_of(entity).filter(F.col("source").isNotNull() & F.col("language").isin("javascript", "typescript"))
+    """One row for each form of concurrency that a function uses, by its language's rules or else JavaScript's."""
+    hits = []
+    for lang, rows in R.CONCURRENCY.items():
+        own = F.col("language") == lang if lang != "javascript" else ~F.col("language").isin(*[x for x in R.CONCURRENCY if x != "javascript"])
+        hits += [F.when(own & F.col("source").rlike(p), F.struct(F.lit(c).alias("category"), F.lit(k).alias("kind"))) for c, k, p in rows]
+    f = functions_of(entity).filter("source IS NOT NULL AND language IS NOT NULL")
     return f.select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("id", "project_id", "x.category", "x.kind")
 
 
@@ -399,7 +402,7 @@ def concurrency_warnings(findings: DataFrame) -> DataFrame:
 
 
 def resource_findings(entity: DataFrame) -> DataFrame:
-    """Resources that C and C++ functions acquire, and whether they release them."""
+    """Resources that functions acquire, and whether they release them or hold them in a safe block."""
     hits = []
     for lang, rows in R.RESOURCES.items():
         hits += [F.when((F.col("language") == lang) & F.col("source").rlike(a), F.struct(F.lit(k).alias("kind"), F.lit(n).alias("resource"), (~F.col("source").rlike(r)).alias("leak"))) for k, n, a, r in rows]
@@ -414,6 +417,24 @@ def _by_language(table: dict[str, str], default: str, make) -> Column:
     return out
 
 
+def design_patterns(entity: DataFrame) -> DataFrame:
+    """Entities whose declarations carry the name of a design pattern."""
+    hits = [F.when(F.col("source").rlike(R.DECLARED.format(n)), F.lit(n)) for n in R.PATTERN_NAMES]
+    return entity.filter("source IS NOT NULL").select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
+
+
+def coverage_gaps(entity: DataFrame) -> DataFrame:
+    """Files of no tests whose base name stands in no test file's path of the project. The parts of test paths are cut into
+    all their substrings, which turns the containment into an equality."""
+    is_test = _by_language(R.TEST_FILES, "javascript", lambda p: F.col("filename").rlike(p))
+    f = functions_of(entity).filter("filename IS NOT NULL").select("project_id", "filename", is_test.alias("is_test")).distinct()
+    base = F.element_at(F.split(F.regexp_replace("filename", r"\.\w+\z", ""), "/"), -1)
+    parts = f.filter("is_test").select("project_id", F.explode(F.split("filename", "/")).alias("part")).filter("part <> ''").distinct()
+    starts = parts.select("project_id", "part", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("i"))
+    pieces = starts.select("project_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("part") - F.col("i") + 1), lambda n: F.col("part").substr(F.col("i"), n))).alias("base")).distinct()
+    return f.filter("NOT is_test").select("project_id", "filename", base.alias("base")).join(pieces, ["project_id", "base"], "left_anti").select("project_id", "filename")
+
+
 def test_coverage(entity: DataFrame) -> DataFrame:
     """Each project's files of tests and others, their functions and the assertions in tests."""
     is_test = _by_language(R.TEST_FILES, "javascript", lambda p: F.col("filename").rlike(p))

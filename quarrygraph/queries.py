@@ -416,7 +416,8 @@ def _(t: Tables) -> DataFrame:
     return G.error_handling(t.entity)
 
 
-_CONC = " UNION ALL ".join(f"SELECT id, project_id, '{c}' AS category, '{k}' AS kind FROM entity WHERE type = 'function' AND language IN ('javascript', 'typescript') AND {_has('source', p)}" for c, k, p in R.CONCURRENCY["javascript"])
+_LISTED = ", ".join(f"'{x}'" for x in R.CONCURRENCY if x != "javascript")
+_CONC = " UNION ALL ".join(f"SELECT id, project_id, '{c}' AS category, '{k}' AS kind FROM entity WHERE type = 'function' AND " + (f"language = '{lang}'" if lang != "javascript" else f"language NOT IN ({_LISTED})") + f" AND {_has('source', p)}" for lang, rows in R.CONCURRENCY.items() for c, k, p in rows)
 
 
 @_q("concurrency_findings", _CONC)
@@ -443,6 +444,16 @@ def _(t: Tables) -> DataFrame:
     return G.test_coverage(t.entity)
 
 
+@_q("design_patterns", " UNION ALL ".join(f"SELECT id, project_id, '{n}' AS pattern FROM entity WHERE {_has('source', R.DECLARED.format(n))}" for n in R.PATTERN_NAMES))
+def _(t: Tables) -> DataFrame:
+    return G.design_patterns(t.entity)
+
+
+@_q("coverage_gaps", f"WITH f AS (SELECT DISTINCT project_id, filename, {_TF} AS is_test FROM entity WHERE type = 'function' AND filename IS NOT NULL) SELECT project_id, filename FROM f WHERE NOT is_test AND NOT EXISTS (SELECT 1 FROM f t WHERE t.is_test AND t.project_id = f.project_id AND contains(t.filename, string_split(regexp_replace(f.filename, '\\.\\w+\\z', ''), '/')[-1]))")
+def _(t: Tables) -> DataFrame:
+    return G.coverage_gaps(t.entity)
+
+
 def _score(v: str, a: int, b: int, c: int, d: int) -> str:
     return f"(CASE WHEN {v} <= {a} THEN 100.0 WHEN {v} <= {b} THEN 85.0 WHEN {v} <= {c} THEN 70.0 WHEN {v} <= {d} THEN 50.0 ELSE greatest(0.0, 50.0 - ({v} - {d}) * 2.0) END)::DOUBLE"
 
@@ -527,6 +538,12 @@ def _(t: Tables) -> DataFrame:
     return extraction.extract(_small_batches(t), kinds=("identifier",))
 
 
+@_q("control_flow_nodes")
+def _(t: Tables) -> DataFrame:
+    e = extraction.control_flow(_small_batches(t))
+    return e.select("file_id", "function", F.col("from_line").alias("line")).union(e.select("file_id", "function", "to_line")).distinct()
+
+
 @_q("control_flow_edges")
 def _(t: Tables) -> DataFrame:
     return extraction.control_flow(_small_batches(t))

@@ -83,3 +83,17 @@ def test_types(spark):
     rows = [(1, 1, "javascript", "a", "function", "a.js", "return 'x';", 1, 1, "()", None, None), (2, 1, "javascript", "b", "function", "a.js", "return 4;", 1, 1, "()", None, None), (3, 1, "python", "c", "function", "a.py", "def c() -> int: return 1", 1, 1, "()", None, None), (4, 1, "javascript", "d", "function", "a.js", "return;", 1, 1, "()", None, None)]
     got = {x["symbol"]: (x["has_hint"], x["inferred"]) for x in G.type_inference(entity(spark, rows)).collect()}
     assert got == {"a": (False, "string"), "b": (False, "number"), "c": (True, None), "d": (False, "unknown")}
+
+
+def test_coverage_gaps(spark):
+    rows = [(1, 1, "javascript", "a", "function", "src/reader.js", "x", 1, 1, "()", None, None), (2, 1, "javascript", "b", "function", "src/writer.js", "x", 1, 1, "()", None, None), (3, 1, "javascript", "c", "function", "tests/reader.test.js", "x", 1, 1, "()", None, None), (4, 2, "javascript", "d", "function", "src/reader.js", "x", 1, 1, "()", None, None)]
+    assert {(r["project_id"], r["filename"]) for r in G.coverage_gaps(entity(spark, rows)).collect()} == {(1, "src/writer.js"), (2, "src/reader.js")}
+
+
+def test_concurrency_and_resources(spark):
+    rows = [(1, 1, "go", "a", "function", "a.go", "mu.Lock()\ngo run(x)", 1, 1, "()", None, None), (2, 1, "swift", "b", "function", "b.swift", "x.then(y)", 1, 1, "()", None, None), (3, 1, "c", "c", "function", "c.c", "p = malloc(4);", 1, 1, "()", None, None), (4, 1, "python", "d", "function", "d.py", "with open(x) as f: pass", 1, 1, "()", None, None)]
+    e = entity(spark, rows)
+    found = G.concurrency_findings(e)
+    assert {(r["id"], r["kind"]) for r in found.collect()} == {(1, "lock_acquire"), (1, "goroutine_call"), (2, "promise_then")}
+    assert {r["id"] for r in G.concurrency_warnings(found).collect()} == {2}
+    assert {(r["id"], r["resource"], r["leak"]) for r in G.resource_findings(e).collect()} == {(3, "malloc/free", True), (4, "open", False)}
