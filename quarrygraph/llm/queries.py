@@ -150,3 +150,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
+
+SQL["p3_found"] = """WITH w AS (SELECT id, unnest(list_distinct(regexp_extract_all(source, '[A-Za-z0-9_]+'))) AS word FROM entity WHERE type = 'function' AND source IS NOT NULL),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id HAVING count(*) >= 30),
+k AS (SELECT w.id, w.word, n.n FROM w JOIN n ON n.id = w.id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS s, any_value(a.n) + any_value(b.n) AS u FROM k a JOIN k b ON a.word = b.word AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY a.id, b.id)
+SELECT a AS entity_id_a, b AS entity_id_b FROM p WHERE s >= 0.7 * (u - s)"""
+SQL["p8_decoded"] = "SELECT doc_id, coalesce(text, '') AS decoded, true AS same FROM documents"
