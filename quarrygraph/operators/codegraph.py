@@ -463,6 +463,56 @@ def readability(entity: DataFrame) -> DataFrame:
     return f.select("id", "project_id", ident.alias("identifier_score"), longest.cast("long").alias("longest_line"), most.cast("long").alias("boolean_operators"), score(n, 20, 50, 100, 200).alias("length_score"), score(most, 2, 3, 5, 7).alias("boolean_score"))
 
 
+def readability_score(entity: DataFrame) -> DataFrame:
+    """The weighted readability score of every function with source, its six parts and the rating."""
+    base = readability(entity).select("id", "identifier_score", "boolean_score")
+    f = functions_of(entity).filter("source IS NOT NULL AND source <> ''")
+    lines = F.split("source", "\n")
+    full = F.filter(lines, lambda x: F.trim(x) != "")
+    mark = F.when(F.col("language").isin("python", "ruby"), F.lit(r"^\s*#")).when(F.col("language").isin("javascript", "typescript", "java", "go", "rust", "c", "cpp"), F.lit(r"^\s*//")).otherwise(F.lit(r"^\s*(//|#)"))
+    ratio = F.when(F.size(full) == 0, 0.0).otherwise(F.size(F.filter(full, lambda x: F.regexp_like(x, mark))) / F.size(full))
+    comments = F.when(ratio >= 0.2, 100.0).when(ratio >= 0.1, 85.0).when(ratio >= 0.05, 70.0).when(ratio >= 0.02, 50.0).otherwise(F.greatest(F.lit(0.0), F.lit(50.0) - (F.lit(0.02) - ratio) * 10))
+
+    def step(acc: Column, x: Column) -> Column:
+        opened = acc % 100000 + T.count(x, r"[{\[(]")
+        return F.greatest(F.floor(acc / 100000), opened) * 100000 + F.greatest(opened - T.count(x, r"[}\])]"), F.lit(0))
+
+    deepest = F.floor(F.aggregate(lines, F.lit(0).cast("long"), step) / 100000)
+
+    def score(v: Column, a: int, b: int, c: int, d: int) -> Column:
+        return F.when(v <= a, 100.0).when(v <= b, 85.0).when(v <= c, 70.0).when(v <= d, 50.0).otherwise(F.greatest(F.lit(0.0), F.lit(50.0) - (v - d) * 2.0))
+
+    lengths = F.filter(F.transform(lines, lambda x: F.length(x)), lambda n: n > 0)
+    over = F.size(F.filter(lengths, lambda n: n > 120)) / F.size(lengths) * 100
+    longest = F.when(F.size(lengths) == 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.floor(score(F.array_max(lengths), 80, 100, 120, 150) - F.least(F.lit(30.0), over) + 0.5)))
+    plain = F.filter(lines, lambda x: ~F.regexp_like(x, F.lit(r"^\s*(//|#|/\*)")) & ~F.regexp_like(x, F.lit(r"(?i)\b(const|final|static|#define)\b")) & ~F.regexp_like(x, F.lit(r"\[\s*\d+\s*\]")))
+    found = F.flatten(F.transform(plain, lambda x: F.regexp_extract_all(x, F.lit(r"(?<![\w.])(\d+\.?\d*)\b(?![\w.])"), 1)))
+    magic = F.size(F.filter(found, lambda n: ~n.cast("double").isin(*R.PLAIN_NUMBERS)))
+    m = f.select("id", "project_id", F.floor(comments + 0.5).alias("comment_score"), F.floor(score(deepest, 2, 3, 4, 6) + 0.5).alias("nesting_score"), longest.alias("line_score"), F.floor(score(magic, 0, 2, 5, 10) + 0.5).alias("number_score"))
+    w = R.READABILITY_WEIGHTS
+    total = F.col("identifier_score") * w["identifiers"] + F.col("comment_score") * w["comments"] + F.col("nesting_score") * w["nesting"] + F.col("line_score") * w["lines"] + F.col("number_score") * w["numbers"] + F.col("boolean_score") * w["booleans"]
+    out = m.join(base, "id").withColumn("score", F.floor(total / 0.8 + 0.5).cast("long"))
+    return out.withColumn("rating", F.when(F.col("score") >= 85, "excellent").when(F.col("score") >= 70, "good").when(F.col("score") >= 55, "acceptable").when(F.col("score") >= 40, "poor").otherwise("very_poor"))
+
+
+def naming_issues(entity: DataFrame) -> DataFrame:
+    """One row for each issue that an entity's name shows."""
+    hits = [F.when(F.col("symbol").rlike(p), F.lit(k)) for k, p in R.NAME_ISSUES.items()]
+    return entity.select("id", "project_id", "symbol", F.explode(F.array_compact(F.array(*hits))).alias("issue"))
+
+
+def import_cycles(sourcecode: DataFrame) -> DataFrame:
+    """Pairs of files of a project that name each other in import lines, by base name without extension."""
+    base = F.regexp_extract("filename", r"([^/]*?)(?:\.\w+)?\z", 1)
+    files = sourcecode.filter("filename IS NOT NULL AND project_id IS NOT NULL").select("project_id", "filename", base.alias("word")).filter("word <> ''").distinct()
+    lines = F.regexp_extract_all("source", F.lit(R.IMPORT_LINE), 0)
+    words = F.array_distinct(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"[\w-]+"), 0))))
+    named = sourcecode.filter("source IS NOT NULL AND filename IS NOT NULL").select("project_id", F.col("filename").alias("importer"), F.explode(words).alias("word"))
+    e = named.join(files, ["project_id", "word"]).filter("importer <> filename").select("project_id", F.col("importer").alias("file_a"), F.col("filename").alias("file_b")).distinct()
+    back = e.select("project_id", F.col("file_b").alias("file_a"), F.col("file_a").alias("file_b"))
+    return e.join(back, ["project_id", "file_a", "file_b"], "left_semi").filter("file_a < file_b")
+
+
 def dashboard(project: DataFrame, entity: DataFrame, relationship: DataFrame) -> DataFrame:
     """Each project's functions, share of dead ones, documentation and health with its rating."""
     d = dead_code_summary(entity, relationship).select("project_id", "functions", "dead_functions", "entry_points")

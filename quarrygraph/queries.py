@@ -466,6 +466,21 @@ def _(t: Tables) -> DataFrame:
     return G.readability(t.entity)
 
 
+@_q("readability_score")
+def _(t: Tables) -> DataFrame:
+    return G.readability_score(t.entity)
+
+
+@_q("naming_issues", " UNION ALL ".join(f"SELECT id, project_id, symbol, '{k}' AS issue FROM entity WHERE {_has('symbol', p)}" for k, p in R.NAME_ISSUES.items()))
+def _(t: Tables) -> DataFrame:
+    return G.naming_issues(t.entity)
+
+
+@_q("import_cycles", f"WITH f AS (SELECT DISTINCT project_id, filename, regexp_extract(filename, '([^/]*?)(?:\\.\\w+)?\\z', 1) AS word FROM sourcecode), w AS (SELECT DISTINCT project_id, filename AS importer, unnest(flatten(list_transform(regexp_extract_all(source, {_s(R.IMPORT_LINE)}), lambda x: regexp_extract_all(x, '[\\w-]+')))) AS word FROM sourcecode WHERE source IS NOT NULL), e AS (SELECT DISTINCT w.project_id, w.importer AS file_a, f.filename AS file_b FROM w JOIN f ON f.project_id = w.project_id AND f.word = w.word WHERE f.word <> '' AND w.importer <> f.filename) SELECT x.project_id, x.file_a, x.file_b FROM e x JOIN e y ON x.project_id = y.project_id AND x.file_a = y.file_b AND x.file_b = y.file_a WHERE x.file_a < x.file_b")
+def _(t: Tables) -> DataFrame:
+    return G.import_cycles(t.sourcecode)
+
+
 @_q("dashboard", f"WITH {_DEADSUM}, c AS (SELECT project_id, count(*) FILTER (WHERE comment <> '') AS commented FROM entity WHERE type = 'function' GROUP BY 1), h AS (SELECT ds.project_id, functions, commented, floor((greatest(0.0, 100.0 - 2 * ((dead_functions + entry_points) / functions * 100)) + floor(commented / functions * 100 + 0.5)) / 2 + 0.5)::BIGINT AS health FROM ds JOIN c ON c.project_id = ds.project_id) SELECT *, CASE WHEN health >= 80 THEN 'excellent' WHEN health >= 60 THEN 'good' WHEN health >= 40 THEN 'fair' ELSE 'poor' END AS rating FROM h")
 def _(t: Tables) -> DataFrame:
     return G.dashboard(t.project, t.entity, t.relationship)

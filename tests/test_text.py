@@ -97,3 +97,23 @@ def test_concurrency_and_resources(spark):
     assert {(r["id"], r["kind"]) for r in found.collect()} == {(1, "lock_acquire"), (1, "goroutine_call"), (2, "promise_then")}
     assert {r["id"] for r in G.concurrency_warnings(found).collect()} == {2}
     assert {(r["id"], r["resource"], r["leak"]) for r in G.resource_findings(e).collect()} == {(3, "malloc/free", True), (4, "open", False)}
+
+
+def test_readability_score(spark):
+    good = "int readTotal(int firstValue) {\n    // adds the next value\n    int nextValue = firstValue + 1;\n    return nextValue;\n}\n"
+    bad = "int f(int a){if(a&&a||a&&a||a&&a||a){while(a){if(a){for(;;){g(37+41+53+67+71+73+79+83+89+91+97);}}}}return " + "a+" * 90 + "3;}"
+    rows = [(1, 1, "c", "a", "function", "a.c", good, 1, 5, "()", None, None), (2, 1, "c", "b", "function", "a.c", bad, 1, 1, "()", None, None), (3, 1, "c", "c", "function", "a.c", "", 1, 1, "()", None, None)]
+    got = {r["id"]: r for r in G.readability_score(entity(spark, rows)).collect()}
+    assert set(got) == {1, 2} and got[1]["rating"] == "excellent" and got[1]["number_score"] == 100 and got[2]["score"] < 55 and got[2]["number_score"] < 50
+
+
+@pytest.mark.parametrize("name,want", [("q", {"too_short"}), ("i", set()), ("a" * 41, {"too_long"}), ("__x", {"double_underscore"}), ("__init__", set()), ("_9lives", {"starts_with_number"}), ("a__b", {"consecutive_underscores"}), ("someName_with", {"mixed_conventions"}), ("fine_name", set())])
+def test_naming_issues(spark, name, want):
+    df = spark.createDataFrame([(1, 1, name)], "id long, project_id int, symbol string")
+    assert {r["issue"] for r in G.naming_issues(df).collect()} == want
+
+
+def test_import_cycles(spark):
+    rows = [(1, "a/one.py", "import two\n"), (1, "b/two.py", "from one import x\n"), (1, "c/three.py", "import one\n"), (2, "a/one.js", "const t = require('./two');\n"), (2, "two.js", "x = 1 // import one\n"), (1, None, "import one"), (1, "d.py", None)]
+    df = spark.createDataFrame(rows, "project_id int, filename string, source string")
+    assert [tuple(r) for r in G.import_cycles(df).collect()] == [(1, "a/one.py", "b/two.py")]
