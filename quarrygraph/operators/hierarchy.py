@@ -61,8 +61,9 @@ def _peel(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, state.select("id", "parent")
 
 
-def forest(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """node_id, parent_id, root_id, depth, path, subtree_size of every node that is a child or a parent."""
+def forest(edges: DataFrame, child: str = "child", parent: str = "parent", paths: bool = True) -> DataFrame:
+    """node_id, parent_id, root_id, depth, path, subtree_size of every node that is a child or a parent; without
+    ``paths`` the first, third and fourth of these only."""
     rows = tree_rows(edges, child, parent)
     tops = rows.select(F.col("parent").alias("id")).distinct().join(rows.select("id"), "id", "left_anti").select("id", F.lit(None).cast(dict(rows.dtypes)["parent"]).alias("parent"))
     nodes = cut(rows.unionByName(tops))
@@ -75,14 +76,16 @@ def forest(edges: DataFrame, child: str = "child", parent: str = "parent") -> Da
         closed.filter("parent IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"))
         .unionByName(ring.select("id", "root", F.lit(-1).alias("depth"), F.lit(None).cast(f"array<{kind}>").alias("path")))
     )
+    if not paths:
+        first = first.drop("path")
     done = [cut(first)]
     waiting = closed.filter("parent IS NOT NULL").select("id", "parent")
     front = done[0]
     while True:
         steps = []
         for _ in range(STEPS):
-            up = front.select(F.col("id").alias("parent"), "root", F.col("depth").alias("above"), F.col("path").alias("way"))
-            front = waiting.join(up, "parent").select("id", "root", F.when(F.col("above") < 0, F.lit(-1)).otherwise(F.col("above") + 1).alias("depth"), F.concat("way", F.array("id")).alias("path"))
+            up = front.select(F.col("id").alias("parent"), "root", F.col("depth").alias("above"), *[F.col("path").alias("way")] * paths)
+            front = waiting.join(up, "parent").select("id", "root", F.when(F.col("above") < 0, F.lit(-1)).otherwise(F.col("above") + 1).alias("depth"), *[F.concat("way", F.array("id")).alias("path")] * paths)
             steps.append(front)
         new = steps[0].withColumn("step", F.lit(0))
         for i, x in enumerate(steps[1:], 1):
@@ -96,6 +99,8 @@ def forest(edges: DataFrame, child: str = "child", parent: str = "parent") -> Da
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
+    if not paths:
+        return out.select(F.col("id").alias("node_id"), F.col("root").alias("root_id"), "depth")
     sizes = nodes.join(closed.select("id", "size"), "id", "left")
     return out.join(sizes, "id").select(F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", "path", F.col("size").alias("subtree_size"))
 

@@ -23,7 +23,7 @@ def _extends(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    trees = hierarchy.forest(_extends(spark, base))
+    trees = hierarchy.forest(_extends(spark, base), paths=False)
     calls = hierarchy.circles(table(spark, base, "relationship"), "caller", "callee")
     return trees.selectExpr("'inheritance' AS graph", "node_id", "root_id", "depth").unionByName(calls.selectExpr("'call' AS graph", "node_id", "root_id", "-1 AS depth"))
 

@@ -86,6 +86,8 @@ def test_forest_against_brute_force(spark, seed):
     rows = [(c, p) for c, p in parent.items()] * 2 + [(None, 5), (7, None)]
     got = {x["node_id"]: (x["root_id"], x["depth"], x["path"]) for x in H.forest(spark.createDataFrame(rows, "child long, parent long")).collect()}
     assert got == brute_forest(parent)
+    short = {x["node_id"]: (x["root_id"], x["depth"]) for x in H.forest(spark.createDataFrame(rows, "child long, parent long"), paths=False).collect()}
+    assert short == {n: x[:2] for n, x in got.items()}
 
 
 def test_subtree_sizes_and_descendants(spark):
