@@ -25,19 +25,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexing import language_of, skim
+from .languages import lexer_for
+
 TRAINING_LINES = 3000
 SEED = 7
 LABELS = ("O", "B", "I")
 
 # ---------------------------------------------------------------- where to look
 
-# a quote before eight or more characters without blanks, one of them no letter
-_QUOTED = re.compile(r"""["'`](?=[^"'`\n]{0,120}[\d!@#$%^&*+=])(?:(?:Basic|Bearer|Token) )?[^"'`\s]{7,}|["'](?=[A-Za-z0-9_-]{6,}["'])[A-Za-z]*[a-z][A-Z][A-Za-z0-9_-]*|-----BEGIN""")
-_UNQUOTED = re.compile(r"(?://|\#|^[ \t]*\*|--|/\*)[^\n]*?[\s:=](?=\S{0,80}[\d!@$%^&*+=])(?=\S{0,200}[A-Za-z])[^\s\"'`]{6,}", re.M)
-_SETTING = re.compile(r"^[ \t]*(?:export[ \t]+|-[ \t]+|set[ \t]+)?[\"']?[A-Za-z_][\w.\-]*[\"']?[ \t]*[:=][ \t]*[^\s{\[#][^\n]{3,}|(?:^|\s)(?:-u|-p|--?[\w-]*(?:pass|token|secret|key)[\w-]*)[= \t]?\S{4,}[^\n]*|://[^\s:/@]*:[^\s@/]+@|-----BEGIN", re.M)
 _SETTINGS_EXT = (".env", ".yaml", ".yml", ".json", ".properties", ".toml", ".sh", ".ini", ".cfg", ".conf")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----[\s\S]*?(?:-----END [A-Z0-9 ]*-----|\Z)")
-_WINDOW = 240
+_HEAD = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----")
+_END = re.compile(r"-----END [A-Z0-9 ]*-----")
+# where a literal or comment can begin that goes on over a line's end
+_LONG = re.compile(r"/\*|\"\"\"|\'\'\'|`|R\"|@\$?\"|\$@\"|\"[^\"\n]*\n|\\\n")
+# a line outside these has no literal and no comment, so tokenize gives no value there
+_LITERAL = re.compile(r"[\"'`#*]|//|<!--|-- |-----BEGIN")
+MEMORY = 50_000  # labelled lines remembered in a process; beyond it the memory starts anew, results stay the same
 
 # ---------------------------------------------------------------- tokens
 
@@ -45,6 +49,8 @@ _URL = re.compile(r"([A-Za-z][\w+.-]*://)([^\s:/@\"'`]*):([^\s@\"'`]+)(@)([^\s\"
 _URL_TAIL = re.compile(r"([A-Za-z][\w+.-]*://)([^\s:/@\"'`]*):([^\s@\"'`/]+)$")
 _CODE_TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]")
 _CHUNK = re.compile(r"-----BEGIN [A-Z0-9 ]*-----|\{\{.*?\}\}|\$\{[^}]*\}|<[A-Za-z][^<>]*>|\S+")
+_KEY_CHUNK = re.compile(_CHUNK.pattern[:-3] + r"(?:(?!-----BEGIN [A-Z0-9 ]*-----)\S)+")
+_IN_PARENTHESES = re.compile(r"\(([^()]+)\)[.,;:]*")
 _NAME_SEP = re.compile(r"([A-Za-z_][\w.\-]*)([ \t]*)(:=|=>|[:=])(?!/)([ \t]*)")
 
 
@@ -55,6 +61,7 @@ def _words(text: str) -> list[str]:
 def _content(text: str, base: int, out: list, state: dict) -> None:
     """Tokens of the inside of a literal, of a comment or of a bare value."""
     pos = 0
+    chunks = _KEY_CHUNK if "-----BEGIN" in text else _CHUNK
     if state.get("tail") and "@" in text.split(" ")[0]:
         at = text.index("@")
         out.append((base, base + at, "v"))
@@ -63,7 +70,7 @@ def _content(text: str, base: int, out: list, state: dict) -> None:
         return
     state["tail"] = False
     while pos < len(text):
-        m = _CHUNK.search(text, pos)
+        m = chunks.search(text, pos)
         if not m:
             break
         s, e = m.span()
@@ -77,6 +84,8 @@ def _content(text: str, base: int, out: list, state: dict) -> None:
                 out.append((base + s + u.start(g), base + s + u.end(g), kind))
             state["tail"] = True
         else:
+            if p := _IN_PARENTHESES.fullmatch(chunk):
+                s, e = s + 1, s + 1 + len(p[1])
             while e > s + 1 and text[e - 1] in ",;)":
                 e -= 1
             if e > s + 2 and text[s] == text[e - 1] == "`":
@@ -85,16 +94,26 @@ def _content(text: str, base: int, out: list, state: dict) -> None:
         pos = m.end()
 
 
-def tokenize(line: str, setting: bool) -> list[tuple[int, int, str]]:
-    """(begin, end, kind) of the tokens of one window. Kinds: n name, v value, w word, q quote, u scheme, p other."""
+def tokenize(line: str, setting: bool, inside: int = 0) -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of the tokens of one line, whose first ``inside`` characters go on a comment or literal
+    of an earlier line. Kinds: n name, v value, w word, q quote, u scheme, p other."""
     out: list = []
     state: dict = {}
     pos, n = 0, len(line)
+    first = n - len(line.lstrip())
+    if inside:
+        out = tokenize("#" + line[:inside], setting)
+        out = [(max(0, s - 1), e - 1, kind) for s, e, kind in out]
+        pos = inside
     while pos < n:
         ch = line[pos]
         if ch.isspace():
             pos += 1
             continue
+        if ch == "-" and (m := _HEAD.match(line, pos)):
+            out.append((pos, m.end(), "v"))
+            pos = m.end()
+            continue
         if ch in "\"'`":
             end = pos + 1
             while end < n and line[end] != ch:
@@ -111,14 +130,14 @@ def tokenize(line: str, setting: bool) -> list[tuple[int, int, str]]:
                 out.append((end, end + 1, "q"))
             pos = end + 1
             continue
-        comment = line.startswith(("//", "/*", "<!--"), pos) or (ch == "#" and not line.startswith(("#include", "#define", "#pragma"), pos)) or (ch == "*" and not line[:pos].strip()) or line.startswith("-- ", pos)
+        comment = line.startswith(("//", "/*", "<!--"), pos) or (ch == "#" and not line.startswith(("#include", "#define", "#pragma"), pos)) or (ch == "*" and pos == first) or line.startswith("-- ", pos)
         if comment:
             body = line[pos:]
             out.append((pos, pos + 1, "#"))
             m = re.match(r"[/#*<!-]+\s*", body)
             start = pos + m.end()
             rest = line[start:]
-            if (x := _NAME_SEP.match(rest)) and not _URL.match(rest):
+            if (x := _NAME_SEP.match(rest)) and not _URL.match(rest) and not rest.startswith("::", x.start(3)):
                 out.append((start, start + len(x[1]), "n"))
                 out.append((start + x.start(3), start + x.end(3), "="))
                 tail = start + x.end()
@@ -196,6 +215,7 @@ def _entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (text.count(x) for x in set(text)))
 
 
+@lru_cache(maxsize=MEMORY)
 def shape(text: str) -> str:
     """The class of a value's form."""
     if text.startswith("-----BEGIN"):
@@ -224,8 +244,10 @@ def shape(text: str) -> str:
     letters = sum(c.isalpha() for c in text)
     if not letters:
         return "number" if digits else "marks"
-    if any(ord(c) > 127 for c in text) or text.count("\\u") + text.count("\\x") > 1 or re.match(r"^(?:\\u[0-9a-fA-F]{4})", text):
+    if any(ord(c) > 127 for c in text) or text.count("\\u") + text.count("\\x") > 1 or re.search(r"^\\u[0-9a-fA-F]{4}|\\u(?!00[0-7])[0-9a-fA-F]{4}", text):
         return "foreign"
+    if re.match(r"^[A-Za-z]{1,2}u?'[a-z]+[.,:]?$", text):
+        return "plain"
     if _PHRASE.match(text):
         return "phrase"
     if _WORDPASS.match(text):
@@ -243,7 +265,9 @@ def shape(text: str) -> str:
     wild = n >= 8 and len(parts) > 1 and (letters + digits) / len(parts) < 3.6 or any(len(w) >= 4 and w.isalpha() and not re.search(r"[aeiouy]", w) for w in parts)
     if wild and lower and upper and n >= 8 and "/" not in text:
         return "mixed"
-    if re.match(r"^[A-Za-z_][\w.]*\(?\)?$", text) and (not digits or re.match(r"^[a-z_A-Z.]+?\d{0,3}$", text)) and not (kinds >= 3 and digits >= 2):
+    if re.match(r"^[A-Za-z_][\w.]*(?:\[\w*\])?(?:\([A-Za-z_.]*)?\)?$", text) and (not digits or re.match(r"^[a-z_A-Z.]+?\d{0,3}$", text)) and not (kinds >= 3 and digits >= 2):
+        return "name"
+    if re.match(r"^[A-Za-z_][A-Za-z_.]*(?:\[\d{1,4}\]?|\(\d{1,4})\)?$", text):
         return "name"
     if re.match(r"^[\w./-]+\.(?:csv|log|txt|json|html?|js|py|png|jpe?g|svg|md|ya?ml|xml)$", text):
         return "file"
@@ -258,6 +282,7 @@ def shape(text: str) -> str:
     return "other"
 
 
+@lru_cache(maxsize=MEMORY)
 def name_class(text: str) -> str:
     """What a name says of the value it holds."""
     w = set(_words(text))
@@ -278,6 +303,16 @@ def name_class(text: str) -> str:
     return "neutral"
 
 
+@lru_cache(maxsize=MEMORY)
+def _is_cue(text: str) -> bool:
+    return len(text) < 16 and any(w in _CUES for w in _words(text))
+
+
+@lru_cache(maxsize=MEMORY)
+def _value_features(sh: str, ctx: str, size: str, setting: bool) -> tuple[str, ...]:
+    return "sh:" + sh, "ctx:" + ctx, f"sh|ctx:{sh}|{ctx}", f"sh|len:{sh}|{size}", f"setting:{setting}"
+
+
 def features(line: str, toks: list[tuple[int, int, str]], setting: bool) -> list[list[str]]:
     """Shape and context features of every token."""
     rows = []
@@ -286,6 +321,7 @@ def features(line: str, toks: list[tuple[int, int, str]], setting: bool) -> list
     held = "none"  # the name class of the value that the last literal belongs to
     last_value = "none"
     prev_text = ""
+    concat = "concat" in line
     for at, (s, e, kind) in enumerate(toks):
         text = line[s:e]
         f = ["kind:" + kind, "bias"]
@@ -299,23 +335,24 @@ def features(line: str, toks: list[tuple[int, int, str]], setting: bool) -> list
                 user = True
         if kind == "u":
             scheme = True
-        if kind in ("v", "w") and any(w in _CUES for w in _words(text)) and len(text) < 16:
+        if kind in ("v", "w") and _is_cue(text):
             cue = 5
         if kind == "v":
             sh = shape(text)
             joint = literal and since <= 3
             near = "url" if scheme and prev_text.endswith((":",)) is False and kind == "v" and rows and rows[-1][0] in ("kind:n", "kind:u") else ""
             ctx = name if not comment or name not in ("none", "neutral") else ("cue" if cue else "comment")
-            f += ["sh:" + sh, "ctx:" + ctx, f"sh|ctx:{sh}|{ctx}", f"sh|len:{sh}|{_bin(e - s)}", f"setting:{setting}"]
+            f += _value_features(sh, ctx, _bin(e - s), setting)
             if near:
                 f += ["url", "url|" + ("ph" if sh == "placeholder" else "val")]
-            if "".join(line[a:b] for a, b, _ in toks[at + 1 : at + 4]) in ('"+"', "'+'", '","' if "concat" in line else '"+"') or "".join(line[a:b] for a, b, _ in toks[at + 1 : at + 3]) in ('""', "''"):
+            if at + 1 < len(toks) and toks[at + 1][2] == "q" and ("".join(line[a:b] for a, b, _ in toks[at + 1 : at + 4]) in ('"+"', "'+'", '","' if concat else '"+"') or "".join(line[a:b] for a, b, _ in toks[at + 1 : at + 3]) in ('""', "''")):
                 f += ["split", f"split|{ctx}"]
             if joint:
                 f += ["joint", f"joint|{last_value}", f"joint|{held}"]
-            before = "".join(line[a:b] if k != "w" and k != "v" else "x" for a, b, k in toks[max(0, at - 6) : at])
-            if re.search(r"\([\"']x[\"'],[\"']x?$", before):
-                f += ["pair", f"pair|{sh}"]
+            if any(k == "q" for *_, k in toks[max(0, at - 2) : at]):
+                before = "".join(line[a:b] if k != "w" and k != "v" else "x" for a, b, k in toks[max(0, at - 6) : at])
+                if re.search(r"\([\"']x[\"'],[\"']x?$", before):
+                    f += ["pair", f"pair|{sh}"]
             if user:
                 f += ["user", f"user|{sh}"]
             if prev_text in ("Basic", "Bearer", "Token"):
@@ -332,7 +369,7 @@ def features(line: str, toks: list[tuple[int, int, str]], setting: bool) -> list
         if kind == "q":
             if rows and rows[-1][0] in ("kind:v", "kind:w"):
                 literal, since = True, 0
-        elif text in ("+", "\\", "..") or (kind == "p" and text == "," and "concat" in line):
+        elif text in ("+", "\\", "..") or (kind == "p" and text == "," and concat):
             since += 1 if since < 9 else 0
         elif kind not in ("v", "w", "u", "@"):
             literal, since = False, 9
@@ -355,6 +392,7 @@ class Crf:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, steps: np.ndarray):
         self.index, self.weights, self.steps = index, weights, steps
+        self.scores: dict[tuple[str, ...], list[float]] = {}
 
     @classmethod
     def train(cls, data: list[tuple[list[list[str]], list[int]]], rounds: int = 60, l2: float = 0.02) -> Crf:
@@ -416,11 +454,23 @@ class Crf:
         return cls(index, w[:nf], a)
 
     def viterbi(self, rows: list[list[str]]) -> list[int]:
-        get, w, a = self.index.get, self.weights, self.steps.tolist()
-        best, back = None, []
+        get, w, a, scores = self.index.get, self.weights, self.steps.tolist(), self.scores
+        if len(scores) > MEMORY:
+            scores.clear()
+        emitted, quiet = [], True
         for f in rows:
-            ids = [i for i in map(get, f) if i is not None]
-            s = w[ids].sum(0).tolist() if ids else [0.0, 0.0, 0.0]
+            s = scores.get(known := tuple(f))
+            if s is None:
+                ids = [i for i in map(get, f) if i is not None]
+                e = w[ids].sum(0).tolist() if ids else [0.0, 0.0, 0.0]
+                # no path gains by leaving O here, whatever steps lead in and out
+                s = scores[known] = (*e, all(e[k] - e[0] + max(0.0, *(a[j][k] - a[0][0] for j in range(3))) + max(0.0, a[k][0] - a[0][0]) < 0 for k in (1, 2)))
+            emitted.append(s)
+            quiet = quiet and s[3]
+        if quiet:
+            return [0] * len(rows)
+        best, back = None, []
+        for s in emitted:
             if best is None:
                 best = s
                 continue
@@ -574,56 +624,73 @@ def model(n: int = TRAINING_LINES, seed: int = SEED) -> Crf:
 # ---------------------------------------------------------------- search of whole texts
 
 
-def candidate_windows(text: str, setting: bool) -> list[tuple[int, int]]:
-    """(begin, end) of the windows worth labelling: the line around a candidate, cut to _WINDOW on either side."""
-    spans: list[tuple[int, int]] = []
-    for rx in (_SETTING, _QUOTED, _UNQUOTED) if setting else (_QUOTED, _UNQUOTED):
-        spans += [m.span() for m in rx.finditer(text)]
-    spans.sort()
-    out: list[tuple[int, int]] = []
-    for s, e in spans:
-        a = max(text.rfind("\n", 0, s) + 1, s - _WINDOW)
-        b = text.find("\n", s)
-        b = min(len(text) if b < 0 else b, e + _WINDOW)
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def key_end(text: str, head: re.Match) -> int:
+    """Where the key behind a header ends."""
+    end = _END.search(text, head.end())
+    return end.end() if end else len(text)
+
+
+def _continued(text: str, filename: str | None) -> list[tuple[int, int]]:
+    """(begin, end) of the comments and literals that go on over a line's end, in order."""
+    if not _LONG.search(text):
+        return []
+    k = skim(text, lexer_for(text, language_of(filename)), False)
+    return sorted((s, e) for s, e in (*k.comments, *k.strings) if "\n" in text[s:e])
+
+
+def labelled_line(line: str, setting: bool, inside: int, crf: Crf) -> list[tuple[int, int, bool]]:
+    """(begin, end, whether a value begins) of the characters of one line to hide."""
+    toks = tokenize(line, setting, inside)
+    if not any(k == "v" for _, _, k in toks):
+        return []
+    labels = crf.viterbi(features(line, toks, setting))
+    return [(s, e, y == 1) for (s, e, kind), y in zip(toks, labels) if y and kind in ("v", "w")]
 
 
-def spans_of(text: str | None, setting: bool, crf: Crf) -> list[tuple[int, int, bool]]:
-    """(begin, end, whether a value begins) of the characters to hide."""
+def spans_of(text: str | None, setting: bool, crf: Crf, filename: str | None = None, memory: dict | None = None) -> list[tuple[int, int, bool]]:
+    """(begin, end, whether a value begins) of the characters to hide. Every line is labelled as a whole; only lines
+    that give no value are left out. A key is labelled by its header, its text is left out of the line."""
     if not text:
         return []
+    memory = {} if memory is None else memory
+    keys, cuts, parts, low = {}, [], [], 0
+    if "-----BEGIN" in text:
+        whole, text = text, ""
+        for m in _HEAD.finditer(whole):
+            if m.start() < low:
+                continue
+            end = key_end(whole, m)
+            parts.append(whole[low : m.end()])
+            at = sum(map(len, parts))
+            keys[at - len(m[0])] = end
+            cuts.append((at, end - m.end()))
+            low = end
+        text = "".join(parts) + whole[low:]
+    open_parts = [] if setting else _continued(text, filename)
     found: list[tuple[int, int, bool]] = []
-    low = 0
-    for a, b in candidate_windows(text, setting):
-        if a < low:
-            a = low
+    a, shift, cut, part = 0, 0, 0, 0
+    while a <= len(text):
+        b = text.find("\n", a)
+        b = len(text) if b < 0 else b
+        while part < len(open_parts) and open_parts[part][1] <= a:
+            part += 1
+        inside = min(open_parts[part][1], b) - a if part < len(open_parts) and open_parts[part][0] < a else 0
         line = text[a:b]
-        if not line.strip():
-            continue
-        key = _PEM.search(text, a) if "-----BEGIN" in line else None
-        if key and key.start() < b:
-            line = line[: key.start() - a + len(key[0].split("\n")[0])]
-            head = f"-----BEGIN {key[1]}-----"
-            toks = [t for t in tokenize(line[: key.start() - a], setting)]
-            toks.append((key.start() - a, key.start() - a + len(head), "v"))
-            labels = crf.viterbi(features(line, toks, setting))
-            if labels[-1]:
-                found.append((key.start(), key.end(), True))
-            low = key.end()
-            toks, labels = toks[:-1], labels[:-1]
-        else:
-            toks = tokenize(line, setting)
-            if not any(k == "v" for _, _, k in toks):
-                continue
-            labels = crf.viterbi(features(line, toks, setting))
-        for (s, e, kind), y in zip(toks, labels):
-            if y and kind in ("v", "w"):
-                found.append((a + s, a + e, y == 1))
+        if inside or setting or _LITERAL.search(line):
+            known = memory.get((line, setting, inside))
+            if known is None:
+                if len(memory) >= MEMORY:
+                    memory.clear()
+                known = memory[line, setting, inside] = labelled_line(line, setting, inside, crf)
+            for s, e, begins in known:
+                while cut < len(cuts) and cuts[cut][0] <= a + s:
+                    shift += cuts[cut][1]
+                    cut += 1
+                if a + s in keys:
+                    found.append((a + s + shift, keys[a + s], True))
+                else:
+                    found.append((a + s + shift, a + e + shift, begins))
+        a = b + 1
     return found
 
 
@@ -640,10 +707,11 @@ def _walk(table: DataFrame, id_col: str, source_col: str, filename_col: str, red
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crf = Crf(*parts)
+        memory: dict = {}
         for f in frames:
             rows = []
             for i, name, text in zip(f["row_id"], f["file_name"], f["file_text"]):
-                found = spans_of(text, _is_setting(name), crf)
+                found = spans_of(text, _is_setting(name), crf, name, memory)
                 if redact_text:
                     out = list(text) if found else None
                     for s, e, _ in found:
