@@ -37,6 +37,10 @@ LABELS = ("O", "B", "I")
 _SETTINGS_EXT = (".env", ".yaml", ".yml", ".json", ".properties", ".toml", ".sh", ".ini", ".cfg", ".conf")
 _HEAD = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----")
 _END = re.compile(r"-----END [A-Z0-9 ]*-----")
+# what parts the lines of a key: line ends, also escaped, and the quotes of its pieces
+_KEY_BREAK = re.compile(r"\r?\n|(?:\\+[rn])+|[\"'`]")
+_KEY_EDGE = " \t,;.()&#*>|\\-"
+_KEY_HEADER = re.compile(r"[A-Z][A-Za-z-]+: [^\n]*")
 # where a literal or comment can begin that goes on over a line's end
 _LONG = re.compile(r"/\*|\"\"\"|\'\'\'|`|R\"|@\$?\"|\$@\"|\"[^\"\n]*\n|\\\n")
 # a line outside these has no literal and no comment, so tokenize gives no value there
@@ -625,9 +629,38 @@ def model(n: int = TRAINING_LINES, seed: int = SEED) -> Crf:
 
 
 def key_end(text: str, head: re.Match) -> int:
-    """Where the key behind a header ends."""
-    end = _END.search(text, head.end())
-    return end.end() if end else len(text)
+    """Where the key behind a header ends: at its END line, or without one behind the last line that looks like base64."""
+    begin = head.end()
+    nxt = _HEAD.search(text, begin)
+    end = _END.search(text, begin, nxt.start() if nxt else len(text))
+    if end and "PRIVATE" in head[1] and all(re.fullmatch(r"[\w+/=.]*", x) or _KEY_HEADER.fullmatch(x) for x in (y.strip(_KEY_EDGE) for y in _KEY_BREAK.split(text[begin : end.start()]))):
+        return end.end()
+    last = at = begin
+    for m in _KEY_BREAK.finditer(text, begin):
+        if not (stop := _key_line(text, at, m.start(), end)):
+            break
+        last, at = stop if stop > at else last, m.end()
+    else:
+        stop = _key_line(text, at, len(text), end) or 0
+        last = stop if stop > at else last
+    return end.end() if end and not text[last : end.start()].strip(_KEY_EDGE + "\r\n\"'`+nr") else last
+
+
+def _key_line(text: str, a: int, b: int, end: re.Match | None) -> int | None:
+    """Where the part of a key on text[a:b] ends: a itself where the line has joints only, None where it is no key's."""
+    if end and a <= end.start() < b:
+        b = end.start()
+    line = text[a:b]
+    core = line.strip(_KEY_EDGE)
+    if core in ("", "+") or _KEY_HEADER.fullmatch(core) and core.startswith(("Proc-Type", "DEK-Info", "Comment", "Version")):
+        return a or None
+    core = core.removeprefix("+ ").removesuffix(" +").strip(_KEY_EDGE)
+    if not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", core):
+        return None
+    whole = len(core) >= 16 and re.search(r"[0-9+/]", core) and re.search(r"[A-Z]", core)
+    if whole or core.endswith("=") or end and b == end.start() or not text[b:].strip() or end and not text[b : end.start()].strip(_KEY_EDGE + "\r\n\"'`+nr"):
+        return a + line.rindex(core) + len(core)
+    return None
 
 
 def _continued(text: str, filename: str | None) -> list[tuple[int, int]]:
@@ -687,6 +720,8 @@ def spans_of(text: str | None, setting: bool, crf: Crf, filename: str | None = N
                     shift += cuts[cut][1]
                     cut += 1
                 if a + s in keys:
+                    if keys[a + s] == a + e + shift and not _END.search(text, a + e):
+                        continue  # a header alone is no key
                     found.append((a + s + shift, keys[a + s], True))
                 else:
                     found.append((a + s + shift, a + e + shift, begins))
