@@ -733,7 +733,17 @@ def _is_setting(name: str | None) -> bool:
     return bool(name) and name.lower().endswith(_SETTINGS_EXT)
 
 
-def _walk(table: DataFrame, id_col: str, source_col: str, filename_col: str, redact_text: bool) -> DataFrame:
+def _hide(text: str, found: list[tuple[int, int, bool]]) -> str:
+    out = list(text)
+    for s, e, _ in found:
+        for k in range(s, e):
+            if out[k] not in "\r\n":
+                out[k] = "*"
+    return "".join(out)
+
+
+def find_credentials(table: DataFrame, id_col: str = "id", source_col: str = "source", filename_col: str = "filename") -> DataFrame:
+    """row_id, line_no: the lines on which a credential begins, each once."""
     narrow = table.select(F.col(id_col).alias("row_id"), F.col(filename_col).alias("file_name"), F.col(source_col).alias("file_text"))
     narrow = narrow.filter(F.col("file_text").isNotNull() & (F.col("file_text") != ""))
     kind = dict(narrow.dtypes)["row_id"]
@@ -747,25 +757,28 @@ def _walk(table: DataFrame, id_col: str, source_col: str, filename_col: str, red
             rows = []
             for i, name, text in zip(f["row_id"], f["file_name"], f["file_text"]):
                 found = spans_of(text, _is_setting(name), crf, name, memory)
-                if redact_text:
-                    out = list(text) if found else None
-                    for s, e, _ in found:
-                        for k in range(s, e):
-                            if out[k] not in "\r\n":
-                                out[k] = "*"
-                    rows.append((i, "".join(out) if found else text, sum(b for *_, b in found)))
-                else:
-                    rows += [(i, n) for n in sorted({text.count("\n", 0, s) + 1 for s, _, b in found if b})]
-            yield pd.DataFrame(rows, columns=["row_id", "redacted", "n_secrets"] if redact_text else ["row_id", "line_no"])
+                rows += [(i, n) for n in sorted({text.count("\n", 0, s) + 1 for s, _, b in found if b})]
+            yield pd.DataFrame(rows, columns=["row_id", "line_no"])
 
-    return narrow.mapInPandas(run, f"row_id {kind}, redacted string, n_secrets int" if redact_text else f"row_id {kind}, line_no int")
+    return narrow.mapInPandas(run, f"row_id {kind}, line_no int")
 
 
-def find_credentials(table: DataFrame, id_col: str = "id", source_col: str = "source", filename_col: str = "filename") -> DataFrame:
-    """row_id, line_no: the lines on which a credential begins, each once."""
-    return _walk(table, id_col, source_col, filename_col, False)
+def redact(table: DataFrame, id_col: str = "id", source_col: str = "source", filename_col: str = "filename") -> DataFrame:
+    """row_id, the other columns, redacted, n_secrets of every row: the hidden characters are stars, everything else is
+    unchanged, the length too; a null or empty text stays as it is, with no secrets."""
+    trained = model()
+    parts = (trained.index, trained.weights, trained.steps)
 
+    @F.pandas_udf("redacted string, n_secrets int")
+    def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        crf = Crf(*parts)
+        memory: dict = {}
+        for names, texts in frames:
+            rows = []
+            for name, text in zip(names, texts):
+                found = spans_of(text, _is_setting(name), crf, name, memory)
+                rows.append((_hide(text, found) if found else text, sum(b for *_, b in found)))
+            yield pd.DataFrame(rows, columns=["redacted", "n_secrets"])
 
-def redact(table: DataFrame, id_col: str = "id", source_col: str = "source", filename_col: str = "filename") -> DataFrame:
-    """row_id, redacted, n_secrets of the rows with text: the hidden characters are stars, everything else is unchanged, the length too."""
-    return _walk(table, id_col, source_col, filename_col, True)
+    others = [c for c in table.columns if c not in (id_col, source_col)]
+    return table.select(F.col(id_col).alias("row_id"), *others, run(F.col(filename_col), F.col(source_col)).alias("hidden")).select("row_id", *others, "hidden.redacted", "hidden.n_secrets")

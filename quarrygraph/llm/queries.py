@@ -92,8 +92,10 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Every row of both tables with its text redacted; a column that one table lacks is null there."""
     _arrow(spark)
-    return credentials.redact(table(spark, base, "sourcecode")).withColumnRenamed("row_id", "source_id")
+    files = credentials.redact(table(spark, base, "sourcecode")).selectExpr("'sourcecode' AS origin", "*")
+    return files.unionByName(credentials.redact(table(spark, base, "entity")).selectExpr("'entity' AS origin", "*"), allowMissingColumns=True)
 
 
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:

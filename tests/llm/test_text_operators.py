@@ -289,3 +289,14 @@ PASSWORD = 'db_password = "kV9!xQ2zRt7p"'
 )
 def test_keys_are_bounded(crf, text, hidden):
     assert [text[a:b] for a, b, _ in C.spans_of(text, False, crf, "a.py")] == hidden
+
+
+def test_redaction_keeps_all_rows_of_both_tables(spark, tmp_path):
+    from quarrygraph.llm import queries as Q
+
+    rows = [(1, 7, "a.py", PASSWORD), (2, 7, "a.py", None), (3, None, "a.py", "")]
+    for name in ("sourcecode", "entity"):
+        spark.createDataFrame(rows, "id long, project_id int, filename string, source string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {tuple(r) for r in Q.p7_redacted(spark, str(tmp_path)).select("origin", "row_id", "project_id", "redacted", "n_secrets").collect()}
+    hidden = PASSWORD.replace("kV9!xQ2zRt7p", "*" * 12)
+    assert got == {(o, *r) for o in ("sourcecode", "entity") for r in [(1, 7, hidden, 1), (2, 7, None, 0), (3, None, "", 0)]}
