@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,18 +86,61 @@ def unaccented(text: str, german: bool = False) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)) if not _CJK.search(text) else text
 
 
-def sentences(text: str) -> Iterator[tuple[str, list[str]]]:
-    """(sentence, words) of a text's sentences; quoted code and identifiers are left out of the words."""
-    if "`" in text or "(" in text:
-        text = _CODE_SPAN.sub(" ", text)
-    for part in _SENTENCE.split(text):
-        part = _MARK.sub("", part).strip(" \t\r\"'")
+def _parts(text: str) -> Iterator[tuple[int, str, list[str]]]:
+    """(begin, sentence, words) of a text without quoted code."""
+    pos = 0
+    for begin, end in [*(m.span() for m in _SENTENCE.finditer(text)), (len(text), len(text))]:
+        piece, at, pos = text[pos:begin], pos, end
+        part = _MARK.sub("", piece).strip(" \t\r\"'")
         if len(part) < 6:
             continue
         plain = _IDENTIFIER.sub(lambda m: m[0] if _CJK.search(m[0]) else " ", part)
         words = _WORD.findall(plain.lower())
         if len(words) >= 3 or (words and sum(len(w) for w in words if _CJK.match(w)) >= 6):
-            yield part, words
+            yield at + piece.find(part), part, words
+
+
+def sentences(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(sentence, words) of a text's sentences; quoted code and identifiers are left out of the words."""
+    if "`" in text or "(" in text:
+        text = _CODE_SPAN.sub(" ", text)
+    for _, part, words in _parts(text):
+        yield part, words
+
+
+def _steps(rx: re.Pattern, text: str, widths: Callable[[re.Match], int]) -> tuple[list[int], list[int]]:
+    """Places behind a replacement and the places before it that they come from, where the two begin to differ."""
+    after, before, shift = [0], [0], 0
+    for m in rx.finditer(text):
+        width = widths(m)
+        after += [m.start() - shift, m.start() - shift + width]
+        before += [m.start(), m.end()]
+        shift += len(m[0]) - width
+    return after, before
+
+
+def _back(steps: tuple[list[int], list[int]], place: int) -> int:
+    i = bisect_right(steps[0], place) - 1
+    return steps[1][i] + place - steps[0][i]
+
+
+def placed_sentences(text: str) -> Iterator[tuple[int, str, int, list[str]]]:
+    """(place, sentence, n_chars, words): the sentence as it stands there with the letters of its escapes and its quoted
+    code, the character of the text at which it begins, and its length without quoted code."""
+    plain = unescape(text)
+    blank = _CODE_SPAN.sub(" ", plain) if "`" in plain or "(" in plain else plain
+    escapes = spans = None
+    for begin, part, words in _parts(blank):
+        end = begin + len(part)
+        if len(blank) != len(plain):
+            spans = spans or _steps(_CODE_SPAN, plain, lambda m: 1)
+            begin, end = _back(spans, begin), _back(spans, end - 1) + 1
+        place = begin
+        if len(plain) != len(text):
+            # the second half of a surrogate pair adds no letter
+            escapes = escapes or _steps(_ESCAPE, text, lambda m: 0 if m[2] and m[2][:2].lower() in ("dc", "dd", "de", "df") and re.search(r"\\u[dD][89abAB][0-9a-fA-F]{2}\Z", text[max(0, m.start() - 6) : m.start()]) else 1)
+            place = _back(escapes, begin)
+        yield place, plain[begin:end], len(part), words
 
 
 class Scorer:
@@ -212,47 +256,57 @@ def lexer_for(src: str, lang: str | None) -> str:
     return "python" if _PY_HEAD.search(src) and not _BRACES.search(src) else lang
 
 
-def texts_of(src: str, lang: str | None) -> list[str]:
-    """The comments and literals of a source, consecutive line comments one text each."""
+def texts_of(src: str, lang: str | None) -> list[tuple[int, str]]:
+    """(place, text) of the comments and literals of a source, consecutive line comments one text each."""
     kind = lexer_for(src, lang)
     k = skim(src, kind, False)
     out = []
     for s, e in k.comments:
-        out.append(src[s:e])
+        out.append((s, src[s:e]))
     for s, e in k.strings:
         if e - s > 10:
-            out.append(src[s:e])
+            out.append((s, src[s:e]))
     return out
 
 
-def text_languages(table: DataFrame, logp: np.ndarray, kind: str = "source", id_col: str = "id", text_col: str = "source", filename_col: str | None = "filename", directory: str = DIRECTORY) -> DataFrame:
-    """row_id, lang, n_sentences, n_chars, share: a row for each language of each row's texts; share is the
-    part of the whole text's characters. ``kind`` "source" reads the comments and literals of a file,
-    "text" reads the column as one text."""
+def _walk(table: DataFrame, logp: np.ndarray, kind: str, id_col: str, text_col: str, filename_col: str | None, directory: str, shares: bool) -> DataFrame:
     cols = [F.col(id_col).alias("row_id"), F.col(text_col).alias("own_text"), (F.col(filename_col) if filename_col else F.lit(None).cast("string")).alias("file_name")]
     narrow = table.select(*cols).filter(F.col("own_text").isNotNull() & (F.col("own_text") != ""))
     id_type = dict(narrow.dtypes)["row_id"]
+    columns = ["row_id", "lang", "n_sentences", "n_chars", "share"] if shares else ["row_id", "sentence", "place", "lang"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(logp, directory)
         for f in frames:
-            owner, parts, words = [], [], []
-            whole = {}
-            for i, (row, text, name) in enumerate(zip(f["row_id"], f["own_text"], f["file_name"])):
-                whole[i] = len(text)
-                for t in texts_of(text, language_of(name)) if kind == "source" else [text]:
-                    for part, ws in sentences(unescape(t)):
-                        owner.append(i)
-                        parts.append(part)
+            found, words = [], []
+            for i, (text, name) in enumerate(zip(f["own_text"], f["file_name"])):
+                for at, t in texts_of(text, language_of(name)) if kind == "source" else [(0, text)]:
+                    for place, sentence, n, ws in placed_sentences(t):
+                        found.append((i, sentence, at + place, n))
                         words.append(ws)
-            kinds = scorer.classify(words)
+            ids, whole = f["row_id"].tolist(), f["own_text"].str.len().tolist()
+            kept = [(x, int(c)) for x, c in zip(found, scorer.classify(words)) if c != 1]
+            if not shares:
+                yield pd.DataFrame([(ids[i], sentence, place, CLASSES[c]) for (i, sentence, place, _), c in kept], columns=columns)
+                continue
             total: dict[tuple[int, int], list[int]] = {}
-            for i, part, c in zip(owner, parts, kinds):
-                if c != 1:
-                    x = total.setdefault((i, int(c)), [0, 0])
-                    x[0] += 1
-                    x[1] += len(part)
-            ids = f["row_id"].tolist()
-            yield pd.DataFrame([(ids[i], CLASSES[c], n, m, min(1.0, m / whole[i])) for (i, c), (n, m) in total.items()], columns=["row_id", "lang", "n_sentences", "n_chars", "share"])
-
-    return narrow.mapInPandas(run, f"row_id {id_type}, lang string, n_sentences long, n_chars long, share double")
+            for (i, _, _, n), c in kept:
+                x = total.setdefault((i, c), [0, 0])
+                x[0] += 1
+                x[1] += n
+            yield pd.DataFrame([(ids[i], CLASSES[c], n, m, min(1.0, m / whole[i])) for (i, c), (n, m) in total.items()], columns=columns)
+
+    return narrow.mapInPandas(run, f"row_id {id_type}, lang string, n_sentences long, n_chars long, share double" if shares else f"row_id {id_type}, sentence string, place int, lang string")
+
+
+def text_sentences(table: DataFrame, logp: np.ndarray, kind: str = "source", id_col: str = "id", text_col: str = "source", filename_col: str | None = "filename", directory: str = DIRECTORY) -> DataFrame:
+    """row_id, sentence, place, lang: a row for each sentence of each row's texts; place is the 0-based character of
+    the text at which it begins. ``kind`` as for ``text_languages``."""
+    return _walk(table, logp, kind, id_col, text_col, filename_col, directory, False)
+
+
+def text_languages(table: DataFrame, logp: np.ndarray, kind: str = "source", id_col: str = "id", text_col: str = "source", filename_col: str | None = "filename", directory: str = DIRECTORY) -> DataFrame:
+    """row_id, lang, n_sentences, n_chars, share: a row for each language of each row's texts, added up from the same
+    sentences; share is the part of the whole text's characters. ``kind`` "source" reads the comments and literals
+    of a file, "text" reads the column as one text."""
+    return _walk(table, logp, kind, id_col, text_col, filename_col, directory, True)

@@ -50,11 +50,11 @@ def p3_groups(spark: SparkSession, base: str) -> DataFrame:
     return near.groups(*_similar(spark, base)).withColumnRenamed("rid", "entity_id")
 
 
-def _languages(spark: SparkSession, base: str) -> DataFrame:
+def _languages(spark: SparkSession, base: str, operator: Callable[..., DataFrame] = languages.text_languages) -> DataFrame:
     _arrow(spark)
     logp = languages.train(table(spark, base, "documents"))
-    files = languages.text_languages(table(spark, base, "sourcecode"), logp)
-    comments = languages.text_languages(table(spark, base, "entity"), logp, kind="text", text_col="comment", filename_col=None)
+    files = operator(table(spark, base, "sourcecode"), logp)
+    comments = operator(table(spark, base, "entity"), logp, kind="text", text_col="comment", filename_col=None)
     return files.selectExpr("'sourcecode' AS origin", "*").unionByName(comments.selectExpr("'entity' AS origin", "*"))
 
 
@@ -62,6 +62,11 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return _languages(spark, base).filter("lang <> 'en'").select("origin", "row_id", "lang")
 
 
+def p4_sentences(spark: SparkSession, base: str) -> DataFrame:
+    """Every sentence of both tables' texts with its language, English too."""
+    return _languages(spark, base, languages.text_sentences)
+
+
 def p4_share(spark: SparkSession, base: str) -> DataFrame:
     return _languages(spark, base)
 
@@ -140,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
+    "p4_sentences": p4_sentences,
     "p4_share": p4_share,
     "p5_found": p5_found,
     "p5_handwritten": p5_handwritten,

@@ -300,3 +300,12 @@ def test_redaction_keeps_all_rows_of_both_tables(spark, tmp_path):
     got = {tuple(r) for r in Q.p7_redacted(spark, str(tmp_path)).select("origin", "row_id", "project_id", "redacted", "n_secrets").collect()}
     hidden = PASSWORD.replace("kV9!xQ2zRt7p", "*" * 12)
     assert got == {(o, *r) for o in ("sourcecode", "entity") for r in [(1, 7, hidden, 1), (2, 7, None, 0), (3, None, "", 0)]}
+
+
+def test_sentences_come_out(spark):
+    docs = spark.createDataFrame([("de", "Die Klasse liest die Werte aus der Datei."), ("en", "The reader keeps the last value of the file.")] * 3, "lang string, text string")
+    logp = L.train(docs)
+    code = "x = 1  # Die Klasse (load_all) liest die Werte der Datei.\ny = 'Der Z\\u00e4hler liest die Werte der Datei. The reader keeps the value of the file.'\n"
+    got = sorted(tuple(r) for r in L.text_sentences(spark.createDataFrame([(1, "a.py", code), (2, "a.py", None)], "id long, filename string, source string"), logp).collect())
+    want = [("Der Zähler liest die Werte der Datei.", "Der Z", "de"), ("Die Klasse (load_all) liest die Werte der Datei.", "Die", "de"), ("The reader keeps the value of the file.", "The", "en")]
+    assert got == [(1, text, code.index(start), lang) for text, start, lang in want]
