@@ -264,7 +264,7 @@ def texts_of(src: str, lang: str | None) -> list[tuple[int, str]]:
     for s, e in k.comments:
         out.append((s, src[s:e]))
     for s, e in k.strings:
-        if e - s > 10:
+        if e - s > 6:  # a sentence has six characters at least, behind a quote
             out.append((s, src[s:e]))
     return out
 

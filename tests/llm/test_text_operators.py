@@ -309,3 +309,8 @@ def test_sentences_come_out(spark):
     got = sorted(tuple(r) for r in L.text_sentences(spark.createDataFrame([(1, "a.py", code), (2, "a.py", None)], "id long, filename string, source string"), logp).collect())
     want = [("Der Zähler liest die Werte der Datei.", "Der Z", "de"), ("Die Klasse (load_all) liest die Werte der Datei.", "Die", "de"), ("The reader keeps the value of the file.", "The", "en")]
     assert got == [(1, text, code.index(start), lang) for text, start, lang in want]
+
+
+def test_short_literals_are_read():
+    texts = [t for _, t in L.texts_of("x = '跳过重复的行'\n", "python")]
+    assert [part for t in texts for part, _ in L.sentences(t)] == ["跳过重复的行"]
