@@ -1,19 +1,19 @@
 """Parent-child rows to full hierarchies, and the circles of a directed graph (problem 6).
 
-``forest`` peels leaves bottom-up: a node without open children is closed, and tells its parent how many
-nodes its subtree holds; what no peeling reaches lies on circles. Then, from the nodes closed last down,
-every node takes its parent's path and appends itself. Only open nodes take part in a round, a few
-rounds are planned at once, and each such plan ends in a reliable checkpoint. Descendants are given as
-rows, not as arrays, so the subtree of one root never has to fit into one task.
+``forest`` peels bottom-up: each node sends the size of its subtree and its peel level to the nodes above it, which
+add up what they are told; in the reverse order, from the roots down, every node takes root, depth and path of the
+node above it. Both go in strides that double (one step up, two, four, ...), so a chain of n nodes takes log n
+rounds instead of n; what is never reached from a root lies on or below circles. Each round ends in a reliable
+checkpoint. Descendants are given as rows, not as arrays, so the subtree of one root never has to fit into one task.
 
-``circles`` drops nodes without in- or out-edges, cuts the rest into weakly connected parts and finds the
+``circles`` peels off nodes without in- or out-edges, cuts the residual into weakly connected parts and finds the
 strong components of each: parts of at most ``PART_EDGES`` edges by Tarjan's algorithm, one part a task,
 larger ones by forward and backward colouring over the whole cluster.
 
 Cases: null children or parents are no rows; repeated rows count once; of several parents of a child the
 smallest is taken; a row that names itself as parent is a circle of one; nodes that hang below a circle
-have depth -1, no path, and the circle's smallest node as root; empty tables give empty results; other
-columns are ignored.
+have depth -1, no path, size and peel level, and the circle's smallest node as root; empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..plans.rounds import connected_components, cut
 
-STEPS = 5  # rounds planned at once where a round reads its predecessor once
-TWICE = 2  # the same where it reads it twice, which doubles the plan
+TWICE = 2  # rounds of colouring planned at once; each reads its predecessor twice
+SHRINK = 0.95  # share of the edges that a round of peeling leaves, from which the rest is cut into parts
 PART_EDGES = 100_000
 
 
@@ -34,75 +34,57 @@ def tree_rows(edges: DataFrame, child: str, parent: str) -> DataFrame:
     return edges.filter(F.col(child).isNotNull() & F.col(parent).isNotNull()).groupBy(F.col(child).alias("id")).agg(F.min(parent).alias("parent"))
 
 
-def _peel(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(closed, residual): closed has id, parent, size and level in the order of peeling; residual the nodes on circles.
+def _strides(nodes: DataFrame) -> DataFrame:
+    """id, parent, root, depth, size, peel of every node; root and depth are null for the residual, whose low and ptr
+    are of its circle. nodes: id, parent (null for a root).
 
-    nodes: id, parent (null for a root)."""
-    kids = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("open"))
-    state = cut(nodes.join(kids, "id", "left").select("id", "parent", F.coalesce("open", F.lit(0)).alias("open"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("round")))
-    closed = []
+    Before the stride of length n a node points n steps up, and size and peel are of its subtree as far as n - 1 steps
+    down. It sends both to the node it points to, and takes over where that one points. Where that one is closed, so
+    is it then. A node on or below a circle never closes; low is the smallest node of the n steps up from it."""
+    state = cut(nodes.select("id", "parent", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), F.when(F.col("parent").isNull(), 0).alias("depth"), F.lit(1.0).alias("size"), F.lit(0).alias("peel"), F.col("id").alias("low")))
+    stride, before = 1, None
     while True:
-        s = state
-        for _ in range(TWICE):
-            leaves = (F.col("open") == 0) & F.col("level").isNull()
-            told = s.filter(leaves & F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.sum("size").alias("more"))
-            s = s.withColumn("level", F.when(leaves, F.col("round")).otherwise(F.col("level"))).join(told, "id", "left")
-            s = s.select("id", "parent", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "level", (F.col("round") + 1).alias("round"))
-        s = cut(s)
-        done = s.filter("level IS NOT NULL").select("id", "parent", "size", "level")
-        closed.append(done)
-        state = s.filter("level IS NULL")
-        gone, left = s.agg(F.count("level"), F.count("*") - F.count("level")).first()
-        if not gone or not left:
-            break
-    out = closed[0]
-    for x in closed[1:]:
-        out = out.unionByName(x)
-    return out, state.select("id", "parent")
+        live = state.filter("ptr IS NOT NULL").repartition("ptr")
+        told = live.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"), (F.max("peel") + stride).alias("far"))
+        goal = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("root").alias("top"), F.col("depth").alias("above"), F.col("low").alias("there"))
+        moved = live.drop("root", "depth").join(goal, "ptr").select("id", "parent", F.col("next").alias("ptr"), F.col("top").alias("root"), (F.col("above") + stride).alias("depth"), "size", "peel", F.least("low", "there").alias("low"), (F.col("there") < F.col("low")).alias("fell"))
+        both = moved.unionByName(state.filter("ptr IS NULL").select("id", "parent", "ptr", "root", "depth", "size", "peel", "low", F.lit(False).alias("fell")))
+        new = both.join(told, "id", "left").select("id", "parent", "ptr", "root", "depth", (F.col("size") + F.coalesce("more", F.lit(0.0))).alias("size"), F.greatest("peel", "far").alias("peel"), "low", "fell")
+        new = cut(new)
+        live, goals, fell = new.agg(F.count("ptr"), F.count_distinct("ptr"), F.count_if(F.col("fell") & F.col("ptr").isNotNull())).first()
+        state = new.drop("fell")
+        # where a stride leaves the nodes it ends at as they were, all of these lie on circles
+        if not live or ((live, goals) == before and not fell):
+            return state
+        stride, before = 2 * stride, (live, goals)
+
+
+def _paths(closed: DataFrame) -> DataFrame:
+    """(id, path) of nodes that are closed, from the roots down in strides that double."""
+    deepest = closed.agg(F.max("depth")).first()[0] or 0
+    state = closed.select("id", F.col("parent").alias("ptr"), F.array("id").alias("path"))
+    stride = 1
+    while stride <= deepest:
+        up = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("path").alias("way"))
+        longer = state.filter("ptr IS NOT NULL").join(up, "ptr").select("id", F.col("next").alias("ptr"), F.concat("way", "path").alias("path"))
+        state = cut(longer.unionByName(state.filter("ptr IS NULL")))
+        stride *= 2
+    return state.select("id", "path")
 
 
 def forest(edges: DataFrame, child: str = "child", parent: str = "parent", paths: bool = True) -> DataFrame:
-    """node_id, parent_id, root_id, depth, path, subtree_size of every node that is a child or a parent; without
-    ``paths`` the first, third and fourth of these only."""
+    """node_id, parent_id, root_id, depth, subtree_size, peel_level and, unless ``paths`` is False, path of every node
+    that is a child or a parent. peel_level is the round in which leaf by leaf peeling would take the node away."""
     rows = tree_rows(edges, child, parent)
     tops = rows.select(F.col("parent").alias("id")).distinct().join(rows.select("id"), "id", "left_anti").select("id", F.lit(None).cast(dict(rows.dtypes)["parent"]).alias("parent"))
-    nodes = cut(rows.unionByName(tops))
-    closed, residual = _peel(nodes)
-    rings = residual.filter("id <> parent")
-    ring = connected_components(rings, "id", "parent").select(F.col("node").alias("id"), F.col("component").alias("root"))
-    ring = ring.unionByName(residual.filter("id = parent").select("id", F.col("id").alias("root")))
-    kind = dict(nodes.dtypes)["id"]
-    first = (
-        closed.filter("parent IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-        .unionByName(ring.select("id", "root", F.lit(-1).alias("depth"), F.lit(None).cast(f"array<{kind}>").alias("path")))
-    )
-    if not paths:
-        first = first.drop("path")
-    done = [cut(first)]
-    waiting = closed.filter("parent IS NOT NULL").select("id", "parent")
-    front = done[0]
-    while True:
-        steps = []
-        for _ in range(STEPS):
-            up = front.select(F.col("id").alias("parent"), "root", F.col("depth").alias("above"), *[F.col("path").alias("way")] * paths)
-            front = waiting.join(up, "parent").select("id", "root", F.when(F.col("above") < 0, F.lit(-1)).otherwise(F.col("above") + 1).alias("depth"), *[F.concat("way", F.array("id")).alias("path")] * paths)
-            steps.append(front)
-        new = steps[0].withColumn("step", F.lit(0))
-        for i, x in enumerate(steps[1:], 1):
-            new = new.unionByName(x.withColumn("step", F.lit(i)))
-        new = cut(new)
-        if new.limit(1).count() == 0:
-            break
-        done.append(new.drop("step"))
-        front = new.filter(F.col("step") == STEPS - 1).drop("step")
-        waiting = cut(waiting.join(new.select("id"), "id", "left_anti"))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    if not paths:
-        return out.select(F.col("id").alias("node_id"), F.col("root").alias("root_id"), "depth")
-    sizes = nodes.join(closed.select("id", "size"), "id", "left")
-    return out.join(sizes, "id").select(F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", "path", F.col("size").alias("subtree_size"))
+    state = _strides(rows.unionByName(tops))
+    closed = state.filter("ptr IS NULL")
+    residual = state.filter("ptr IS NOT NULL")
+    ring = residual.select("id", "parent", "ptr").join(residual.select(F.col("id").alias("ptr"), F.col("low").alias("root")), "ptr")
+    trees = closed.select("id", "parent", "root", "depth", F.col("size").cast("long").alias("size"), "peel")
+    out = trees.unionByName(ring.select("id", "parent", "root", F.lit(-1).alias("depth"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("int").alias("peel")))
+    named = [F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", F.col("size").alias("subtree_size"), F.col("peel").alias("peel_level")]
+    return out.join(_paths(closed), "id", "left").select(*named, "path") if paths else out.select(*named)
 
 
 def descendants(trees: DataFrame) -> DataFrame:
@@ -217,8 +199,13 @@ def circles(edges: DataFrame, source: str = "source", target: str = "target", pa
     e = cut(e)
     own = e.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("least"))
     core = e.filter("u <> v")
-    for _ in range(6):
+    left = core.count()
+    while True:
         core = cut(_trim(core, 1))
+        now = core.count()
+        if now >= SHRINK * left:
+            break
+        left = now
     part = connected_components(core, "u", "v")
     tagged = cut(core.join(part.select(F.col("node").alias("u"), "component"), "u"))
     sizes = tagged.groupBy("component").agg(F.count("*").alias("n"))

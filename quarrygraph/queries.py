@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import codegraph as G
 from .operators import extraction, hierarchy
 from .plans.rounds import cut
-from .sources.tables import table
+from .sources.tables import bounded_batches, table
 
 
 def _extends(spark: SparkSession, base: str) -> DataFrame:
@@ -529,7 +529,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _small_batches(t: Tables) -> DataFrame:
-    t._spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bounded_batches(t._spark)
     return t.sourcecode
 
 

@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The table ``name`` of the directory ``base``: one Parquet file or a folder of them."""
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/quarrygraph-checkpoints") -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; the fallback only where it is unset."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset, a folder of this machine serves a
+    session that runs on this machine alone; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "quarrygraph-checkpoints")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or fallback)
-    return named or fallback
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of whole files sent to Python hold at most BATCH_ROWS rows. The same bound for every operator, and never
+    more than the session asks for, so that it does not matter which plan is built last."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -140,3 +140,32 @@ def test_hierarchy_fixture(spark):
     edges = spark.createDataFrame([(2, 1), (3, 1), (2, 4)], "child long, parent long")
     roles = {(r["id"], r["role"]) for r in G.roots_and_leaves(edges).collect()}
     assert roles == {(1, "root"), (4, "root"), (2, "leaf"), (3, "leaf")}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 10_000, []
+    monkeypatch.setattr(H, "cut", lambda df, keep=H.cut: rounds.append(1) or keep(df))
+    t = H.forest(spark.range(1, n).selectExpr("id AS child", "id - 1 AS parent"), paths=False)
+    deepest = t.orderBy("node_id", ascending=False).first()
+    assert (deepest["root_id"], deepest["depth"], deepest["peel_level"]) == (0, n - 1, 0)
+    assert t.filter("node_id = 0").first()["subtree_size"] == n and t.filter("peel_level + depth = 9999").count() == n
+    assert len(rounds) <= 16
+
+
+def test_long_circles_and_tails(spark):
+    # circles of 1, 2, 3, 8 and 100 nodes, each with a tail of five nodes
+    rows, want = [], {}
+    for at, size in ((1000, 1), (2000, 2), (3000, 3), (4000, 8), (5000, 100)):
+        rows += [(at + i, at + (i + 1) % size) for i in range(size)] + [(at + 900 + i, at + 899 + i if i else at) for i in range(5)]
+        want |= {x: at for x in [*range(at, at + size), *range(at + 900, at + 905)]}
+    got = {r["node_id"]: (r["root_id"], r["depth"]) for r in H.forest(spark.createDataFrame(rows, "child long, parent long")).collect()}
+    assert got == {k: (v, -1) for k, v in want.items()}
+
+
+def test_components_beyond_a_chunk(spark, monkeypatch):
+    from quarrygraph.plans import rounds
+
+    monkeypatch.setattr(rounds, "CHUNK", 3)
+    rows = [(i, i + 1) for i in range(60)] + [(100, 101), (None, 3), (5, 5)]
+    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}

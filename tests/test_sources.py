@@ -7,7 +7,8 @@ from pyspark.sql import types as TT
 from quarrygraph.functions.lexing import language_of, skim
 from quarrygraph.operators import extraction as X
 from quarrygraph.sources import files as S
-from quarrygraph.streaming.ingest import ingest_stream, read_merged
+from quarrygraph.streaming import ingest
+from quarrygraph.streaming.ingest import ingest_stream, merge_batch, read_merged, vacuum
 
 
 def test_walk(spark, tmp_path):
@@ -75,3 +76,30 @@ def test_stream_merges_batches(spark, tmp_path):
     spark.createDataFrame([("a", 2, day(2)), ("b", 0, day(0 + 1)), ("c", 1, day(3))], schema).write.mode("append").parquet(src)
     ingest_stream(spark, src, schema, out, ck, ["k"], ["at", "v"]).awaitTermination(60)
     assert {(r["k"], r["v"]) for r in read_merged(spark, out).collect()} == {("a", 2), ("b", 1), ("c", 1)}
+
+
+def test_a_writer_that_dies_leaves_the_table(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(x, "k string, v int")
+    merge_batch(rows(("a", 1), ("b", 1)), 0, out, ["k"], ["v"], buckets=4)
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError):
+            merge_batch(rows(("a", 2)), 1, out, ["k"], ["v"])
+    assert {tuple(r) for r in read_merged(spark, out).collect()} == {("a", 1), ("b", 1)}
+    for i in (1, 1):  # the batch again, and once more after a lost offset
+        merge_batch(rows(("a", 2), ("c", 5)), i, out, ["k"], ["v"])
+    vacuum(spark, out)
+    assert {tuple(r) for r in read_merged(spark, out).collect()} == {("a", 2), ("b", 1), ("c", 5)}
+    with pytest.raises(RuntimeError):
+        ingest._publish(spark, out, 3, {})
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace as N
+
+    from quarrygraph.sources.tables import checkpoint_dir
+
+    bare = N(conf=N(get=lambda k, d="": d), sparkContext=N(master="spark://host:7077", getConf=lambda: N(get=lambda k, d="": d)))
+    with pytest.raises(ValueError):
+        checkpoint_dir(bare)
