@@ -295,6 +295,8 @@ def name_class(text: str) -> str:
     about = bool(w & _ABOUT)
     if w & _HARMLESS and not w & _PASS and "secret" not in w:
         return "harmless"
+    if w & {"passphrase", "mnemonic"} and not about:
+        return "phrase"
     if w & _PASS:
         return "pass_about" if about and not w & {"password"} or (w & {"field", "name", "policy", "length", "hint", "label", "type", "column"}) else "pass"
     if w & _SECRET or "secret" in joined:
@@ -660,7 +662,7 @@ class _Maker:
             line, setting, form = self.line(self.neutral_name(), v)
             return line, [v], setting, form
         if k < 0.30:  # words alone, long enough or with a name that asks for words
-            name = self.styled(r.choice((["passphrase"], [self.word(), "passphrase"], ["password"], [self.word(), "password"])))
+            name = self.styled(r.choice((["passphrase"], ["passphrase"], [self.word(), "passphrase"], ["password"], [self.word(), "password"])))
             blanks = "passphrase" in name.lower()
             parts = self.words(4, 6) if blanks and r.random() < 0.6 else ["".join(self.words(4, 6))]
             line, setting, form = self.line(name, " ".join(parts))
@@ -833,7 +835,11 @@ def labelled_line(line: str, setting: bool, inside: int, crf: Crf) -> list[tuple
     if not any(k == "v" for _, _, k in toks):
         return []
     labels = crf.viterbi(features(line, toks, setting))
-    return [(s, e, y == 1) for (s, e, kind), y in zip(toks, labels) if y and kind in ("v", "w")]
+    out: list[tuple[int, int, bool]] = []
+    for (s, e, kind), y in zip(toks, labels):
+        if y and kind in ("v", "w"):  # words of one literal, with blanks only between them, are one value
+            out.append((s, e, y == 1 and not (out and s > out[-1][1] and line[out[-1][1] : s].isspace())))
+    return out
 
 
 def spans_of(text: str | None, setting: bool, crf: Crf, filename: str | None = None, memory: dict | None = None) -> list[tuple[int, int, bool]]:
