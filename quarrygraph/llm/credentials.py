@@ -838,7 +838,7 @@ def labelled_line(line: str, setting: bool, inside: int, crf: Crf) -> list[tuple
     out: list[tuple[int, int, bool]] = []
     for (s, e, kind), y in zip(toks, labels):
         if y and kind in ("v", "w"):  # words of one literal, with blanks only between them, are one value
-            out.append((s, e, y == 1 and not (out and s > out[-1][1] and line[out[-1][1] : s].isspace())))
+            out.append((s, e, not out or y == 1 and not line[out[-1][1] : s].isspace()))
     return out
 
 
