@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of so many rows for what is executed, not only planned, within; for rows of a few bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Batches of whole files sent to Python hold at most BATCH_ROWS rows. The same bound for every operator, and never
     more than the session asks for, so that it does not matter which plan is built last."""
