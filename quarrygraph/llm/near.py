@@ -10,7 +10,8 @@ are checked by the complete distance of fingerprints, then exactly on the words.
 Words that stand in more than ``COMMON`` of all records tell nothing, and are left out of fingerprints
 (not of the exact check); the counts are taken over all records. There are at most 1/COMMON times the
 mean number of words of them, whatever the input, so the list is bounded. Equal word sets are one
-record until the end, so copies cost nothing. With pairs of similarity 0.7 and more the
+record until the end, so copies cost nothing. Records of a hot key are told apart by a second, independent
+fingerprint before they are paired, so a key that many unlike records share costs no pairs of all. With pairs of similarity 0.7 and more the
 chance to share no key is about one in five thousand on code.
 
 Cases: null and empty texts and records of fewer than ``min_words`` distinct words form no pairs;
@@ -27,14 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.rounds import connected_components, cut
+from ..plans.rounds import connected_components, cut, stored
+from ..sources.tables import batches
 
 SEGMENTS, WIDTH = 10, 5
 COMMON = 0.12
 DOUBT = 0.25  # share of equal symbols (one byte of each is compared) below which a match is dropped
+HOT = 128  # records of a key from which it is told apart further
 VOCABULARY = 400_000  # word hashes remembered in a process
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 WORDS_SQL = "array_distinct(regexp_extract_all({}, '([A-Za-z0-9_]+)', 1))"
@@ -66,62 +69,142 @@ def common_words(narrow: DataFrame, min_words: int, share: float = COMMON) -> li
     return [r[0] for r in counts.filter((F.col("word") != "") & (F.col("n") > share * total)).select("word").collect()]
 
 
-def _functions(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+class Signer:
+    """Fingerprints of word sets, and their keys. ``part`` numbers families of hash functions that know nothing of each other."""
 
+    def __init__(self, part: int = 0):
+        rng = np.random.default_rng(3 + part)
+        n = SEGMENTS * WIDTH
+        self.a, self.b = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+        self.weights = np.random.default_rng(5).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.salt = np.random.default_rng(7 + part).integers(0, 2**63, (SEGMENTS, WIDTH), dtype=np.uint64)
+        self.hashes: dict[str, int] = {}
 
-def fingerprints(narrow: DataFrame, min_words: int, left_out: list[str]) -> DataFrame:
+    def symbols(self, words: set[str]) -> np.ndarray:
+        """The fingerprint: for each hash function the smallest hash of the words."""
+        if len(self.hashes) > VOCABULARY:
+            self.hashes.clear()
+        known = self.hashes
+        vals = [known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words]
+        v = np.array(vals, np.uint64)
+        return ((v[:, None] * self.a + self.b) >> np.uint64(33)).min(0)
+
+    def balls(self, symbols: np.ndarray) -> np.ndarray:
+        """The keys of a fingerprint: in each segment, one for each symbol left out."""
+        x = (symbols.astype(np.uint64) + np.uint64(0x9E3779B9)) * self.weights
+        x ^= x >> np.uint64(29)
+        x = (x * np.uint64(0xBF58476D1CE4E5B9)).reshape(SEGMENTS, WIDTH)
+        k = (x.sum(1, dtype=np.uint64)[:, None] - x + self.salt) * np.uint64(0x94D049BB133111EB)
+        return (k ^ (k >> np.uint64(31))).astype(np.int64).ravel()
+
+    def keys(self, words: set[str]) -> np.ndarray:
+        return self.balls(self.symbols(words))
+
+
+def fingerprints(narrow: DataFrame, min_words: int, left_out: list[str], part: int = 0) -> DataFrame:
     """rid, set_hash (16 bytes of the whole word set) and symbols (ints) of every record with min_words."""
     kind = dict(narrow.dtypes)["rid"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = frozenset(left_out)
-        a, b = _functions(SEGMENTS * WIDTH)
-        hashes: dict[str, int] = {}
-        h64 = xxhash.xxh3_64_intdigest
+        out, signer = frozenset(left_out), Signer(part)
         for f in frames:
             rows = []
             for rid, text in zip(f["rid"], f["own_text"]):
                 words = set(_WORD.findall(text))
                 if len(words) < min_words:
                     continue
-                ordered = "\n".join(sorted(words))
-                use = words - out or words
-                vals = []
-                for w in use:
-                    h = hashes.get(w)
-                    if h is None:
-                        if len(hashes) > VOCABULARY:
-                            hashes.clear()
-                        h = hashes[w] = h64(w)
-                    vals.append(h)
-                v = np.array(vals, np.uint64)
-                sig = ((v[:, None] * a + b) >> np.uint64(33)).min(0).astype(np.int32)
-                rows.append((rid, xxhash.xxh3_128_digest(ordered), sig))
+                rows.append((rid, xxhash.xxh3_128_digest("\n".join(sorted(words))), signer.symbols(words - out or words).astype(np.int32)))
             yield pd.DataFrame(rows, columns=["rid", "set_hash", "symbols"])
 
     return narrow.mapInPandas(run, f"rid {kind}, set_hash binary, symbols array<int>")
 
 
-def similar_pairs(records: DataFrame, id_col: str = "id", text_col: str = "source", threshold: float = 0.7, min_words: int = 30) -> tuple[DataFrame, DataFrame]:
+def _balls() -> Column:
+    """The keys of the column symbols: in each segment, one for each symbol left out."""
+    return F.array(*[F.xxhash64(F.lit(s * WIDTH + skip), *[F.col("symbols")[s * WIDTH + i] for i in range(WIDTH) if i != skip]) for s in range(SEGMENTS) for skip in range(WIDTH)])
+
+
+def meet(table: DataFrame, hot: int = HOT) -> DataFrame:
+    """(ra, rb, key): the pairs ra < rb of records with the same key, from (rep, key) rows. A key of more than ``hot``
+    records gives no pairs but its rows, with rb null: these have to be told apart further. Rows come sorted and
+    are walked once, so no key is ever held whole; the result is a table."""
+    kind = dict(table.dtypes)["rep"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_keys, held_reps, hot_key = np.zeros(0, np.int64), np.zeros(0), None
+
+        def pairs(keys: np.ndarray, reps: np.ndarray) -> Iterator[pd.DataFrame]:
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+            sizes = np.diff(np.r_[starts, len(keys)])
+            for g in np.unique(sizes[sizes > 1]).tolist():
+                at = starts[sizes == g]
+                if g > hot:
+                    rows = (at[:, None] + np.arange(g)).ravel()
+                    yield pd.DataFrame({"ra": reps[rows], "rb": None, "key": keys[rows]})
+                    continue
+                i, j = np.triu_indices(g, 1)
+                yield pd.DataFrame({"ra": reps[(at[:, None] + i).ravel()], "rb": reps[(at[:, None] + j).ravel()], "key": None})
+
+        for f in frames:
+            keys, reps = f["key"].to_numpy(), f["rep"].to_numpy()
+            if hot_key is not None:
+                n = int((keys == hot_key).sum())  # sorted, so these come first
+                yield pd.DataFrame({"ra": reps[:n], "rb": None, "key": keys[:n]})
+                if n == len(keys):
+                    continue
+                keys, reps, hot_key = keys[n:], reps[n:], None
+            if len(held_keys):
+                keys, reps = np.r_[held_keys, keys], np.r_[held_reps, reps]
+            if not len(keys):
+                continue
+            last = int(np.searchsorted(keys, keys[-1]))
+            yield from pairs(keys[:last], reps[:last])
+            held_keys, held_reps = keys[last:], reps[last:]
+            if len(held_keys) > hot:
+                yield from pairs(held_keys, held_reps)
+                hot_key, held_keys, held_reps = held_keys[0], held_keys[:0], held_reps[:0]
+        yield from pairs(held_keys, held_reps)
+
+    with batches(table.sparkSession, 50_000):
+        return stored(table.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(run, f"ra {kind}, rb {kind}, key long").distinct(), "meetings")
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(ra, rb): all pairs of the (rep, key) rows of a key, formed block by block of ``size`` rows, each two blocks on their own."""
+    n = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    placed = rows.join(n, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = placed.select("rep", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = spread.select("rep", "own", "other", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    x, y = cells.filter("own <= other").alias("x"), cells.filter("own >= other").alias("y")
+    met = x.join(y, F.col("x.cell") == F.col("y.cell")).filter((F.col("x.own") < F.col("x.other")) | (F.col("x.rep") < F.col("y.rep"))).filter("x.rep <> y.rep")
+    return met.select(F.least("x.rep", "y.rep").alias("ra"), F.greatest("x.rep", "y.rep").alias("rb"))
+
+
+def candidates(reps: DataFrame, narrow: DataFrame, min_words: int, left_out: list[str], hot: int = HOT) -> DataFrame:
+    """(ra, rb): the pairs of representatives that share a key. The records of a hot key are told apart by the keys of a
+    second fingerprint, of hash functions of its own; records that are still many to a key lie within the
+    ball twice, and are paired block by block."""
+    first = meet(reps.select(F.col("rep"), F.explode(_balls()).alias("key")), hot)
+    pairs, crowd = first.filter("rb IS NOT NULL").select("ra", "rb"), first.filter("rb IS NULL").select(F.col("ra").alias("rep"), "key")
+    if not crowd.isEmpty():
+        texts = narrow.join(crowd.select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi")
+        again = fingerprints(texts, min_words, left_out, part=1).select(F.col("rid").alias("rep"), F.explode(_balls()).alias("ball"))
+        second = meet(crowd.join(again, "rep").select("rep", F.xxhash64("key", "ball").alias("key")), hot)
+        rest = second.filter("rb IS NULL").select(F.col("ra").alias("rep"), "key")
+        pairs = pairs.unionByName(second.filter("rb IS NOT NULL").select("ra", "rb")).unionByName(_blocks(rest, hot))
+    return pairs.distinct()
+
+
+def similar_pairs(records: DataFrame, id_col: str = "id", text_col: str = "source", threshold: float = 0.7, min_words: int = 30, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has rid and its representative rep, the smallest id with the same word set;
     links has pairs of representatives ra < rb whose similarity reaches the threshold, and the similarity."""
     narrow = _narrow(records, id_col, text_col)
-    prints = fingerprints(narrow, min_words, common_words(narrow, min_words))
-    prints = cut(prints)
+    left_out = common_words(narrow, min_words)
+    prints = stored(fingerprints(narrow, min_words, left_out), "prints")
     reps = prints.groupBy("set_hash").agg(F.min_by(F.struct("rid", "symbols"), "rid").alias("x")).select("set_hash", F.col("x.rid").alias("rep"), F.col("x.symbols").alias("symbols"))
-    reps = cut(reps)
+    reps = stored(reps, "representatives")
     members = prints.select("rid", "set_hash").join(reps.select("set_hash", "rep"), "set_hash").select("rid", "rep")
-    keys = []
-    for s in range(SEGMENTS):
-        for skip in range(WIDTH):
-            keys.append(F.xxhash64(F.lit(s * WIDTH + skip), *[F.col("symbols")[s * WIDTH + i] for i in range(WIDTH) if i != skip]))
-    table = reps.select("rep", F.explode(F.array(*keys)).alias("key"))
-    found = (
-        table.alias("x").join(table.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
-        .select(F.col("x.rep").alias("ra"), F.col("y.rep").alias("rb")).distinct()
-    )
+    found = candidates(reps, narrow, min_words, left_out, hot)
     # the complete distance of the fingerprints
     small = reps.select("rep", F.transform("symbols", lambda x: (F.pmod(x, F.lit(256)) - F.lit(128)).cast("tinyint")).alias("print"))
     pairs = found.join(small.select(F.col("rep").alias("ra"), F.col("print").alias("pa")), "ra").join(small.select(F.col("rep").alias("rb"), F.col("print").alias("pb")), "rb")

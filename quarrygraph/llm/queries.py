@@ -6,39 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import table
+from ..sources.tables import bounded_batches, table
 from . import credentials, encoding, functions, languages, mixing, near, provenance, syntax, truncation
 
 SQL: dict[str, str] = {}
 
 
-def _arrow(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows in a batch sent to Python, so that a batch of whole files stays small in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    _arrow(spark, 2000)
+    bounded_batches(spark)
     return functions.pair_entities(table(spark, base, "entity")).select("entity_id")
 
 
 def p1_pairs(spark: SparkSession, base: str) -> DataFrame:
-    _arrow(spark)
+    bounded_batches(spark)
     return functions.extract_functions(table(spark, base, "sourcecode"))
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    _arrow(spark)
+    bounded_batches(spark)
     return syntax.find_unparsable(table(spark, base, "sourcecode")).selectExpr("id AS source_id")
 
 
 def p2_rates(spark: SparkSession, base: str) -> DataFrame:
-    _arrow(spark)
+    bounded_batches(spark)
     return syntax.unparsable_rates(table(spark, base, "sourcecode"))
 
 
 def _similar(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    _arrow(spark, 2000)
+    bounded_batches(spark)
     return near.similar_pairs(table(spark, base, "entity").filter("type = 'function'"))
 
 
@@ -50,8 +45,13 @@ def p3_groups(spark: SparkSession, base: str) -> DataFrame:
     return near.groups(*_similar(spark, base)).withColumnRenamed("rid", "entity_id")
 
 
+def p3_links(spark: SparkSession, base: str) -> DataFrame:
+    """The pairs between representatives alone, with their similarity; p3_groups has the members of each."""
+    return _similar(spark, base)[1].selectExpr("ra AS entity_id_a", "rb AS entity_id_b", "similarity")
+
+
 def _languages(spark: SparkSession, base: str, operator: Callable[..., DataFrame] = languages.text_languages) -> DataFrame:
-    _arrow(spark)
+    bounded_batches(spark)
     logp = languages.train(table(spark, base, "documents"))
     files = operator(table(spark, base, "sourcecode"), logp)
     comments = operator(table(spark, base, "entity"), logp, kind="text", text_col="comment", filename_col=None)
@@ -72,7 +72,7 @@ def p4_share(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _produced(spark: SparkSession, base: str) -> DataFrame:
-    _arrow(spark, 500)
+    bounded_batches(spark)
     return provenance.produced_files(table(spark, base, "sourcecode"), table(spark, base, "library_file"))
 
 
@@ -92,32 +92,32 @@ def _credentials(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
-    _arrow(spark)
+    bounded_batches(spark)
     return _credentials(spark, base)
 
 
 def p7_redacted(spark: SparkSession, base: str) -> DataFrame:
     """Every row of both tables with its text redacted; a column that one table lacks is null there."""
-    _arrow(spark)
+    bounded_batches(spark)
     files = credentials.redact(table(spark, base, "sourcecode")).selectExpr("'sourcecode' AS origin", "*")
     return files.unionByName(credentials.redact(table(spark, base, "entity")).selectExpr("'entity' AS origin", "*"), allowMissingColumns=True)
 
 
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
-    _arrow(spark)
+    bounded_batches(spark)
     return encoding.encode(table(spark, base, "documents"))
 
 
 def p8_decoded(spark: SparkSession, base: str) -> DataFrame:
     """The texts back from their ids, beside the stored ones."""
-    _arrow(spark)
+    bounded_batches(spark)
     docs = table(spark, base, "documents")
     back = encoding.decode(encoding.encode(docs)).withColumnRenamed("text", "decoded")
     return docs.select("doc_id", "text").join(back, "doc_id").selectExpr("doc_id", "decoded", "decoded = coalesce(text, '') AS same")
 
 
 def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    _arrow(spark)
+    bounded_batches(spark)
     return mixing.mix(encoding.count_tokens(table(spark, base, "documents")), table(spark, base, "mix_target"))
 
 
@@ -144,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p3_links": p3_links,
     "p4_found": p4_found,
     "p4_sentences": p4_sentences,
     "p4_share": p4_share,

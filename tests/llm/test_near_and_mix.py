@@ -85,3 +85,30 @@ def test_mix(spark):
 def test_mix_of_nothing(spark):
     rows, shares = M.mix(spark.createDataFrame([], "doc_id long, source string, n_tokens long"), spark.createDataFrame([("m", "a", 1.0, 1, 1.0)], "mix string, source string, target_share double, max_repeats int, size_factor double"))
     assert rows.count() == 0 and shares.first()["actual_share"] == 0.0
+
+
+@pytest.mark.parametrize("hot", [2, 5, 128])
+def test_hot_keys_lose_no_pair(spark, texts, hot):
+    # beside the texts, a crowd that shares 40 of 60 words, too few to be similar, but enough for common keys
+    r = random.Random(8)
+    base = [f"b{k}" for k in range(40)]
+    crowd = [(1000 + i, " ".join(base + [f"c{r.randrange(5000)}" for _ in range(20)])) for i in range(60)]
+    df = spark.createDataFrame(texts + crowd, "id long, source string")
+    got = {tuple(x) for x in N.all_pairs(*N.similar_pairs(df, hot=hot)).collect()}
+    want = brute(texts + crowd, 0.7, 30)
+    assert got <= want and len(got) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 100])
+def test_meetings_against_brute_force(spark, hot):
+    r = random.Random(2)
+    rows = [(i, k) for i in range(80) for k in r.sample(range(40), 3)] + [(i, 99) for i in range(50)]
+    table = spark.createDataFrame(rows, "rep long, key long").repartition(3)
+    by: dict = {}
+    for i, k in rows:
+        by.setdefault(k, []).append(i)
+    found = N.meet(table, hot)
+    assert {(x["ra"], x["rb"]) for x in found.filter("rb IS NOT NULL").collect()} == {(a, b) for v in by.values() if len(v) <= hot for a in v for b in v if a < b}
+    crowd = found.filter("rb IS NULL").selectExpr("ra AS rep", "key")
+    assert {tuple(x) for x in crowd.collect()} == {(i, k) for k, v in by.items() if len(v) > hot for i in v}
+    assert {tuple(x) for x in N._blocks(crowd, hot).collect()} == {(a, b) for v in by.values() if len(v) > hot for a in v for b in v if a < b}
