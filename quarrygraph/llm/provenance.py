@@ -1,21 +1,25 @@
 """Problem 5: generated, minified, vendored and bulk-data source files.
 
-A random forest on measures of the content (compression ratio, entropy of tokens, lengths of
-identifiers, density of comments, variety of line forms and the like) tells produced files from
-hand-written ones. It is fitted on a bounded sample of at most ``TRAINING_ROWS`` rows, labelled by
-what files state of themselves: notices of generators and minifiers in the head, names such tools
-give, files that are literals only, and files of forty and more lines that nearly all have one form. These notices are cut off before measuring, so the forest
-can't see them. As many produced files state nothing, the labels are positive
-and unlabelled ones: a first forest finds reliable negatives (scores under ``RELIABLE`` times the mean
-score of the labelled), a second one is fitted on the labelled against these alone, and decides at
-one half. What a file states
-plainly is taken at its word, also where its content looks hand-written, and third-party code is told
-by the folder of packages it lies in or by the share of words it has in common with a known library.
+A random forest on measures of the content (compression ratio, entropy of tokens, lengths of identifiers, density of
+comments, variety of line forms and the like) tells produced files from hand-written ones. It is fitted on a bounded
+sample of at most ``TRAINING_ROWS`` rows, labelled by what files state of themselves: notices of generators and
+minifiers in the head, and names that such tools give. The notices are cut off before measuring and names are not
+measured, so the forest can't see its labels. Some stated files look hand-written all the same, and many produced
+files state nothing, so labels are positive and unlabelled ones with errors: a first forest, its classes weighted
+alike, scores the sample; the stated files that score at least their mean and the others that score under ``RELIABLE``
+times that mean fit a second one, which decides at ``LINE``.
+
+Three kinds are told beside the forest, each in a column of its own. ``stated``: the labels themselves, taken at their
+word, also where the content looks hand-written. ``third_party``: files in a folder of packages, or with
+``LIBRARY_SHARE`` of their words in common with a file of a known library; these look hand-written, so no measure
+of content could tell them. ``bulk_data``: files that are literals for the most part; they bear no notices that a
+forest could learn from. Library files and files meet over keys of minimum hashes in a join of tables, so
+neither side is held in one place, and are then compared exactly.
 
 Cases: null and empty sources, settings files and unknown extensions give no row; damaged and misnamed
-files are no cases; a name or notice in any case counts; repeated rows are rows of their own; other
-columns are ignored; without any stated file only statements and libraries count; an empty table
-gives an empty result.
+files are no cases; a name or notice in any case counts; ids must be unique; repeated rows under other ids are
+rows of their own; other columns are ignored; without any stated file the forest gives no score, and only the three
+other kinds count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -35,13 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import Skim, language_of, skim
+from ..plans.rounds import stored
+from .near import Signer
 from .syntax import problem_of
 
 TRAINING_ROWS = 12_000
 SEED = 5
-TREES, DEPTH = 20, 6
-RELIABLE = 0.08
-LIBRARY_BYTES = 16_000_000  # of library text held at once; a larger library is compared in as many passes as it takes
+TREES, DEPTH, LEAST_IN_NODE = 40, 7, 3
+RELIABLE = 0.5
+LINE = 0.25  # score from which a file is produced: half the share of produced files, about one half, that state it (Elkan and Noto 2008)
+LEAST_WORDS = 10  # distinct words from which a file is compared with libraries
 LIBRARY_SHARE = 0.7  # words shared / words in either, from which a file is a library's
 FEATURES = ("compression", "token_entropy", "identifier_mean", "identifier_spread", "comment_density", "line_variety", "digit_share", "literal_share", "line_mean", "line_longest", "lines", "short_identifiers", "value_share", "common_form")
 _LANGUAGES = {"python", "javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust"}
@@ -60,6 +66,7 @@ _MOC = re.compile(r"^(?:moc_|ui_|qrc_|zz_generated)", re.I)
 _PACKAGE_DIR = re.compile(r"(?:^|/)(?:third[_-]?party|thirdparty|3rd[_-]?party|3rdparty|vendor|vendored|_vendor|node_modules|bower_components|jspm_packages|site-packages|deps|externals?|extern|ext[_-]?libs?|pods|carthage|godeps|gopath|subprojects|contrib)/[^/]+/.+", re.I)
 
 _IDENT = re.compile(r"[A-Za-z_]\w*")
+_LIBRARY_WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _NUMBER = re.compile(r"\b\d[\w.]*")
 _FORM = re.compile(r"\"\s*")
 
@@ -128,7 +135,7 @@ def measures(src: str, k: Skim, at: int) -> tuple[list[float], Counter]:
 
 
 def mostly_literals(values: list[float], forms: Counter, size: int) -> bool:
-    """Whether the file is a table: four fifths of its characters literals and separators, over a thousand
+    """Whether the file is bulk data: four fifths of its characters literals and separators, over a thousand
     characters, or thirty lines, few forms among them, four of five with three literals or more."""
     if values[12] >= 0.8 and size >= 1000 and values[6] + values[7] >= 0.4:
         return True
@@ -138,54 +145,46 @@ def mostly_literals(values: list[float], forms: Counter, size: int) -> bool:
     return sum(c for x, c in forms.items() if x.count("9") + x.count("S") >= 3) >= 0.8 * n
 
 
-class Library:
-    """The words of known library files; the share of words a text has in common with the nearest one."""
-
-    def __init__(self, texts: list[str]):
-        self.words = [set(_IDENT.findall(x)) for x in texts if x]
-        self.row: dict[str, int] = {}
-        for w in self.words:
-            for x in w:
-                self.row.setdefault(x, len(self.row))
-        self.holds = np.zeros((len(self.row), len(self.words)), np.int32)
-        for i, w in enumerate(self.words):
-            self.holds[[self.row[x] for x in w], i] = 1
-        self.sizes = np.array([len(w) for w in self.words])
-
-    def nearest(self, src: str) -> float:
-        own = set(_IDENT.findall(src))
-        if len(own) < 10 or not self.words:
-            return 0.0
-        get = self.row.get
-        rows = [r for r in map(get, own) if r is not None]
-        if not rows:
-            return 0.0
-        shared = self.holds[rows].sum(0)
-        return float((shared / (len(own) + self.sizes - shared)).max())
-
-
-def _library_passes(library: DataFrame | None) -> list[Library]:
-    """The library in parts of at most LIBRARY_BYTES, so that its size is bounded wherever it is sent."""
-    if library is None:
-        return []
-    sized = library.select("source").filter(F.col("source").isNotNull()).withColumn("bytes", F.octet_length("source"))
-    total = sized.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(1, math.ceil(total / LIBRARY_BYTES * 1.25))
-    if parts == 1:
-        return [Library([r[0] for r in sized.select("source").collect()])]
-    keyed = sized.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(parts)))
-    return [Library([r[0] for r in keyed.filter(F.col("part") == p).select("source").collect()]) for p in range(parts)]
-
-
-def measure_files(files: DataFrame, library: DataFrame | None = None, id_col: str = "id", filename_col: str = "filename", source_col: str = "source", check: bool = True) -> DataFrame:
-    """file_id, stated, third_party, labelled, damaged and the FEATURES of every code file with text."""
+def library_keys(library: DataFrame) -> DataFrame:
+    """(lib_id, key): the keys of every library file's words; lib_id is the hash of its text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer()
+        for f in frames:
+            yield pd.DataFrame([(i, k) for i, text in zip(f["lib_id"], f["lib_text"]) for k in signer.keys(set(_LIBRARY_WORD.findall(text)))], columns=["lib_id", "key"])
+
+    return _library(library).mapInPandas(run, "lib_id long, key long").distinct()
+
+
+def _library(library: DataFrame) -> DataFrame:
+    return library.select(F.xxhash64("source").alias("lib_id"), F.col("source").alias("lib_text")).filter("lib_text IS NOT NULL").dropDuplicates(["lib_id"])
+
+
+def library_copies(measured: DataFrame, narrow: DataFrame, library: DataFrame) -> DataFrame:
+    """(file_id, nearest): files that share LIBRARY_SHARE of the words of some library file, and the largest share."""
+    found = measured.select("file_id", F.explode("keys").alias("key")).join(library_keys(library), "key").select("file_id", "lib_id").distinct()
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"({_LIBRARY_WORD.pattern})"), 1))
+    files = narrow.select("file_id", words(F.col("file_text")).alias("own"))
+    both = found.join(files, "file_id").join(_library(library).select("lib_id", words(F.col("lib_text")).alias("theirs")), "lib_id")
+    shared = F.size(F.array_intersect("own", "theirs"))
+    share = shared / (F.size("own") + F.size("theirs") - shared)
+    return both.groupBy("file_id").agg(F.max(share).alias("nearest")).filter(F.col("nearest") >= LIBRARY_SHARE)
+
+
+def _narrow(files: DataFrame, id_col: str, filename_col: str, source_col: str) -> DataFrame:
     narrow = files.select(F.col(id_col).alias("file_id"), F.col(filename_col).alias("file_name"), F.col(source_col).alias("file_text"))
-    narrow = narrow.filter(F.col("file_text").isNotNull() & (F.col("file_text") != ""))
+    return narrow.filter(F.col("file_text").isNotNull() & (F.col("file_text") != ""))
+
+
+def measure_files(files: DataFrame, id_col: str = "id", filename_col: str = "filename", source_col: str = "source") -> DataFrame:
+    """file_id, stated, packaged, bulk_data, damaged, keys and the FEATURES of every code file with text."""
+    narrow = _narrow(files, id_col, filename_col, source_col)
     kind = dict(narrow.dtypes)["file_id"]
-    schema = f"file_id {kind}, stated boolean, third_party boolean, labelled boolean, damaged boolean, " + ", ".join(f"{x} double" for x in FEATURES)
-    passes = _library_passes(library)
+    columns = ["file_id", "stated", "packaged", "bulk_data", "damaged", "keys", *FEATURES]
+    schema = f"file_id {kind}, stated boolean, packaged boolean, bulk_data boolean, damaged boolean, keys array<long>, " + ", ".join(f"{x} double" for x in FEATURES)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer()
         for f in frames:
             rows = []
             for i, name, src in zip(f["file_id"], f["file_name"], f["file_text"]):
@@ -195,42 +194,49 @@ def measure_files(files: DataFrame, library: DataFrame | None = None, id_col: st
                 k = skim(src, lang)
                 made, small, at = states_produced(src, name, lang, k)
                 values, forms = measures(src, k, at)
-                near = max((p.nearest(src) for p in passes), default=0.0)
-                third = bool(_PACKAGE_DIR.search(name.replace("\\", "/"))) or near >= LIBRARY_SHARE
-                notice_only = made and values[5] > 0.25 and values[9] < 6
-                odd = made or small or third or values[5] < 0.35 or values[9] > 6 or values[12] > 0.6
-                problem = problem_of(src, lang, None if src[0] == "\ufeff" else k) if check and odd else None
+                problem = problem_of(src, lang, None if src[0] == "\ufeff" else k)
                 # a generated Go file may lack its package clause, which its notice has displaced
                 damaged = problem is not None and not (made and problem == "no beginning of the language" and lang == "go")
-                labelled = (made and not notice_only) or small or mostly_literals(values, forms, len(src) - at) or (values[5] <= 0.06 and values[10] > math.log1p(40))
-                rows.append((i, made or small, third, labelled, damaged, *values))
-            yield pd.DataFrame(rows, columns=["file_id", "stated", "third_party", "labelled", "damaged", *FEATURES])
+                words = set(_LIBRARY_WORD.findall(src))
+                keys = signer.keys(words) if len(words) >= LEAST_WORDS else []
+                rows.append((i, made or small, bool(_PACKAGE_DIR.search(name.replace("\\", "/"))), mostly_literals(values, forms, len(src) - at), damaged, keys, *values))
+            yield pd.DataFrame(rows, columns=columns)
 
     return narrow.mapInPandas(run, schema)
 
 
+def _fit(labelled: DataFrame):
+    """A forest on features and label, both classes of the same weight."""
+    n1, n0 = labelled.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    weighted = labelled.withColumn("weight", F.when(F.col("label") == 1, F.lit(n0 / max(1, n1))).otherwise(F.lit(1.0)))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAST_IN_NODE, seed=SEED, featureSubsetStrategy="onethird", weightCol="weight")
+    return forest.fit(weighted)
+
+
 def produced_files(files: DataFrame, library: DataFrame | None = None, id_col: str = "id", filename_col: str = "filename", source_col: str = "source") -> DataFrame:
-    """file_id, stated, third_party, score, produced of every code file with text that is not damaged."""
-    names = {"id_col": id_col, "filename_col": filename_col, "source_col": source_col}
-    measured = measure_files(files, library, **names)
-    n = files.count()
+    """file_id, stated, third_party, bulk_data, score, produced of every code file with text that is not damaged."""
+    measured = stored(measure_files(files, id_col, filename_col, source_col), "measures")
+    if library is not None:
+        copies = library_copies(measured, _narrow(files, id_col, filename_col, source_col), library).select("file_id", F.lit(True).alias("copied"))
+        measured = measured.join(copies, "file_id", "left")
+    else:
+        measured = measured.withColumn("copied", F.lit(False))
+    measured = measured.drop("keys").withColumn("third_party", F.col("packaged") | F.coalesce("copied", F.lit(False)))
+    measured = measured.filter(~F.col("damaged"))
+    n = measured.count()
     share = min(1.0, TRAINING_ROWS / max(1, n))
-    sample = files if share == 1 else files.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
-    # only files that say nothing else of themselves, or that are labelled, are learnt from
-    local = measure_files(sample, None, check=False, **names).filter("labelled OR NOT (stated OR third_party)").select("labelled", *FEATURES).toPandas()
-    out = measured
-    if local["labelled"].nunique() == 2:
+    sample = measured if share == 1 else measured.filter(F.pmod(F.xxhash64(F.col("file_id"), F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
+    local = sample.filter("NOT third_party").orderBy("file_id").select("stated", *FEATURES).toPandas()
+    if local["stated"].nunique() == 2:
         spark = files.sparkSession
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        train = vectors.transform(spark.createDataFrame(local.assign(label=local["labelled"].astype(float))).coalesce(2)).select("features", "label", "labelled")
-        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")
         p1 = vector_to_array("probability")[1]
-        first = forest.fit(train).transform(train).withColumn("score", p1).select("features", "label", "labelled", "score")
-        mean = first.filter("labelled").agg(F.avg("score")).first()[0]
-        second = forest.fit(first.filter(F.col("labelled") | (F.col("score") < RELIABLE * mean)).select("features", "label"))
-        out = second.transform(vectors.transform(measured)).withColumn("score", p1).drop("features", "rawPrediction", "probability", "prediction")
-        line = 0.5
+        train = vectors.transform(spark.createDataFrame(local.assign(label=local["stated"].astype(float)))).select("features", "label").coalesce(2)
+        first = _fit(train).transform(train).select("features", "label", p1.alias("score"))
+        mean = first.filter("label = 1").agg(F.avg("score")).first()[0]
+        sure = first.filter(((F.col("label") == 1) & (F.col("score") >= mean)) | ((F.col("label") == 0) & (F.col("score") < RELIABLE * mean)))
+        measured = _fit(sure.select("features", "label")).transform(vectors.transform(measured)).withColumn("score", p1)
     else:
-        out, line = measured.withColumn("score", F.lit(0.0)), 1.0
-    out = out.filter(~F.col("damaged"))
-    return out.select("file_id", "stated", "third_party", "score", (F.col("stated") | F.col("third_party") | (F.col("score") >= line)).alias("produced"))
+        measured = measured.withColumn("score", F.lit(0.0))
+    produced = F.col("stated") | F.col("third_party") | F.col("bulk_data") | (F.col("score") >= LINE)
+    return measured.select("file_id", "stated", "third_party", "bulk_data", "score", produced.alias("produced"))
