@@ -120,10 +120,10 @@ def fingerprints(narrow: DataFrame, min_words: int, left_out: list[str], part: i
     return narrow.mapInPandas(run, f"rid {kind}, set_hash binary, symbols array<int>")
 
 
-def _of(narrow: DataFrame, ids: DataFrame) -> DataFrame:
-    """The records whose rid is among the distinct ids (rid). Ids of at most BROADCAST_IDS rows are sent to every task, so
-    the texts stay where they are; more are joined over the cluster."""
-    return narrow.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rid", "left_semi")
+def rows_of(table: DataFrame, ids: DataFrame, column: str = "rid") -> DataFrame:
+    """The rows of the table whose id is among the distinct ids. Ids of at most BROADCAST_IDS rows are sent to every task,
+    so the texts stay where they are; more are joined over the cluster."""
+    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
 
 
 def _balls() -> Column:
@@ -194,7 +194,7 @@ def candidates(reps: DataFrame, narrow: DataFrame, min_words: int, left_out: lis
     first = meet(reps.select(F.col("rep"), F.explode(_balls()).alias("key")), hot)
     pairs, crowd = first.filter("rb IS NOT NULL").select("ra", "rb"), first.filter("rb IS NULL").select(F.col("ra").alias("rep"), "key")
     if not crowd.isEmpty():
-        texts = _of(narrow, crowd.select(F.col("rep").alias("rid")).distinct())
+        texts = rows_of(narrow, crowd.select(F.col("rep").alias("rid")).distinct())
         again = fingerprints(texts, min_words, left_out, part=1).select(F.col("rid").alias("rep"), F.explode(_balls()).alias("ball"))
         second = meet(crowd.join(again, "rep").select("rep", F.xxhash64("key", "ball").alias("key")), hot)
         rest = second.filter("rb IS NULL").select(F.col("ra").alias("rep"), "key")
@@ -219,7 +219,7 @@ def similar_pairs(records: DataFrame, id_col: str = "id", text_col: str = "sourc
     pairs = cut(pairs.filter(equal >= DOUBT * SEGMENTS * WIDTH).select("ra", "rb"))
     # the exact similarity of the words, read again for the few records left
     wanted = pairs.select(F.col("ra").alias("rid")).union(pairs.select(F.col("rb").alias("rid"))).distinct()
-    words = _of(narrow, wanted).select("rid", F.expr(WORDS_SQL.format("own_text")).alias("words"))
+    words = rows_of(narrow, wanted).select("rid", F.expr(WORDS_SQL.format("own_text")).alias("words"))
     both = pairs.join(words.select(F.col("rid").alias("ra"), F.col("words").alias("wa")), "ra").join(words.select(F.col("rid").alias("rb"), F.col("words").alias("wb")), "rb")
     shared = F.size(F.array_intersect("wa", "wb"))
     links = both.select("ra", "rb", shared.alias("s"), (F.size("wa") + F.size("wb") - shared).alias("u")).filter(F.col("s") >= F.lit(threshold) * F.col("u") - 1e-9)

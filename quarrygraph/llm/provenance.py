@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import Skim, language_of, skim
-from ..plans.rounds import stored
-from .near import Signer
+from ..plans.rounds import cut, stored
+from .near import Signer, rows_of
 from .syntax import problem_of
 
 TRAINING_ROWS = 12_000
@@ -162,9 +162,9 @@ def _library(library: DataFrame) -> DataFrame:
 
 def library_copies(measured: DataFrame, narrow: DataFrame, library: DataFrame) -> DataFrame:
     """(file_id, nearest): files that share LIBRARY_SHARE of the words of some library file, and the largest share."""
-    found = measured.select("file_id", F.explode("keys").alias("key")).join(library_keys(library), "key").select("file_id", "lib_id").distinct()
+    found = cut(measured.select("file_id", F.explode("keys").alias("key")).join(library_keys(library), "key").select("file_id", "lib_id").distinct())
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"({_LIBRARY_WORD.pattern})"), 1))
-    files = narrow.select("file_id", words(F.col("file_text")).alias("own"))
+    files = rows_of(narrow, found.select("file_id").distinct(), "file_id").select("file_id", words(F.col("file_text")).alias("own"))
     both = found.join(files, "file_id").join(_library(library).select("lib_id", words(F.col("lib_text")).alias("theirs")), "lib_id")
     shared = F.size(F.array_intersect("own", "theirs"))
     share = shared / (F.size("own") + F.size("theirs") - shared)
@@ -194,12 +194,15 @@ def measure_files(files: DataFrame, id_col: str = "id", filename_col: str = "fil
                 k = skim(src, lang)
                 made, small, at = states_produced(src, name, lang, k)
                 values, forms = measures(src, k, at)
-                problem = problem_of(src, lang, None if src[0] == "\ufeff" else k)
+                packaged, bulk = bool(_PACKAGE_DIR.search(name.replace("\\", "/"))), mostly_literals(values, forms, len(src) - at)
+                # only what could come out as produced has to be whole
+                odd = made or small or packaged or bulk or values[5] < 0.35 or values[9] > 6 or values[12] > 0.6
+                problem = problem_of(src, lang, None if src[0] == "\ufeff" else k) if odd else None
                 # a generated Go file may lack its package clause, which its notice has displaced
                 damaged = problem is not None and not (made and problem == "no beginning of the language" and lang == "go")
                 words = set(_LIBRARY_WORD.findall(src))
                 keys = signer.keys(words) if len(words) >= LEAST_WORDS else []
-                rows.append((i, made or small, bool(_PACKAGE_DIR.search(name.replace("\\", "/"))), mostly_literals(values, forms, len(src) - at), damaged, keys, *values))
+                rows.append((i, made or small, packaged, bulk, damaged, keys, *values))
             yield pd.DataFrame(rows, columns=columns)
 
     return narrow.mapInPandas(run, schema)
