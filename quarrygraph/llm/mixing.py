@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.rounds import cut
+from ..plans.rounds import cut, stored
 
 SEED = 11
 BINS = 4096
@@ -51,7 +51,8 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[DataFra
     together with one sum for each source it names, so both are bounded by its size."""
     spark = sized.sparkSession
     bin_ = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BINS))
-    docs = cut(sized.filter("source IS NOT NULL AND n_tokens > 0").select("doc_id", "source", "n_tokens", F.xxhash64("doc_id", F.lit(seed)).alias("h"), bin_.cast("int").alias("bin")))
+    sized = stored(sized.select("doc_id", "source", "n_tokens"), "sizes")  # the tokens are counted once
+    docs = sized.filter("source IS NOT NULL AND n_tokens > 0").select("doc_id", "source", "n_tokens", F.xxhash64("doc_id", F.lit(seed)).alias("h"), bin_.cast("int").alias("bin"))
     named = targets.select("source").distinct()
     sizes = {r[0]: r[1] for r in docs.join(F.broadcast(named), "source").groupBy("source").agg(F.sum("n_tokens")).collect()}
     total = sized.agg(F.sum("n_tokens")).first()[0] or 0
