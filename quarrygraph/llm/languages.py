@@ -2,8 +2,8 @@
 
 Comments, documentation strings and string literals are cut into sentences; each word is broken into
 the subwords of a public tokenizer and scored under unigram counts of eleven natural languages and of
-an explicit code class; the class of the highest posterior names the sentence's language. The counts
-are taken over all labelled documents: once over their whole prose, and once more over the sentences
+an explicit code class; the class of the highest posterior names the sentence's language. The priors are
+the classes' shares of all sentences of the table that is read. The counts are taken over all labelled documents: once over their whole prose, and once more over the sentences
 that the first counts give to the document's own language, as documents mix languages. Every sentence
 also counts without its accents, since texts in code often lack them.
 
@@ -33,25 +33,8 @@ CLASSES = ("en", "code", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "ja", "
 TOKENIZER = "byte_bpe_50k"
 SMOOTHING = 0.02  # share of the uniform distribution in every class, so that unseen subwords tell nothing
 VOCABULARY_SHARE = 0.08  # share, in English, of the tokenizer's own whole words, by falling rank
-COMMON_SHARE = 0.08  # share, in each other language, of its common words
-MARGIN = 4.0  # natural logarithms by which a language must beat English and code
-PLAIN_PRIOR = 2.0  # prior of English and of code over each other language, as a logarithm
 VOCABULARY = 300_000  # words remembered in a process; beyond it the memory starts anew, results stay the same
 
-# fixed values: common words of each language, beyond what the documents hold
-COMMON_WORDS = {
-    "de": "der die das und ist nicht von zu mit den für auf im ein eine einer des dem als auch durch wird werden wurde sind bei nach aus über nur noch oder aber wenn hat kann muss diese dieser dieses automatisch erzeugt generiert hand bearbeiten bitte ändern datei änderungen siehe hier alle rechte vorbehalten lizenz unter wir sie es er wie was wo",
-    "fr": "le la les de des du et est un une en pour que qui dans sur par pas ne au aux avec ce cette ces son sa ses il elle nous vous sont être fait généré automatiquement fichier modifier voir ici tous droits réservés sous licence si ou mais comme plus sans à été a l d n s c qu code éditer main",
-    "es": "el la los las de del y es un una en para que por con no se al lo su sus como más pero este esta estos si o sin ser está son fue ha archivo generado automáticamente editar modificar ver aquí todos derechos reservados bajo licencia cuando ya código fichero cambios se perderán mano",
-    "pt": "o a os as de do da dos das e é um uma em para que por com não se ao no na nos nas seu sua como mais mas este esta ou sem ser está são foi tem arquivo gerado automaticamente editar modificar ver aqui todos direitos reservados sob licença quando já código ficheiro pelo pela alterar",
-    "it": "il lo la i gli le di del della dei delle e è un una in per che con non si al alla come più ma questo questa o senza essere sono stato ha file generato automaticamente modificare vedere qui tutti diritti riservati sotto licenza quando già da dal nel nella su codice mano",
-    "nl": "de het een en van is niet in op te voor met dat die zijn aan als door wordt worden werd bij naar uit over maar ook nog of wanneer heeft kan moet deze dit automatisch gegenereerd bestand bewerken wijzigen zie hier alle rechten voorbehouden onder licentie hand er wij u",
-    "pl": "i w na z do nie to jest się że o od po za jak dla przez był są ale lub oraz ten ta te tego gdy jeśli już tylko być może plik wygenerowany automatycznie edytować zmieniać zobacz tutaj wszelkie prawa zastrzeżone na licencji kod ręcznie proszę który która",
-    "ru": "и в на не с что по это как для из к у от за но или если так же бы его она они мы вы был была быть при до файл создан автоматически программой сгенерирован редактировать изменять вручную код все права защищены лицензия только уже можно нужно этот эта",
-    "ja": "この ファイル は 自動 生成 されました 編集 しないでください によって コード です ます の を に が と で から まで も する した ください 手動 変更 ライセンス 全て 権利",
-    "zh": "此 文件 由 自动 生成 请勿 编辑 手动 修改 代码 的 了 在 是 我 有 和 不 这 为 之 与 以 及 或 请 不要 许可 版权 所有 保留 权利 本",
-}
-
 _ESCAPE = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\U([0-9a-fA-F]{8})|&#(\d{2,6});|&#x([0-9a-fA-F]{2,5});")
 _CODE_SPAN = re.compile(r"```[\s\S]*?(?:```|\Z)|`[^`\n]*`|\(\s*\w*(?:_|[a-z][A-Z])\w*\s*\)")
 _IDENTIFIER = re.compile(r"\S*(?:\w_\w|[a-z][A-Z]|\d|[/\\@#=<>{}\[\]|~^$%]|::|\w\.\w)\S*")
@@ -146,7 +129,8 @@ def placed_sentences(text: str) -> Iterator[tuple[int, str, int, list[str]]]:
 class Scorer:
     """Log probabilities of words under the classes; the subwords of a word are taken once a process."""
 
-    def __init__(self, logp: np.ndarray, directory: str):
+    def __init__(self, logp: np.ndarray, directory: str, prior: np.ndarray | None = None):
+        self.prior = np.zeros(len(CLASSES), np.float32) if prior is None else prior.astype(np.float32)
         self.logp, self.encode = logp, encoding(TOKENIZER, directory).encode_ordinary
         self.index: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
@@ -162,35 +146,36 @@ class Scorer:
             out.append(i)
         return out
 
-    def classify(self, texts: list[list[str]]) -> np.ndarray:
-        """The class of each list of words: English or code unless another language wins by MARGIN."""
+    def posterior(self, texts: list[list[str]]) -> np.ndarray:
+        """Logarithms, but for a constant, of the posterior of each class for each list of words."""
         if not texts:
-            return np.zeros(0, int)
+            return np.zeros((0, len(CLASSES)), np.float32)
         if len(self.index) > VOCABULARY:
             self.index, self.rows = {}, []
         ids = [self.ids(w) for w in texts]
         if len(self.matrix) != len(self.rows):
             self.matrix = np.array(self.rows, np.float32)
         starts = np.cumsum([0, *map(len, ids[:-1])])
-        score = np.add.reduceat(self.matrix[np.concatenate([np.array(x) for x in ids])], starts, axis=0)
-        score[:, :2] += PLAIN_PRIOR
-        best = score[:, 2:].argmax(1) + 2
-        plain = score[:, :2].argmax(1)
-        wins = score[np.arange(len(ids)), best] - score[:, :2].max(1) >= MARGIN
-        return np.where(wins, best, plain)
+        return np.add.reduceat(self.matrix[np.concatenate([np.array(x) for x in ids])], starts, axis=0) + self.prior
+
+    def classify(self, texts: list[list[str]]) -> np.ndarray:
+        """The class of the highest posterior of each list of words."""
+        return self.posterior(texts).argmax(1)
 
 
-def _token_counts(documents: DataFrame, directory: str, logp: np.ndarray | None, text_col: str, lang_col: str) -> pd.DataFrame:
-    """language, token, n over all labelled documents. At most classes x vocabulary rows, whatever the input."""
+def _token_counts(documents: DataFrame, directory: str, logp: np.ndarray | None, prior: np.ndarray | None, text_col: str, lang_col: str) -> pd.DataFrame:
+    """language, token, n over all labelled documents; token -1 counts sentences, and spans of code. At most classes x vocabulary rows, whatever the input."""
     known = list(CLASSES)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoding(TOKENIZER, directory).encode_ordinary
-        scorer = Scorer(logp, directory) if logp is not None else None
+        scorer = Scorer(logp, directory, prior) if logp is not None else None
+        said = Counter()
         words: dict[str, Counter] = {c: Counter() for c in CLASSES}
         for f in frames:
             for text, lang in zip(f["text"], f["lang"]):
                 for m in re.finditer(r"```[\w]*\n([\s\S]*?)(?:```|\Z)|`([^`\n]+)`", text):
+                    said["code"] += 1
                     words["code"].update(w for x in re.findall(r"[A-Za-z]+", m[1] or m[2]) for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", x.lower()))
                 if lang not in words or lang == "code":
                     continue
@@ -198,13 +183,14 @@ def _token_counts(documents: DataFrame, directory: str, logp: np.ndarray | None,
                 if scorer is not None and found:
                     kinds = scorer.classify([w for _, w in found])
                     found = [x for x, k in zip(found, kinds) if CLASSES[k] == lang]
+                said[lang] += len(found)
                 for part, ws in found:
                     words[lang].update(ws)
                     if lang != "en" and not part.isascii():
                         words[lang].update(unaccented(" ".join(ws)).split())
                         if lang == "de":
                             words[lang].update(unaccented(" ".join(ws), True).split())
-        rows: dict[tuple[str, int], int] = {}
+        rows: dict[tuple[str, int], int] = {(g, -1): n for g, n in said.items()}
         for lang, c in words.items():
             for w, n in c.items():
                 for t in encode(" " + w):
@@ -215,8 +201,8 @@ def _token_counts(documents: DataFrame, directory: str, logp: np.ndarray | None,
     return narrow.mapInPandas(run, "language string, token int, n long").groupBy("language", "token").agg(F.sum("n").alias("n")).toPandas()
 
 
-def train(documents: DataFrame, directory: str = DIRECTORY, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
-    """Log probability of every token under every class, from counts over all labelled documents."""
+def train(documents: DataFrame, directory: str = DIRECTORY, text_col: str = "text", lang_col: str = "lang") -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of every token under every class, log prior of every class), from counts over all labelled documents."""
     enc = encoding(TOKENIZER, directory)
     size = enc.n_vocab
     extra = np.zeros((size, len(CLASSES)))
@@ -225,22 +211,21 @@ def train(documents: DataFrame, directory: str = DIRECTORY, text_col: str = "tex
             extra[rank, 0] += 1 / (rank + 500)
             for t in enc.encode_ordinary(token.decode().lower()):
                 extra[t, 0] += 1 / (rank + 500)
-    for lang, words in COMMON_WORDS.items():
-        for w in words.split():
-            for form in {w, unaccented(w), unaccented(w, lang == "de")}:
-                for t in enc.encode_ordinary(" " + form):
-                    extra[t, CLASSES.index(lang)] += 1
-    share = np.array([VOCABULARY_SHARE, 0.0, *[COMMON_SHARE] * (len(CLASSES) - 2)])
+    share = np.array([VOCABULARY_SHARE, *[0.0] * (len(CLASSES) - 1)])
     extra /= np.maximum(extra.sum(0), 1e-9)
-    logp = None
+    logp = prior = None
     for _ in range(2):
-        counts = np.zeros((size, len(CLASSES)))
-        got = _token_counts(documents, directory, logp, text_col, lang_col)
+        counts, said = np.zeros((size, len(CLASSES))), np.ones(len(CLASSES))
+        got = _token_counts(documents, directory, logp, prior, text_col, lang_col)
+        whole = got[got["token"] < 0]
+        said[[CLASSES.index(x) for x in whole["language"]]] += whole["n"].to_numpy(float)
+        got = got[got["token"] >= 0]
         if len(got):
             np.add.at(counts, (got["token"].to_numpy(), [CLASSES.index(x) for x in got["language"]]), got["n"].to_numpy(float))
         p = counts / np.maximum(counts.sum(0), 1)
         logp = np.log((1 - SMOOTHING - share) * p + share * extra + SMOOTHING / size).astype(np.float32)
-    return logp
+        prior = np.log(said / said.sum())
+    return logp, prior
 
 
 _BRACES = re.compile(r"[;{]\s*$", re.M)
@@ -269,18 +254,48 @@ def texts_of(src: str, lang: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def _walk(table: DataFrame, logp: np.ndarray, kind: str, id_col: str, text_col: str, filename_col: str | None, directory: str, shares: bool) -> DataFrame:
+def _narrow(table: DataFrame, id_col: str, text_col: str, filename_col: str | None) -> DataFrame:
     cols = [F.col(id_col).alias("row_id"), F.col(text_col).alias("own_text"), (F.col(filename_col) if filename_col else F.lit(None).cast("string")).alias("file_name")]
-    narrow = table.select(*cols).filter(F.col("own_text").isNotNull() & (F.col("own_text") != ""))
+    return table.select(*cols).filter(F.col("own_text").isNotNull() & (F.col("own_text") != ""))
+
+
+def priors(table: DataFrame, model: tuple[np.ndarray, np.ndarray], kind: str = "source", id_col: str = "id", text_col: str = "source", filename_col: str | None = "filename", directory: str = DIRECTORY) -> np.ndarray:
+    """Log prior of every class in these texts: the mean posterior over all their sentences, starting from the model's prior
+    (one step of expectation and maximisation). Texts in code hold far fewer sentences of other languages than documents do."""
+    logp, start = model
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, total = Scorer(logp, directory, start), np.zeros(len(CLASSES))
+        for f in frames:
+            words = [ws for text, name in zip(f["own_text"], f["file_name"]) for _, t in _texts(text, name, kind) for _, ws in sentences(unescape(t))]
+            x = scorer.posterior(words)
+            x = np.exp(x - x.max(1, keepdims=True)) if len(x) else x
+            total += (x / x.sum(1, keepdims=True)).sum(0) if len(x) else 0
+        yield pd.DataFrame({"class": range(len(CLASSES)), "n": total})
+
+    got = _narrow(table, id_col, text_col, filename_col).mapInPandas(run, "class int, n double").groupBy("class").agg(F.sum("n").alias("n")).collect()
+    total = np.ones(len(CLASSES))
+    for c, n in got:
+        total[c] += n
+    return np.log(total / total.sum())
+
+
+def _texts(text: str, name: str | None, kind: str) -> list[tuple[int, str]]:
+    return texts_of(text, language_of(name)) if kind == "source" else [(0, text)]
+
+
+def _walk(table: DataFrame, model: tuple[np.ndarray, np.ndarray], kind: str, id_col: str, text_col: str, filename_col: str | None, directory: str, shares: bool) -> DataFrame:
+    narrow = _narrow(table, id_col, text_col, filename_col)
+    logp, prior = model[0], priors(table, model, kind, id_col, text_col, filename_col, directory)
     id_type = dict(narrow.dtypes)["row_id"]
     columns = ["row_id", "lang", "n_sentences", "n_chars", "share"] if shares else ["row_id", "sentence", "place", "lang"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(logp, directory)
+        scorer = Scorer(logp, directory, prior)
         for f in frames:
             found, words = [], []
             for i, (text, name) in enumerate(zip(f["own_text"], f["file_name"])):
-                for at, t in texts_of(text, language_of(name)) if kind == "source" else [(0, text)]:
+                for at, t in _texts(text, name, kind):
                     for place, sentence, n, ws in placed_sentences(t):
                         found.append((i, sentence, at + place, n))
                         words.append(ws)
@@ -299,14 +314,14 @@ def _walk(table: DataFrame, logp: np.ndarray, kind: str, id_col: str, text_col:
     return narrow.mapInPandas(run, f"row_id {id_type}, lang string, n_sentences long, n_chars long, share double" if shares else f"row_id {id_type}, sentence string, place int, lang string")
 
 
-def text_sentences(table: DataFrame, logp: np.ndarray, kind: str = "source", id_col: str = "id", text_col: str = "source", filename_col: str | None = "filename", directory: str = DIRECTORY) -> DataFrame:
+def text_sentences(table: DataFrame, model: tuple[np.ndarray, np.ndarray], kind: str = "source", id_col: str = "id", text_col: str = "source", filename_col: str | None = "filename", directory: str = DIRECTORY) -> DataFrame:
     """row_id, sentence, place, lang: a row for each sentence of each row's texts; place is the 0-based character of
     the text at which it begins. ``kind`` as for ``text_languages``."""
-    return _walk(table, logp, kind, id_col, text_col, filename_col, directory, False)
+    return _walk(table, model, kind, id_col, text_col, filename_col, directory, False)
 
 
-def text_languages(table: DataFrame, logp: np.ndarray, kind: str = "source", id_col: str = "id", text_col: str = "source", filename_col: str | None = "filename", directory: str = DIRECTORY) -> DataFrame:
+def text_languages(table: DataFrame, model: tuple[np.ndarray, np.ndarray], kind: str = "source", id_col: str = "id", text_col: str = "source", filename_col: str | None = "filename", directory: str = DIRECTORY) -> DataFrame:
     """row_id, lang, n_sentences, n_chars, share: a row for each language of each row's texts, added up from the same
     sentences; share is the part of the whole text's characters. ``kind`` "source" reads the comments and literals
     of a file, "text" reads the column as one text."""
-    return _walk(table, logp, kind, id_col, text_col, filename_col, directory, True)
+    return _walk(table, model, kind, id_col, text_col, filename_col, directory, True)

@@ -52,9 +52,9 @@ def p3_links(spark: SparkSession, base: str) -> DataFrame:
 
 def _languages(spark: SparkSession, base: str, operator: Callable[..., DataFrame] = languages.text_languages) -> DataFrame:
     bounded_batches(spark)
-    logp = languages.train(table(spark, base, "documents"))
-    files = operator(table(spark, base, "sourcecode"), logp)
-    comments = operator(table(spark, base, "entity"), logp, kind="text", text_col="comment", filename_col=None)
+    model = languages.train(table(spark, base, "documents"))
+    files = operator(table(spark, base, "sourcecode"), model)
+    comments = operator(table(spark, base, "entity"), model, kind="text", text_col="comment", filename_col=None)
     return files.selectExpr("'sourcecode' AS origin", "*").unionByName(comments.selectExpr("'entity' AS origin", "*"))
 
 
