@@ -94,3 +94,39 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     x, y = trigrams(a), trigrams(b)
     shared = F.size(F.array_intersect(x, y))
     return F.when(F.size(x) + F.size(y) == 0, F.lit(0.0)).otherwise(shared / (F.size(x) + F.size(y) - shared))
+
+
+def most_jaccard(a: Column, b: Column, threshold: float) -> Column:
+    """Whether sets of these sizes can reach the threshold; an empty one can't."""
+    return F.when((a == 0) | (b == 0), F.lit(False)).otherwise(F.least(a, b) / F.greatest(a, b) >= threshold)
+
+
+def string_hash(text: Column, seed: int = 0) -> Column:
+    """h = 31 h + c over the characters, from the seed, modulo 2 to the 32."""
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(seed).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % 4294967296)
+
+
+def minhash_signature(tokens: Column, size: int = 64, step: int = 31337) -> Column:
+    """For each of ``size`` seeds (multiples of step) the least hash of the tokens. The hash is linear in its seed, so each
+    token is walked once, not once a seed: hash(seed) = seed * 31 ** length + hash(0)."""
+    power = lambda w: F.aggregate(F.sequence(F.lit(1), F.length(w)), F.lit(1).cast("long"), lambda p, _: (p * 31) % 4294967296)
+    walked = F.transform(tokens, lambda w: F.struct(string_hash(w).alias("h"), power(w).alias("p")))
+    seeds = F.array(*[F.lit(i * step).cast("long") for i in range(size)])
+    # the one-element array binds what was walked, which the seeds would walk again each
+    return F.transform(F.array(walked), lambda ws: F.transform(seeds, lambda s: F.array_min(F.transform(ws, lambda x: (s * x["p"] + x["h"]) % 4294967296))))[0]
+
+
+def minhash_estimate(a: Column, b: Column) -> Column:
+    """The share of equal places of two signatures; 0 for empty ones or of different lengths."""
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)), F.lit(0.0)).otherwise(equal / F.size(a))
+
+
+def identifier_words(name: Column) -> Column:
+    """The words of an identifier: before capitals, at underscores and hyphens."""
+    return F.filter(F.split(name, "(?=[A-Z])|_|-"), lambda w: w != "")
+
+
+def to_fixed(x: Column, digits: int) -> Column:
+    """The number as text with so many digits."""
+    return F.format_string(f"%.{digits}f", half_up(x, digits))

@@ -7,6 +7,7 @@ never shuffled.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +32,10 @@ def entity_list(entity: DataFrame) -> DataFrame:
 
 
 def entity_search(entity: DataFrame, text: str, limit: int = 10) -> DataFrame:
-    """Symbols that contain the text in any case, those that begin with it first; the top ``limit`` with trigram similarity."""
-    hit = entity.filter(F.col("symbol").ilike(f"%{text}%")).select("id", "symbol", "type", "filename", T.trigram_similarity(F.col("symbol"), F.lit(text)).alias("similarity"), F.col("symbol").ilike(f"{text}%").alias("prefix"))
+    """Symbols that contain the text in any case, those that begin with it first; the top ``limit`` with trigram similarity.
+    In the containment % and _ stand for any text and any character, in the beginning they stand for themselves."""
+    prefix = F.col("symbol").ilike(re.sub(r"([_%\\])", r"\\\1", text) + "%")
+    hit = entity.filter(F.col("symbol").ilike(f"%{text}%")).select("id", "symbol", "type", "filename", T.trigram_similarity(F.col("symbol"), F.lit(text)).alias("similarity"), prefix.alias("prefix"))
     return hit.orderBy(F.col("prefix").desc(), F.lower("symbol"), "id").limit(limit)
 
 
@@ -111,6 +114,15 @@ def symbols_at(refs: DataFrame, entity: DataFrame) -> DataFrame:
     return refs.select("id", "filename", "line", F.coalesce("column_start", F.lit(0)).alias("column_from"), "column_end", "symbol", "definition_entity_id").join(e, "definition_entity_id", "left").drop("definition_entity_id")
 
 
+def symbols_at_location(refs: DataFrame, entity: DataFrame, places: DataFrame) -> DataFrame:
+    """The occurrences at places (project_id, filename, line, column): those whose columns, both ends included, hold the
+    place's, or all of the line where the place names no column; with what is known of their definition."""
+    r = refs.select("id", "project_id", "filename", "line", "symbol", "symbol_type", F.coalesce("column_start", F.lit(0)).alias("column_from"), "column_end", "is_definition", "is_write", "definition_entity_id")
+    e = entity.select(F.col("id").alias("definition_entity_id"), F.col("filename").alias("definition_filename"), F.col("start_line").alias("definition_line"), "parameters", "return_type", "comment")
+    at = r.join(places.select("project_id", "filename", "line", F.col("column").alias("column_at")).distinct(), ["project_id", "filename", "line"])
+    return at.filter("column_at IS NULL OR column_at BETWEEN column_from AND column_end").join(e, "definition_entity_id", "left").drop("definition_entity_id")
+
+
 # ---------------------------------------------------------------- calls
 
 
@@ -131,10 +143,11 @@ def function_calls(relationship: DataFrame, entity: DataFrame) -> DataFrame:
     return r.join(_named(entity, "caller"), "caller").join(_named(entity, "callee"), "callee").select("call_id", "caller", "caller_symbol", "callee", "callee_symbol", "line")
 
 
-def busiest(edges: DataFrame) -> DataFrame:
-    """One row: the node with the most distinct callees, the smallest of several."""
-    d = edges.groupBy("caller").agg(F.countDistinct("callee").alias("n"))
-    return d.orderBy(F.col("n").desc(), "caller").limit(1).select(F.col("caller").alias("node"))
+def busiest(edges: DataFrame, up: bool = False) -> DataFrame:
+    """One row: the node with the most distinct callees (``up``: callers), the smallest of several."""
+    node, other = ("callee", "caller") if up else ("caller", "callee")
+    d = edges.groupBy(node).agg(F.countDistinct(other).alias("n"))
+    return d.orderBy(F.col("n").desc(), node).limit(1).select(F.col(node).alias("node"))
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int, up: bool = False) -> DataFrame:
@@ -396,18 +409,41 @@ def concurrency_findings(entity: DataFrame) -> DataFrame:
 
 
 def concurrency_warnings(findings: DataFrame) -> DataFrame:
-    """Functions with asynchronous or threaded code and no synchronisation."""
-    g = findings.groupBy("id", "project_id").agg(F.count_if(F.col("category").isin("async", "thread")).alias("a"), F.count_if(F.col("category") == "sync").alias("s"))
-    return g.filter("a > 0 AND s = 0").select("id", "project_id")
+    """Functions with asynchronous or threaded code and no synchronisation, and those that take more kinds of locks than they give back."""
+    kind = lambda *names: F.count_if(F.col("kind").isin(*names))
+    g = findings.groupBy("id", "project_id").agg(
+        F.count_if(F.col("category").isin("async", "thread")).alias("a"), F.count_if(F.col("category") == "sync").alias("s"),
+        F.count_if((F.col("category") == "sync") & F.col("kind").isin(*R.LOCK_TAKEN)).alias("taken"), F.count_if((F.col("category") == "sync") & F.col("kind").isin(*R.LOCK_GIVEN)).alias("given"),
+    )
+    made = F.array_compact(F.array(F.when((F.col("a") > 0) & (F.col("s") == 0), "shared_state_no_lock"), F.when(F.col("taken") > F.col("given"), "lock_not_released")))
+    return g.select("id", "project_id", F.explode(made).alias("warning"))
 
 
 def resource_findings(entity: DataFrame) -> DataFrame:
-    """Resources that functions acquire, and whether they release them or hold them in a safe block."""
+    """What functions do with resources: acquisitions, and whether they may leak, releases, and safe holders. An acquisition
+    leaks unless the function also releases, or uses a form of its language that releases by itself."""
+    src, none = F.col("source"), F.lit(False)
     hits = []
+
+    def hit(test: Column, finding: str, kind: str, name: str, leak: Column = none) -> Column:
+        return F.when(test, F.struct(F.lit(finding).alias("finding"), F.lit(kind).alias("kind"), F.lit(name).alias("resource"), leak.alias("leak")))
+
     for lang, rows in R.RESOURCES.items():
-        hits += [F.when((F.col("language") == lang) & F.col("source").rlike(a), F.struct(F.lit(k).alias("kind"), F.lit(n).alias("resource"), (~F.col("source").rlike(r)).alias("leak"))) for k, n, a, r in rows]
-    f = functions_of(entity).filter(F.col("source").isNotNull() & F.col("language").isin(*R.RESOURCES))
-    return f.select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("id", "project_id", "x.kind", "x.resource", "x.leak")
+        own = F.col("language") == lang
+        formed = src.rlike(R.RELEASED_BY_FORM[lang]) if lang in R.RELEASED_BY_FORM else none
+        for kind, name, acquire, release in rows:
+            hits.append(hit(own & src.rlike(acquire), "acquisition", kind, name, ~src.rlike(release) & ~formed))
+            hits.append(hit(own & src.rlike(release), "release", kind, name))
+    for lang, rows in R.SAFE_RESOURCES.items():
+        hits += [hit((F.col("language") == lang) & src.rlike(p), "safe", kind, name) for kind, name, p in rows]
+    f = functions_of(entity).filter(src.isNotNull() & F.col("language").isin(*R.RESOURCES))
+    return f.select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("id", "project_id", "x.finding", "x.kind", "x.resource", "x.leak")
+
+
+def resource_warnings(entity: DataFrame) -> DataFrame:
+    """Functions that handle memory in a way their language warns of."""
+    hits = [F.when((F.col("language") == lang) & F.col("source").rlike(shows) & ~F.col("source").rlike(averts), F.struct(F.lit(w).alias("warning"), F.lit(sev).alias("severity"))) for lang, (w, sev, shows, averts) in R.RESOURCE_WARNINGS.items()]
+    return functions_of(entity).filter("source IS NOT NULL").select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("id", "project_id", "x.warning", "x.severity")
 
 
 def _by_language(table: dict[str, str], default: str, make) -> Column:
@@ -418,9 +454,18 @@ def _by_language(table: dict[str, str], default: str, make) -> Column:
 
 
 def design_patterns(entity: DataFrame) -> DataFrame:
-    """Entities whose declarations carry the name of a design pattern."""
-    hits = [F.when(F.col("source").rlike(R.DECLARED.format(n)), F.lit(n)) for n in R.PATTERN_NAMES]
-    return entity.filter("source IS NOT NULL").select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
+    """The design patterns that entities of any type show in the forms of their language."""
+    hits = []
+    for category, names in R.PATTERN_KINDS.items():
+        for name in names:
+            test = F.lit(False)
+            for lang in R.PATTERN_LANGUAGES:
+                own = ~F.col("language").isin(*[x for x in R.PATTERN_LANGUAGES if x != lang]) if lang == "javascript" else F.col("language") == lang
+                if forms := R.pattern_forms(name, lang):
+                    test = F.when(own, F.col("source").rlike("|".join(f"(?:{x})" for x in forms))).otherwise(test)
+            hits.append(F.when(test, F.struct(F.lit(name).alias("pattern"), F.lit(category).alias("category"))))
+    f = entity.filter("source IS NOT NULL AND language IS NOT NULL").withColumn("language", F.lower("language"))
+    return f.select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("id", "project_id", "x.pattern", "x.category")
 
 
 def coverage_gaps(entity: DataFrame) -> DataFrame:

@@ -57,6 +57,11 @@ def _rooted(t: Tables) -> tuple[DataFrame, DataFrame]:
     return e, cut(G.busiest(e))
 
 
+def _rooted_up(t: Tables) -> tuple[DataFrame, DataFrame]:
+    e = _edges(t)
+    return e, cut(G.busiest(e, up=True))
+
+
 def _dependencies(t: Tables) -> DataFrame:
     return G.file_dependencies(t.relationship, t.entity)
 
@@ -254,9 +259,12 @@ def _(t: Tables) -> DataFrame:
     return G.call_graph_nodes(*_rooted(t), DEPTH, t.entity)
 
 
-@_q("reverse_call_graph", f"WITH RECURSIVE {_E}, {_UP}, {_UE} SELECT * FROM ue")
+_E_UP = _E.replace("SELECT caller AS node FROM e GROUP BY caller ORDER BY count(DISTINCT callee) DESC, caller", "SELECT callee AS node FROM e GROUP BY callee ORDER BY count(DISTINCT caller) DESC, callee")
+
+
+@_q("reverse_call_graph", f"WITH RECURSIVE {_E_UP}, {_UP}, {_UE} SELECT * FROM ue")
 def _(t: Tables) -> DataFrame:
-    return G.reach_edges(*_rooted(t), DEPTH, up=True)
+    return G.reach_edges(*_rooted_up(t), DEPTH, up=True)
 
 
 @_q("call_heatmap", f"WITH RECURSIVE {_E}, {_DOWN}, {_DE}, n AS (SELECT node, count(*) AS caller_count FROM (SELECT callee AS node FROM de UNION ALL SELECT node FROM root) GROUP BY node) SELECT node, caller_count, caller_count / max(caller_count) OVER ()::DOUBLE AS heat FROM n")
@@ -264,8 +272,8 @@ def _(t: Tables) -> DataFrame:
     return G.call_heatmap(*_rooted(t), DEPTH)
 
 
-def _tree_sql(a: str, b: str) -> str:
-    return f"WITH RECURSIVE {_E}, p AS (SELECT DISTINCT {a} AS node, {b} AS next FROM e), w AS (SELECT p.node, p.next, 1 AS depth, [p.node, p.next] AS path, p.node = p.next AS ended FROM p JOIN root USING (node) UNION ALL SELECT p.node, p.next, w.depth + 1, list_append(w.path, p.next), list_contains(w.path, p.next) FROM w JOIN p ON p.node = w.next WHERE w.depth < {DEPTH} AND NOT w.ended) SELECT node, next, depth, array_to_string(path, '>') AS path FROM w"
+def _tree_sql(a: str, b: str, e: str = _E) -> str:
+    return f"WITH RECURSIVE {e}, p AS (SELECT DISTINCT {a} AS node, {b} AS next FROM e), w AS (SELECT p.node, p.next, 1 AS depth, [p.node, p.next] AS path, p.node = p.next AS ended FROM p JOIN root USING (node) UNION ALL SELECT p.node, p.next, w.depth + 1, list_append(w.path, p.next), list_contains(w.path, p.next) FROM w JOIN p ON p.node = w.next WHERE w.depth < {DEPTH} AND NOT w.ended) SELECT node, next, depth, array_to_string(path, '>') AS path FROM w"
 
 
 @_q("callee_tree_edges", _tree_sql("caller", "callee"))
@@ -273,9 +281,9 @@ def _(t: Tables) -> DataFrame:
     return G.tree_edges(*_rooted(t), DEPTH)
 
 
-@_q("caller_tree_edges", _tree_sql("callee", "caller"))
+@_q("caller_tree_edges", _tree_sql("callee", "caller", _E_UP))
 def _(t: Tables) -> DataFrame:
-    return G.tree_edges(*_rooted(t), DEPTH, up=True)
+    return G.tree_edges(*_rooted_up(t), DEPTH, up=True)
 
 
 @_q("file_dependencies", f"WITH {_DEP} SELECT * FROM dep")
@@ -425,12 +433,12 @@ def _(t: Tables) -> DataFrame:
     return G.concurrency_findings(t.entity)
 
 
-@_q("concurrency_warnings", f"SELECT id, project_id FROM ({_CONC}) GROUP BY ALL HAVING count(*) FILTER (WHERE category IN ('async', 'thread')) > 0 AND count(*) FILTER (WHERE category = 'sync') = 0")
+@_q("concurrency_warnings")  # its SQL is in report_queries
 def _(t: Tables) -> DataFrame:
     return G.concurrency_warnings(G.concurrency_findings(t.entity))
 
 
-@_q("resource_findings", " UNION ALL ".join(f"SELECT id, project_id, '{k}' AS kind, '{n}' AS resource, NOT {_has('source', r)} AS leak FROM entity WHERE type = 'function' AND language = '{lang}' AND {_has('source', a)}" for lang, rows in R.RESOURCES.items() for k, n, a, r in rows))
+@_q("resource_findings")  # its SQL is in report_queries
 def _(t: Tables) -> DataFrame:
     return G.resource_findings(t.entity)
 
@@ -444,7 +452,7 @@ def _(t: Tables) -> DataFrame:
     return G.test_coverage(t.entity)
 
 
-@_q("design_patterns", " UNION ALL ".join(f"SELECT id, project_id, '{n}' AS pattern FROM entity WHERE {_has('source', R.DECLARED.format(n))}" for n in R.PATTERN_NAMES))
+@_q("design_patterns")  # its SQL is in report_queries
 def _(t: Tables) -> DataFrame:
     return G.design_patterns(t.entity)
 
