@@ -10,8 +10,10 @@ popped, everything between two interesting characters is skipped by the pattern.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 EXTENSION_LANGUAGE = {
     "py": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "java": "java", "c": "c", "h": "c",
@@ -56,6 +58,20 @@ class Skim:
     pairs: list = field(default_factory=list)  # (open, close) places of matched brackets
     code: str = ""
 
+    @cached_property
+    def closing(self) -> dict[int, int]:
+        """The place of each open bracket's match."""
+        return dict(self.pairs)
+
+    @cached_property
+    def string_ends(self) -> dict[int, int]:
+        return dict(self.strings)
+
+    @cached_property
+    def in_order(self) -> list[tuple[int, int]]:
+        """The comments by place."""
+        return sorted(self.comments)
+
 
 def language_of(filename: str | None) -> str | None:
     """The language a file name's extension stands for; None for null, none or an unknown one."""
@@ -169,10 +185,13 @@ _HEAD = {
 _HEAD |= {"typescript": _HEAD["javascript"], "csharp": _HEAD["java"], "cpp": _HEAD["c"]}
 
 
+_INDENT = re.compile(r"[ \t]*")
+
+
 def indented_end(code: str, head: int, body: int) -> int:
     """Where the indented block of the head at ``head`` ends."""
     start = code.rfind("\n", 0, head) + 1
-    indent = len(code[start:]) - len(code[start:].lstrip(" \t"))
+    indent = _INDENT.match(code, start).end() - start
     at = code.find("\n", body)
     end = len(code) if at < 0 else at
     while 0 <= at < len(code):
@@ -193,7 +212,7 @@ def docstring(src: str, k: Skim, head: int) -> str | None:
     op = code.find("(", head)
     if op < 0:
         return None
-    close = dict(k.pairs).get(op)
+    close = k.closing.get(op)
     if close is None:
         return None
     colon = code.find(":", close)
@@ -202,17 +221,20 @@ def docstring(src: str, k: Skim, head: int) -> str | None:
     at = colon + 1
     while at < len(code) and code[at].isspace():
         at += 1
-    for s, e in k.strings:
-        if s == at or (s in (at + 1, at + 2) and code[at:s].lower() in ("r", "u", "b", "ru", "ur")):
-            return src[s:e]
+    for s in (at, at + 1, at + 2):
+        if s in k.string_ends and (s == at or code[at:s].lower() in ("r", "u", "b", "ru", "ur")):
+            return src[s : k.string_ends[s]]
     return None
 
 
 def walk_functions(src: str, lang: str) -> Iterator[tuple[str, int, int, str | None]]:
     """(symbol, begin, end, documentation) of every function of the text."""
-    k = skim(src, lang)
-    code, closing = k.code, dict(k.pairs)
-    ends = sorted(k.comments, key=lambda x: x[0])
+    yield from functions_in(src, lang, skim(src, lang))
+
+
+def functions_in(src: str, lang: str, k: Skim) -> Iterator[tuple[str, int, int, str | None]]:
+    """The same from a walk already done."""
+    code, closing, ends = k.code, k.closing, k.in_order
     for m in _HEAD[lang].finditer(code):
         name = next(x for x in m.groups() if x)
         begin = m.start() + (len(m[0]) - len(m[0].lstrip()))
@@ -234,9 +256,8 @@ def walk_functions(src: str, lang: str) -> Iterator[tuple[str, int, int, str | N
         if doc is None:
             # comments that end right above the head, with nothing but white space between
             low, parts = begin, []
-            for s, e in reversed(ends):
-                if s >= low:
-                    continue
+            for at in range(bisect_left(ends, (begin, 0)) - 1, -1, -1):
+                s, e = ends[at]
                 between = src[e:low]
                 if between.strip() or between.count("\n") > 1 or code[code.rfind("\n", 0, s) + 1 : s].strip():
                     break

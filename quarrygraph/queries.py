@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import rules as R
 from .functions import text as T
 from .operators import codegraph as G
-from .operators import extraction, hierarchy
+from .operators import catalog, extraction, flow, hierarchy
 from .plans.rounds import cut
 from .sources.tables import bounded_batches, table
 
@@ -563,10 +563,22 @@ def _(t: Tables) -> DataFrame:
 
 @_q("control_flow_nodes")
 def _(t: Tables) -> DataFrame:
-    e = extraction.control_flow(_small_batches(t))
-    return e.select("file_id", "function", F.col("from_line").alias("line")).union(e.select("file_id", "function", "to_line")).distinct()
+    return flow.control_flow(_small_batches(t))[0]
 
 
 @_q("control_flow_edges")
 def _(t: Tables) -> DataFrame:
-    return extraction.control_flow(_small_batches(t))
+    return flow.control_flow(_small_batches(t))[1]
+
+
+@_q("assemble_entities")
+def _(t: Tables) -> DataFrame:
+    return extraction.assemble_entities(_small_batches(t))
+
+
+@_q("calls_with_comments")
+def _(t: Tables) -> DataFrame:
+    """Calls in files with the comment that ends on the line above."""
+    found = cut(extraction.extract(_small_batches(t), kinds=("call", "block")))
+    calls = found.filter("kind = 'call'").selectExpr("file_id", "symbol", "start_line AS line", "detail AS callee")
+    return catalog.attach_comments(calls, found.filter("kind = 'block'").selectExpr("file_id", "start_line", "end_line", "detail AS text"))

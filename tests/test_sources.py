@@ -60,13 +60,6 @@ def test_extraction():
     assert ("embeds", "Base") in {(r[0], r[5]) for r in X.parse("package a\ntype T struct {\n\tBase\n\tx int\n}\n", "go")}
 
 
-def test_control_flow():
-    src = "def f(a):\n    if a:\n        return 1\n    for x in a:\n        if x:\n            break\n    return 2\n"
-    edges = {(a, b, n) for _, a, b, n in X.flow_of(src)}
-    assert {(0, 2, "Start"), (2, 3, "Yes"), (3, -1, "Return"), (2, 4, "No"), (6, 7, "Break"), (4, 7, "Done"), (5, 4, "No")} <= edges
-    assert X.flow_of("def (") == []
-
-
 def test_stream_merges_batches(spark, tmp_path):
     schema = TT.StructType([TT.StructField("k", TT.StringType()), TT.StructField("v", TT.IntegerType()), TT.StructField("at", TT.TimestampType())])
     day = lambda n: dt.datetime(2024, 1, n)
