@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..plans.rounds import connected_components, cut
 
 TWICE = 2  # rounds of colouring planned at once; each reads its predecessor twice
-SHRINK = 0.95  # share of the edges that a round of peeling leaves, from which the rest is cut into parts
+SHRINK = 0.85  # share of the edges that a round of peeling leaves, from which the rest is cut into parts
 PART_EDGES = 100_000
 
 
