@@ -210,11 +210,15 @@ def tree_edges(edges: DataFrame, roots: DataFrame, depth: int, up: bool = False)
 
 
 def file_dependencies(relationship: DataFrame, entity: DataFrame) -> DataFrame:
-    """Calls between different files of a project, with up to five examples in order."""
+    """Calls between different files of a project, with up to five examples in order; examples are counted up to their
+    fifth before they are gathered."""
     r = relationship.filter("caller IS NOT NULL AND callee IS NOT NULL").select("caller", "callee").join(_named(entity, "caller"), "caller").join(_named(entity, "callee"), "callee")
     r = r.filter("caller_project = callee_project AND caller_file <> callee_file")
-    g = r.groupBy(F.col("caller_project").alias("project_id"), F.col("caller_file").alias("source_file"), F.col("callee_file").alias("target_file"))
-    return g.agg(F.count("*").alias("calls"), F.array_join(F.slice(F.array_sort(F.collect_set(F.concat_ws(" -> ", "caller_symbol", "callee_symbol"))), 1, 5), "; ").alias("examples"))
+    key = ["project_id", "source_file", "target_file"]
+    pairs = r.groupBy(F.col("caller_project").alias("project_id"), F.col("caller_file").alias("source_file"), F.col("callee_file").alias("target_file"), F.concat_ws(" -> ", "caller_symbol", "callee_symbol").alias("example")).agg(F.count("*").alias("n"))
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("example")))
+    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.col("example"))))
+    return ranked.groupBy(*key).agg(F.sum("n").alias("calls"), F.array_join(first, "; ").alias("examples"))
 
 
 def file_coupling(dependencies: DataFrame) -> DataFrame:
@@ -380,7 +384,7 @@ def naming_compliance(entity: DataFrame) -> DataFrame:
         for kind in ("function", "class", "struct"):
             exp = R.EXPECTED_STYLES.get((lang, kind), var)
             want = F.when((F.col("language") == lang) & (F.col("type") == kind), F.array(*[F.lit(x) for x in exp])).otherwise(want)
-    e = entity.select("id", "project_id", "symbol", "type", "language", styles.alias("styles"), want.alias("want"))
+    e = entity.filter(_own_name()).select("id", "project_id", "symbol", "type", "language", styles.alias("styles"), want.alias("want"))
     return e.select("id", "project_id", "symbol", F.when(F.size("styles") == 0, "unknown").otherwise(F.array_join("styles", ",")).alias("detected"), F.coalesce(F.arrays_overlap("styles", "want"), F.lit(True)).alias("compliant"))
 
 
@@ -480,10 +484,31 @@ def coverage_gaps(entity: DataFrame) -> DataFrame:
     return f.filter("NOT is_test").select("project_id", "filename", base.alias("base")).join(pieces, ["project_id", "base"], "left_anti").select("project_id", "filename")
 
 
+def _counted(patterns: list[str]) -> Column:
+    return reduce(Column.__add__, [T.count(F.coalesce("source", F.lit("")), p) for p in patterns])
+
+
+def test_quality(entity: DataFrame) -> DataFrame:
+    """Each project's tests: functions of test files that look like tests, their assertions and mocks, tests without any
+    assertion, and names that are too short, numbered, bare, or not of their language's form."""
+    by = lambda table, make: _by_language(table, "javascript", make)
+    f = functions_of(entity).filter("filename IS NOT NULL").withColumn("source", F.coalesce("source", F.lit("")))
+    f = f.filter(by(R.TEST_FILES, lambda p: F.col("filename").rlike(p))).filter(by(R.TEST_FUNCTIONS, lambda ps: reduce(Column.__or__, [F.col("source").rlike(p) for p in ps])))
+    named = F.lit(True)
+    for lang, p in R.TEST_NAMES.items():
+        named = F.when(F.col("language") == lang, F.col("symbol").rlike(p)).otherwise(named)
+    f = f.select("project_id", "symbol", by(R.ASSERTIONS, _counted).alias("asserts"), by(R.MOCKS, _counted).alias("mocks"), named.alias("named"))
+    g = f.groupBy("project_id").agg(
+        F.count("*").alias("tests"), F.sum("asserts").alias("assertions"), F.sum("mocks").alias("mocks"), F.count_if(F.col("asserts") == 0).alias("without_assertion"), F.count_if(F.length("symbol") < 10).alias("short_names"),
+        F.count_if(F.col("symbol").rlike(r"^test\d+\z")).alias("numbered_names"), F.count_if(F.col("symbol") == "test").alias("bare_names"), F.count_if(~F.col("named")).alias("odd_names"),
+    )
+    return g.withColumn("assertions_per_test", T.half_up(F.col("assertions") / F.col("tests"), 2))
+
+
 def test_coverage(entity: DataFrame) -> DataFrame:
     """Each project's files of tests and others, their functions and the assertions in tests."""
     is_test = _by_language(R.TEST_FILES, "javascript", lambda p: F.col("filename").rlike(p))
-    asserts = _by_language(R.ASSERTIONS, "javascript", lambda p: T.count(F.coalesce("source", F.lit("")), p))
+    asserts = _by_language(R.ASSERTIONS, "javascript", _counted)
     f = functions_of(entity).filter("filename IS NOT NULL").select("project_id", "filename", is_test.alias("is_test"), asserts.alias("asserts"))
     return f.groupBy("project_id").agg(
         F.countDistinct(F.when(F.col("is_test"), F.col("filename"))).alias("test_files"), F.countDistinct(F.when(~F.col("is_test"), F.col("filename"))).alias("other_files"),
@@ -509,8 +534,8 @@ def readability(entity: DataFrame) -> DataFrame:
 
 
 def readability_score(entity: DataFrame) -> DataFrame:
-    """The weighted readability score of every function with source, its six parts and the rating."""
-    base = readability(entity).select("id", "identifier_score", "boolean_score")
+    """The weighted readability score of every function with source, its parts and the rating; combined_score also weighs the length."""
+    base = readability(entity).select("id", "identifier_score", "boolean_score", "length_score")
     f = functions_of(entity).filter("source IS NOT NULL AND source <> ''")
     lines = F.split("source", "\n")
     full = F.filter(lines, lambda x: F.trim(x) != "")
@@ -536,14 +561,23 @@ def readability_score(entity: DataFrame) -> DataFrame:
     m = f.select("id", "project_id", F.floor(comments + 0.5).alias("comment_score"), F.floor(score(deepest, 2, 3, 4, 6) + 0.5).alias("nesting_score"), longest.alias("line_score"), F.floor(score(magic, 0, 2, 5, 10) + 0.5).alias("number_score"))
     w = R.READABILITY_WEIGHTS
     total = F.col("identifier_score") * w["identifiers"] + F.col("comment_score") * w["comments"] + F.col("nesting_score") * w["nesting"] + F.col("line_score") * w["lines"] + F.col("number_score") * w["numbers"] + F.col("boolean_score") * w["booleans"]
-    out = m.join(base, "id").withColumn("score", F.floor(total / 0.8 + 0.5).cast("long"))
+    out = m.join(base, "id").withColumn("score", F.floor(total / (1 - R.READABILITY_LENGTH) + 0.5).cast("long"))
+    out = out.withColumn("combined_score", F.floor(F.col("score") * (1 - R.READABILITY_LENGTH) + F.floor(F.col("length_score") + 0.5) * R.READABILITY_LENGTH + 0.5).cast("long"))
     return out.withColumn("rating", F.when(F.col("score") >= 85, "excellent").when(F.col("score") >= 70, "good").when(F.col("score") >= 55, "acceptable").when(F.col("score") >= 40, "poor").otherwise("very_poor"))
 
 
+def _own_name() -> Column:
+    """No name that a language or a generator makes."""
+    return ~(F.col("symbol").startswith("__") & F.col("symbol").endswith("__")) & ~F.col("symbol").startswith("$")
+
+
 def naming_issues(entity: DataFrame) -> DataFrame:
-    """One row for each issue that an entity's name shows."""
+    """One row for each issue that an entity's name shows: its form, a reserved word of its language, a short word that is no
+    common abbreviation."""
     hits = [F.when(F.col("symbol").rlike(p), F.lit(k)) for k, p in R.NAME_ISSUES.items()]
-    return entity.select("id", "project_id", "symbol", F.explode(F.array_compact(F.array(*hits))).alias("issue"))
+    hits.append(F.when(_by_language(R.RESERVED_WORDS, "javascript", lambda words: F.col("symbol").isin(*words)), F.lit("reserved_word")))
+    hits.append(F.when(F.exists(T.identifier_words(F.col("symbol")), lambda w: (F.length(w) <= 3) & ~F.lower(w).isin(*R.KNOWN_SHORT)), F.lit("uncommon_abbreviation")))
+    return entity.filter(_own_name()).select("id", "project_id", "symbol", F.explode(F.array_compact(F.array(*hits))).alias("issue"))
 
 
 def import_cycles(sourcecode: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def top_functions(metrics: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def readability_extremes(scores: DataFrame, limit: int = 10) -> DataFrame:
-    """Each project's least and most readable functions."""
-    parts = []
+    """Each project's least and most readable functions, by the score that also weighs their length."""
+    scores, parts = scores.withColumn("score", F.col("combined_score")), []
     for name, order in (("worst", F.col("score").asc()), ("best", F.col("score").desc())):
         rows = top_rows(scores.select("id", "project_id", "score"), ["project_id"], [order, F.col("id")], limit)
         parts.append(rows.select("project_id", F.lit(name).alias("list"), "rank", "id", "score"))
@@ -65,6 +65,9 @@ def readability_extremes(scores: DataFrame, limit: int = 10) -> DataFrame:
 def readability_by_project(scores: DataFrame) -> DataFrame:
     """Each project's average score and the numbers of its functions by rating."""
     ratings = ("excellent", "good", "acceptable", "poor", "very_poor")
+    s = F.col("combined_score")
+    rating = F.when(s >= 85, ratings[0]).when(s >= 70, ratings[1]).when(s >= 55, ratings[2]).when(s >= 40, ratings[3]).otherwise(ratings[4])
+    scores = scores.select("project_id", s.alias("score"), rating.alias("rating"))
     return scores.groupBy("project_id").agg(F.count("*").alias("functions"), T.half_up(F.avg("score"), 0).cast("long").alias("average"), *[F.count_if(F.col("rating") == x).alias(x) for x in ratings])
 
 

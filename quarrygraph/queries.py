@@ -407,10 +407,11 @@ def _(t: Tables) -> DataFrame:
 
 
 _STYLE_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_has('symbol', p)} THEN '{k}' END" for k, p in R.STYLES.items()) + "], lambda x: x IS NOT NULL)"
+_OWN = "NOT (symbol LIKE '\\_\\_%' ESCAPE '\\' AND symbol LIKE '%\\_\\_' ESCAPE '\\') AND NOT starts_with(symbol, '$')"
 _WANT = "CASE " + " ".join(f"WHEN language = '{lang}' AND type = '{kind}' THEN {R.EXPECTED_STYLES.get((lang, kind), var)!r}" for lang, var in R.VARIABLE_STYLES.items() for kind in ("function", "class", "struct")) + " END"
 
 
-@_q("naming_compliance", f"SELECT id, project_id, symbol, CASE WHEN len({_STYLE_LIST}) = 0 THEN 'unknown' ELSE array_to_string({_STYLE_LIST}, ',') END AS detected, coalesce(list_has_any({_STYLE_LIST}, {_WANT}), true) AS compliant FROM entity")
+@_q("naming_compliance", f"SELECT id, project_id, symbol, CASE WHEN len({_STYLE_LIST}) = 0 THEN 'unknown' ELSE array_to_string({_STYLE_LIST}, ',') END AS detected, coalesce(list_has_any({_STYLE_LIST}, {_WANT}), true) AS compliant FROM entity WHERE {_OWN}")
 def _(t: Tables) -> DataFrame:
     return G.naming_compliance(t.entity)
 
@@ -444,7 +445,14 @@ def _(t: Tables) -> DataFrame:
 
 
 _TF = "CASE " + " ".join(f"WHEN language = '{k}' THEN {_has('filename', p)}" for k, p in R.TEST_FILES.items()) + f" ELSE {_has('filename', R.TEST_FILES['javascript'])} END"
-_AS = "CASE " + " ".join(f"WHEN language = '{k}' THEN {_n(chr(99) + 'oalesce(source, chr(32))', p)}" for k, p in R.ASSERTIONS.items()) + f" ELSE {_n('coalesce(source, chr(32))', R.ASSERTIONS['javascript'])} END"
+
+
+def _sums(table: dict) -> str:
+    one = lambda patterns: _sum([_n("coalesce(source, '')", p) for p in patterns])
+    return "CASE " + " ".join(f"WHEN language = '{k}' THEN {one(p)}" for k, p in table.items()) + f" ELSE {one(table['javascript'])} END"
+
+
+_AS = _sums(R.ASSERTIONS)
 
 
 @_q("test_coverage", f"SELECT project_id, count(DISTINCT filename) FILTER (WHERE is_test) AS test_files, count(DISTINCT filename) FILTER (WHERE NOT is_test) AS other_files, count(*) FILTER (WHERE is_test) AS test_functions, sum(CASE WHEN is_test THEN asserts ELSE 0 END)::BIGINT AS assertions FROM (SELECT project_id, filename, {_TF} AS is_test, {_AS} AS asserts FROM entity WHERE type = 'function' AND filename IS NOT NULL) GROUP BY project_id")
@@ -479,7 +487,11 @@ def _(t: Tables) -> DataFrame:
     return G.readability_score(t.entity)
 
 
-@_q("naming_issues", " UNION ALL ".join(f"SELECT id, project_id, symbol, '{k}' AS issue FROM entity WHERE {_has('symbol', p)}" for k, p in R.NAME_ISSUES.items()))
+_RESERVED = "CASE " + " ".join(f"WHEN language = '{k}' THEN symbol IN ({', '.join(map(repr, v))})" for k, v in R.RESERVED_WORDS.items()) + f" ELSE symbol IN ({', '.join(map(repr, R.RESERVED_WORDS['javascript']))}) END"
+_SHORT = f"len(list_filter(string_split_regex(regexp_replace(symbol, '([A-Z])', '_\\1', 'g'), '[_-]'), lambda w: len(w) BETWEEN 1 AND 3 AND lower(w) NOT IN ({', '.join(map(repr, R.KNOWN_SHORT))}))) > 0"
+
+
+@_q("naming_issues", " UNION ALL ".join(f"SELECT id, project_id, symbol, '{k}' AS issue FROM entity WHERE {_OWN} AND {test}" for k, test in [*((k, _has("symbol", p)) for k, p in R.NAME_ISSUES.items()), ("reserved_word", _RESERVED), ("uncommon_abbreviation", _SHORT)]))
 def _(t: Tables) -> DataFrame:
     return G.naming_issues(t.entity)
 

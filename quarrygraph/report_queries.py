@@ -12,7 +12,7 @@ from .operators import codegraph as G
 from .operators import hierarchy
 from .operators import reports as P
 from .plans.rounds import cut
-from .queries import _CONC, _EXTENDS_SQL, _M, SQL, Tables, _extends, _has, _q
+from .queries import _AS, _CONC, _EXTENDS_SQL, _M, _TF, SQL, Tables, _extends, _has, _q, _sums
 
 def _sql(name: str) -> str:
     return f"({SQL[name]})"
@@ -183,6 +183,26 @@ def _(t: Tables) -> DataFrame:
     return P.cached_dashboard(t.entity, t.relationship)
 
 
+_TESTS = "CASE " + " ".join(f"WHEN language = '{k}' THEN ({' OR '.join(_has('source', p) for p in v)})" for k, v in R.TEST_FUNCTIONS.items()) + f" ELSE ({' OR '.join(_has('source', p) for p in R.TEST_FUNCTIONS['javascript'])}) END"
+_NAMED = "CASE " + " ".join(f"WHEN language = '{k}' THEN {_has('symbol', p)}" for k, p in R.TEST_NAMES.items()) + " ELSE true END"
+
+
+@_q("test_quality", f"""SELECT project_id, count(*) AS tests, sum(asserts)::BIGINT AS assertions, sum(mocks)::BIGINT AS mocks, count(*) FILTER (WHERE asserts = 0) AS without_assertion, count(*) FILTER (WHERE len(symbol) < 10) AS short_names, count(*) FILTER (WHERE regexp_matches(symbol, '^test\\d+$')) AS numbered_names,
+count(*) FILTER (WHERE symbol = 'test') AS bare_names, count(*) FILTER (WHERE NOT named) AS odd_names, floor(sum(asserts) / count(*) * 100 + 0.5) / 100.0::DOUBLE AS assertions_per_test
+FROM (SELECT project_id, symbol, {_AS} AS asserts, {_sums(R.MOCKS)} AS mocks, {_NAMED} AS named FROM (SELECT * REPLACE (coalesce(source, '') AS source) FROM entity) WHERE type = 'function' AND filename IS NOT NULL AND {_TF} AND {_TESTS}) GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    return G.test_quality(t.entity)
+
+
+def _truncated(name: str, order: str, limit: int) -> str:
+    return f"SELECT * EXCLUDE (n), n > {limit} AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY project_id) AS n, row_number() OVER (PARTITION BY project_id ORDER BY {order}) AS rank FROM {_sql(name)}) WHERE rank <= {limit}"
+
+
+@_q("naming_issue_list", _truncated("naming_issues", "id, issue", 100))
+def _(t: Tables) -> DataFrame:
+    return P.top_rows(G.naming_issues(t.entity), ["project_id"], [F.col("id"), F.col("issue")], 100).drop("total")
+
+
 # ---------------------------------------------------------------- places and names
 
 

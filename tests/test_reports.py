@@ -92,10 +92,13 @@ def test_places_and_truncation(spark):
 
 
 def test_names_that_show_nothing_in_the_tables(spark):
-    rows = [(i, 1, "python", s, "function", "a.py", "x", 1, 2, None) for i, s in enumerate(["load1", "load2", "load3", "a", "x", "n" * 41, "a__b", "myVar_x", "plain"], 1)]
+    rows = [(i, 1, "python", s, "function", "a.py", "x", 1, 2, None) for i, s in enumerate(["load1", "load2", "load3", "a", "x", "n" * 41, "a__b", "myVar_x", "plain", "lambda", "__init__", "$gen"], 1)]
     e = spark.createDataFrame(rows, SCHEMA)
     assert [(r["base_name"], r["n"], r["severity"]) for r in G.name_suspects(e).collect()] == [("load", 3, "low")]
-    assert {(r["symbol"][:7], r["issue"]) for r in G.naming_issues(e).collect()} == {("a", "too_short"), ("nnnnnnn", "too_long"), ("a__b", "consecutive_underscores"), ("myVar_x", "mixed_conventions")}
+    assert {(r["symbol"][:7], r["issue"]) for r in G.naming_issues(e).collect()} == {
+        ("a", "too_short"), ("a", "uncommon_abbreviation"), ("x", "uncommon_abbreviation"), ("nnnnnnn", "too_long"), ("a__b", "consecutive_underscores"), ("a__b", "uncommon_abbreviation"),
+        ("myVar_x", "mixed_conventions"), ("myVar_x", "uncommon_abbreviation"), ("lambda", "reserved_word"),
+    }
 
 
 def test_circles_of_files(spark):
@@ -179,3 +182,10 @@ def test_minhash(spark):
     assert names["w"] == ["my", "Var", "x", "y"] and names["t"] == "2.35"
     sizes = spark.createDataFrame([(10, 10), (8, 10), (7, 10), (5, 10), (0, 10)], "a int, b int").select(T.most_jaccard(F.col("a"), F.col("b"), 0.7).alias("x"))
     assert [r["x"] for r in sizes.collect()] == [True, True, True, False, False]
+
+
+def test_tests_are_judged(spark):
+    rows = [("python", "test_add", "def test_add():\n    m = Mock()\n    assert add(1) == 2\n    self.assertTrue(x)\n", "a/test_x.py"), ("python", "test1", "def test_1(): pass", "a/test_x.py"), ("python", "helper", "def helper(): assert 1", "a/test_x.py"), ("java", "testSumsUpRows", "@Test public void testSumsUpRows() { assertThat(x); }", "src/test/A.java"), ("python", "test_out", "def test_out(): assert 1", "a/b.py")]
+    e = spark.createDataFrame([(i, 1, lang, s, "function", name, src, 1, 3, None) for i, (lang, s, src, name) in enumerate(rows, 1)], SCHEMA)
+    r = G.test_quality(e).first()
+    assert (r["tests"], r["assertions"], r["mocks"], r["without_assertion"], r["numbered_names"], r["short_names"], r["odd_names"]) == (3, 4, 1, 1, 1, 2, 1)
