@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..plans.rounds import cut
+from ..plans.rounds import cut, stored
 
 # ---------------------------------------------------------------- lookups and counts
 
@@ -194,7 +194,8 @@ def call_heatmap(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
 def tree_edges(edges: DataFrame, roots: DataFrame, depth: int, up: bool = False) -> DataFrame:
     """(node, next, depth, path) of every step of every path from the roots, distinct edges once a path; a node that
-    the path already holds ends it."""
+    the path already holds ends it. All paths are what is asked for, so the rows may grow exponentially with the depth;
+    ``reach_edges`` gives each edge once."""
     a, b = ("callee", "caller") if up else ("caller", "callee")
     pairs = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     front = roots.select("node", F.array("node").alias("path"))
@@ -608,8 +609,9 @@ def duplicate_pairs(entity: DataFrame, threshold: float = 0.7) -> DataFrame:
     Exact without comparing all pairs of a bucket: sets of that similarity share one of their rarest tokens, so only the
     first size - ceil(threshold * size) + 1 tokens by frequency are joined."""
     n = F.col("end_line") - F.col("start_line") + 1
-    f = functions_of(entity).filter(F.col("source").isNotNull() & (n >= 5)).select("id", "project_id", n.alias("lines"), T.tokens(F.col("source")).alias("tokens"))
-    f = cut(f.filter(F.size("tokens") > 0).withColumn("bucket", F.floor(F.size("tokens") / 5)).withColumn("line_bucket", F.floor(F.col("lines") / 10)))
+    tokens = F.transform(T.tokens(F.col("source")), lambda x: F.xxhash64(x))  # hashes instead of words: less to shuffle
+    f = functions_of(entity).filter(F.col("source").isNotNull() & (n >= 5)).select("id", "project_id", n.alias("lines"), tokens.alias("tokens"))
+    f = stored(f.filter(F.size("tokens") > 0).withColumn("bucket", F.floor(F.size("tokens") / 5)).withColumn("line_bucket", F.floor(F.col("lines") / 10)), "tokens")
     flat = f.select("id", F.explode("tokens").alias("token"))
     freq = flat.groupBy("token").agg(F.count("*").alias("freq"))
     ranked = flat.join(freq, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("r"))

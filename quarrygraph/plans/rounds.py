@@ -21,10 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as a compressed table in the shared checkpoint folder. For results too large for
-    ``cut``, whose files are not compressed. The table stays until the folder is emptied."""
+    ``cut``, whose files are not compressed. The table stays until the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.parquet(path)
 
 

@@ -189,3 +189,21 @@ def test_tests_are_judged(spark):
     e = spark.createDataFrame([(i, 1, lang, s, "function", name, src, 1, 3, None) for i, (lang, s, src, name) in enumerate(rows, 1)], SCHEMA)
     r = G.test_quality(e).first()
     assert (r["tests"], r["assertions"], r["mocks"], r["without_assertion"], r["numbered_names"], r["short_names"], r["odd_names"]) == (3, 4, 1, 1, 1, 2, 1)
+
+
+def test_analyses_are_calculated_ahead(spark, tmp_path):
+    from quarrygraph.plans import precalculate as A
+
+    e = spark.createDataFrame([(i, 1 + i % 2, "python", f"load{i}", "function", "a.py", "def f(a):\n    if a:\n        return 1\n    return 2\n    x\n", 1, 6, None, "(a)", None) for i in range(6)], SCHEMA + ", parameters string, return_type string")
+    calls = spark.createDataFrame([(1, 0, 2, 3)], "id long, caller long, callee long, line int")
+    path = str(tmp_path / "cache")
+    plans = A.parts(e, calls)
+    assert [(n, err) for n, _, err in A.precalculate(spark, plans, path)] == [("complexity", None), ("duplication", None), ("dashboard", None), ("files", None)]
+    assert {r["project_id"]: r["n"] for r in C.analysis_read(A.read_cache(spark, path, "duplication"), "duplication", "duplicated int").withColumnRenamed("duplicated", "n").collect()} == {1: 3, 2: 3}
+
+    def broken():
+        raise ValueError("no")
+
+    again = A.precalculate(spark, {"dashboard": broken, "files": plans["files"]}, path)
+    assert again[0][2] == "ValueError: no" and again[1][2] is None
+    assert A.read_cache(spark, path, "dashboard").count() == 2 and A.read_cache(spark, path, "files").count() == 2
