@@ -37,7 +37,7 @@ _SENTENCE_END = r"[.!?。！？][)\"”’»'`*]*+$"
 # signs for addresses, identifiers, numbers and line ends, then blanks around whatever is no word
 _SIGNS = (
     (r"https?://\S+", " \u0003 "),
-    (r"`[^`\n]*`|[A-Za-z0-9]*_\w+|(?<![\p{L}])[\p{L}]*?[a-z][A-Z][\p{L}]*", " \u0002 "),
+    (r"`[^`\n]*`|(?<![A-Za-z0-9])[A-Za-z0-9]*+_\w++|(?<!\p{L})\p{L}*?[a-z][A-Z]\p{L}*+", " \u0002 "),
     (r"[0-9]+", " 9 "),
     (r"\n\s*+", " \u0001 "),
     (r"([぀-ヿ㐀-鿿]|[^\s\p{L}\p{M}\p{N}])", " $1 "),
