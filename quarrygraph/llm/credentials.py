@@ -55,6 +55,7 @@ _URL_TAIL = re.compile(r"([A-Za-z][\w+.-]*://)([^\s:/@\"'`]*):([^\s@\"'`/]+)$")
 _CODE_TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]")
 _CHUNK = re.compile(r"-----BEGIN [A-Z0-9 ]*-----|\{\{.*?\}\}|\$\{[^}]*\}|<[A-Za-z][^<>]*>|\S+")
 _KEY_CHUNK = re.compile(_CHUNK.pattern[:-3] + r"(?:(?!-----BEGIN [A-Z0-9 ]*-----)\S)+")
+_SPACES = re.compile(r"\s+")
 _IN_PARENTHESES = re.compile(r"\(([^()]+)\)[.,;:]*")
 _NAME_SEP = re.compile(r"([A-Za-z_][\w.\-]*)([ \t]*)(:=|=>|[:=])(?!/)([ \t]*)")
 
@@ -113,7 +114,7 @@ def tokenize(line: str, setting: bool, inside: int = 0) -> list[tuple[int, int,
     while pos < n:
         ch = line[pos]
         if ch.isspace():
-            pos += 1
+            pos = _SPACES.match(line, pos).end()
             continue
         if ch == "-" and (m := _HEAD.match(line, pos)):
             out.append((pos, m.end(), "v"))
@@ -135,7 +136,7 @@ def tokenize(line: str, setting: bool, inside: int = 0) -> list[tuple[int, int,
                 out.append((end, end + 1, "q"))
             pos = end + 1
             continue
-        comment = line.startswith(("//", "/*", "<!--"), pos) or (ch == "#" and not line.startswith(("#include", "#define", "#pragma"), pos)) or (ch == "*" and pos == first) or line.startswith("-- ", pos)
+        comment = ch in "/#*<-" and (line.startswith(("//", "/*", "<!--"), pos) or (ch == "#" and not line.startswith(("#include", "#define", "#pragma"), pos)) or (ch == "*" and pos == first) or line.startswith("-- ", pos))
         if comment:
             body = line[pos:]
             out.append((pos, pos + 1, "#"))
@@ -320,9 +321,16 @@ def _value_features(sh: str, ctx: str, size: str, setting: bool) -> tuple[str, .
     return "sh:" + sh, "ctx:" + ctx, f"sh|ctx:{sh}|{ctx}", f"sh|len:{sh}|{size}", f"setting:{setting}"
 
 
-def features(line: str, toks: list[tuple[int, int, str]], setting: bool) -> list[list[str]]:
+_JOINTS = ("+", "..", ".", "\\", "&", ",")
+# what tokens other than values have; of these there are few
+_PLAIN = {kind: ("kind:" + kind, "bias", *(["w"] if kind == "w" else [])) for kind in "nwq#=u@p"}
+_PUNCT = {(kind, text): (*row, "punct:" + text) for kind, row in _PLAIN.items() for text in _JOINTS}
+_CALL_PAIR = re.compile(r"\([\"']x[\"'],[\"']x?$")
+
+
+def features(line: str, toks: list[tuple[int, int, str]], setting: bool) -> list[tuple[str, ...]]:
     """Shape and context features of every token."""
-    rows = []
+    rows: list[tuple[str, ...]] = []
     name, comment, cue, user, scheme = "none", False, 0, False, False
     literal, since = False, 9  # a literal ended so many tokens ago, with nothing but joints since
     held = "none"  # the name class of the value that the last literal belongs to
@@ -331,63 +339,64 @@ def features(line: str, toks: list[tuple[int, int, str]], setting: bool) -> list
     concat = "concat" in line
     for at, (s, e, kind) in enumerate(toks):
         text = line[s:e]
-        f = ["kind:" + kind, "bias"]
-        if kind == "#":
-            comment, name = True, "none"
-        elif kind == "n" and not comment or kind == "n" and len(text) < 30:
-            c = name_class(text)
-            if c != "neutral" or name == "none" or not literal:
-                name = c if c != "neutral" or name in ("none", "neutral") else name
-            if _USER.match(text):
-                user = True
-        if kind == "u":
-            scheme = True
-        if kind in ("v", "w") and _is_cue(text):
-            cue = 5
         if kind == "v":
+            if _is_cue(text):
+                cue = 5
             sh = shape(text)
-            joint = literal and since <= 3
-            near = "url" if scheme and prev_text.endswith((":",)) is False and kind == "v" and rows and rows[-1][0] in ("kind:n", "kind:u") else ""
             ctx = name if not comment or name not in ("none", "neutral") else ("cue" if cue else "comment")
-            f += _value_features(sh, ctx, _bin(e - s), setting)
-            if near:
+            f = ["kind:v", "bias", *_value_features(sh, ctx, _bin(e - s), setting)]
+            if scheme and rows and rows[-1][0] in ("kind:n", "kind:u") and not prev_text.endswith(":"):
                 f += ["url", "url|" + ("ph" if sh == "placeholder" else "val")]
-            if at + 1 < len(toks) and toks[at + 1][2] == "q" and ("".join(line[a:b] for a, b, _ in toks[at + 1 : at + 4]) in ('"+"', "'+'", '","' if concat else '"+"') or "".join(line[a:b] for a, b, _ in toks[at + 1 : at + 3]) in ('""', "''")):
-                f += ["split", f"split|{ctx}"]
-            if joint:
+            if at + 1 < len(toks) and toks[at + 1][2] == "q":
+                after = [line[a:b] for a, b, _ in toks[at + 1 : at + 4]]
+                if "".join(after) in ('"+"', "'+'", '","' if concat else '"+"') or "".join(after[:2]) in ('""', "''"):
+                    f += ["split", f"split|{ctx}"]
+            if literal and since <= 3:
                 f += ["joint", f"joint|{last_value}", f"joint|{held}"]
-            if any(k == "q" for *_, k in toks[max(0, at - 2) : at]):
-                before = "".join(line[a:b] if k != "w" and k != "v" else "x" for a, b, k in toks[max(0, at - 6) : at])
-                if re.search(r"\([\"']x[\"'],[\"']x?$", before):
+            if at and (toks[at - 1][2] == "q" or at > 1 and toks[at - 2][2] == "q"):
+                before = "".join(["x" if k == "w" or k == "v" else line[a:b] for a, b, k in toks[max(0, at - 6) : at]])
+                if _CALL_PAIR.search(before):
                     f += ["pair", f"pair|{sh}"]
             if user:
                 f += ["user", f"user|{sh}"]
             if prev_text in ("Basic", "Bearer", "Token"):
                 f += ["scheme_word", f"scheme_word|{sh}"]
             if comment and cue:
-                f += [f"cue|{sh}"]
+                f.append(f"cue|{sh}")
+            if text in _JOINTS:
+                f.append("punct:" + text)
             last_value, held = sh, name
-            if _USER.match(text) and sh in ("name", "plain", "other"):
+            if sh in ("name", "plain", "other") and _USER.match(text):
                 user = True
-        elif kind == "w":
-            f.append("w")
-        if text in ("+", "..", ".", "\\", "&", ","):
-            f.append("punct:" + text)
-        if kind == "q":
-            if rows and rows[-1][0] in ("kind:v", "kind:w"):
-                literal, since = True, 0
-        elif text in ("+", "\\", "..") or (kind == "p" and text == "," and concat):
-            since += 1 if since < 9 else 0
-        elif kind not in ("v", "w", "u", "@"):
-            literal, since = False, 9
-            if text in (";", "{", "}") or text == ",":
-                scheme = False
-                if text != ",":
-                    name = "none"
-        if kind == "v" and cue:
-            cue -= 1
+            if cue:
+                cue -= 1
+            rows.append(tuple(f))
+        else:
+            if kind == "#":
+                comment, name = True, "none"
+            elif kind == "n" and (not comment or len(text) < 30):
+                c = name_class(text)
+                if c != "neutral" or name == "none" or not literal:
+                    name = c if c != "neutral" or name in ("none", "neutral") else name
+                if _USER.match(text):
+                    user = True
+            elif kind == "u":
+                scheme = True
+            elif kind == "w" and _is_cue(text):
+                cue = 5
+            if kind == "q":
+                if rows and rows[-1][0] in ("kind:v", "kind:w"):
+                    literal, since = True, 0
+            elif text in ("+", "\\", "..") or (kind == "p" and text == "," and concat):
+                since += 1 if since < 9 else 0
+            elif kind not in ("w", "u", "@"):
+                literal, since = False, 9
+                if text in (";", "{", "}") or text == ",":
+                    scheme = False
+                    if text != ",":
+                        name = "none"
+            rows.append(_PUNCT[kind, text] if text in _JOINTS else _PLAIN[kind])
         prev_text = text
-        rows.append(f)
     return rows
 
 
@@ -402,7 +411,7 @@ class Crf:
         self.scores: dict[tuple[str, ...], list[float]] = {}
 
     @classmethod
-    def train(cls, data: list[tuple[list[list[str]], list[int]]], rounds: int = 60, l2: float = 0.02) -> Crf:
+    def train(cls, data: list[tuple[list[tuple[str, ...]], list[int]]], rounds: int = 60, l2: float = 0.02) -> Crf:
         index: dict[str, int] = {}
         for rows, _ in data:
             for f in rows:
@@ -460,18 +469,18 @@ class Crf:
         w[nf] = 0
         return cls(index, w[:nf], a)
 
-    def viterbi(self, rows: list[list[str]]) -> list[int]:
+    def viterbi(self, rows: list[tuple[str, ...]]) -> list[int]:
         get, w, a, scores = self.index.get, self.weights, self.steps.tolist(), self.scores
         if len(scores) > MEMORY:
             scores.clear()
         emitted, quiet = [], True
         for f in rows:
-            s = scores.get(known := tuple(f))
+            s = scores.get(f)
             if s is None:
                 ids = [i for i in map(get, f) if i is not None]
                 e = w[ids].sum(0).tolist() if ids else [0.0, 0.0, 0.0]
                 # no path gains by leaving O here, whatever steps lead in and out
-                s = scores[known] = (*e, all(e[k] - e[0] + max(0.0, *(a[j][k] - a[0][0] for j in range(3))) + max(0.0, a[k][0] - a[0][0]) < 0 for k in (1, 2)))
+                s = scores[f] = (*e, all(e[k] - e[0] + max(0.0, *(a[j][k] - a[0][0] for j in range(3))) + max(0.0, a[k][0] - a[0][0]) < 0 for k in (1, 2)))
             emitted.append(s)
             quiet = quiet and s[3]
         if quiet:
@@ -695,7 +704,7 @@ class _Maker:
             return line, [v], setting, "header " + form
         if k < 0.50:
             v = self.secret()
-            at = r.randint(4, len(v) - 3)
+            at = r.randint(4, max(4, len(v) - 3))
             j = r.randrange(6)
             form = ('N = "V" + "Z";', 'const N = "V" + "Z";', 'let N = concat!("V", "Z");', 'const char *N = "V" "Z";', 'N := "V" + "Z"', 'N = "V" "Z"')[j]
             return form.replace("N", "\0").replace("V", v[:at]).replace("Z", v[at:]).replace("\0", self.secret_name()) if "V" not in v[at:] else f'x = "{v[:at]}" + "{v[at:]}"', [v[:at], v[at:]], False, f"split {j}"
@@ -761,7 +770,7 @@ def training_lines(n: int = TRAINING_LINES, seed: int = SEED) -> list[tuple[str,
     return out
 
 
-def labelled(line: str, spans: list[tuple[int, int]], setting: bool) -> tuple[list[list[str]], list[int]]:
+def labelled(line: str, spans: list[tuple[int, int]], setting: bool) -> tuple[list[tuple[str, ...]], list[int]]:
     """The features and labels of one line's tokens."""
     toks = tokenize(line, setting)
     labels, begun = [], False
