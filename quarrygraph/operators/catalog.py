@@ -31,6 +31,13 @@ def inheritance_update(entity: DataFrame, inheritance: DataFrame) -> DataFrame:
     return c.join(got, "id", "left").select("id", F.coalesce("new_parent", "parent_class").alias("parent_class"), F.when(some, F.col("new_interfaces")).otherwise(F.col("interfaces")).alias("interfaces"), "is_abstract")
 
 
+def bulk_insert(table: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """The table with the rows appended under new ids above its own; ids have gaps, so no task has to count the others' rows."""
+    last = table.agg(F.max(id_col)).first()[0] or 0
+    fresh = rows.withColumn(id_col, (F.monotonically_increasing_id() + last + 1).cast(dict(table.dtypes)[id_col]))
+    return table.unionByName(fresh, allowMissingColumns=True)
+
+
 def analysis_upsert(cache: DataFrame, rows: DataFrame, now: Column | None = None) -> DataFrame:
     """The cache of (project_id, analysis_type, data, created_at, updated_at) with the rows (project_id, analysis_type, data) put in."""
     now = F.current_timestamp() if now is None else now

@@ -39,6 +39,12 @@ def entity_search(entity: DataFrame, text: str, limit: int = 10) -> DataFrame:
     return hit.orderBy(F.col("prefix").desc(), F.lower("symbol"), "id").limit(limit)
 
 
+def entity_search_named(entity: DataFrame, project: DataFrame, text: str, limit: int = 10) -> DataFrame:
+    """The same search over all projects, with the name of each find's project."""
+    found = entity_search(entity, text, limit).join(entity.select("id", "project_id"), "id")
+    return found.join(project.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id", "left")
+
+
 def functions_per_file(entity: DataFrame) -> DataFrame:
     return entity.filter("type = 'function'").groupBy("project_id", "filename").agg(F.count("*").alias("functions"))
 
@@ -114,6 +120,14 @@ def symbols_at(refs: DataFrame, entity: DataFrame) -> DataFrame:
     return refs.select("id", "filename", "line", F.coalesce("column_start", F.lit(0)).alias("column_from"), "column_end", "symbol", "definition_entity_id").join(e, "definition_entity_id", "left").drop("definition_entity_id")
 
 
+def enclosing_functions(places: DataFrame, entity: DataFrame) -> DataFrame:
+    """The places (project_id, filename, line) with the smallest function around them, of several the one of the least id."""
+    f = functions_of(entity).select("project_id", "filename", "start_line", "end_line", F.col("id").alias("function_id"), F.col("symbol").alias("function"))
+    around = places.select("project_id", "filename", "line").distinct().join(f, ["project_id", "filename"]).filter("line BETWEEN start_line AND end_line")
+    x = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "function_id", "function")).alias("x")
+    return around.groupBy("project_id", "filename", "line").agg(x).select("project_id", "filename", "line", "x.function_id", "x.function")
+
+
 def symbols_at_location(refs: DataFrame, entity: DataFrame, places: DataFrame) -> DataFrame:
     """The occurrences at places (project_id, filename, line, column): those whose columns, both ends included, hold the
     place's, or all of the line where the place names no column; with what is known of their definition."""

@@ -267,6 +267,14 @@ class Graph:
         self.add("end", "End", None, ends + self.returns)
         return self
 
+    def levels(self) -> list[int]:
+        """The longest way from the start to each node, edges back aside; they alone lead to a node of no greater number."""
+        out = [0] * len(self.nodes)
+        for a, b, _ in sorted(self.edges, key=lambda e: e[1]):
+            if a < b:
+                out[b] = max(out[b], out[a] + 1)
+        return out
+
     def block(self, statements: list, ends: list, loop: tuple | None, breaks: list | None) -> list:
         for s in statements:
             if not ends:
@@ -360,13 +368,13 @@ def graphs_of(src: str, lang: str) -> Iterator[tuple[str, int, int, Graph]]:
             continue
 
 
-NODES = "file_id {}, function string, start_line int, node int, type string, label string, line int, end_line int, snippet string"
+NODES = "file_id {}, function string, start_line int, node int, level int, type string, label string, line int, end_line int, snippet string"
 EDGES = "file_id {}, function string, start_line int, from_node int, to_node int, label string"
 
 
 def control_flow(files: DataFrame, id_col: str = "id", filename_col: str = "filename", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the functions of all files; a function is told by file, name and first line, a node by its number
-    within. The snippet is the first line of the node's text."""
+    within. The level is a node's longest way from the start, the snippet the first line of its text."""
     narrow = files.select(F.col(id_col).alias("file_id"), F.col(filename_col).alias("file_name"), F.col(source_col).alias("file_text")).filter("file_text IS NOT NULL AND file_text <> ''")
     kind = dict(narrow.dtypes)["file_id"]
 
@@ -381,7 +389,8 @@ def control_flow(files: DataFrame, id_col: str = "id", filename_col: str = "file
                     line = lambda p: None if p is None else text.count("\n", 0, p) + 1
                     first = line(begin)
                     if want_nodes:
-                        out += [(i, function, first, n, t, label, line(a), line(max(a, b - 1)) if a is not None else None, text[a:b].split("\n")[0].strip() if a is not None else None) for n, t, label, a, b in g.nodes]
+                        level = g.levels()
+                        out += [(i, function, first, n, level[n], t, label, line(a), line(max(a, b - 1)) if a is not None else None, text[a:b].split("\n")[0].strip() if a is not None else None) for n, t, label, a, b in g.nodes]
                     else:
                         out += [(i, function, first, *e) for e in g.edges]
             yield pd.DataFrame(out, columns=columns).astype({"line": "Int32", "end_line": "Int32"} if want_nodes else {})

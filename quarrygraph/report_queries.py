@@ -226,6 +226,17 @@ def _(t: Tables) -> DataFrame:
     return f.select("id", F.array_join(F.transform(T.minhash_signature(F.col("tokens")), lambda x: x.cast("string")), " ").alias("signature"))
 
 
+@_q("entity_search_named", f"SELECT x.*, e.project_id, p.name AS project_name FROM {_sql('entity_search')} x JOIN entity e ON e.id = x.id LEFT JOIN project p ON p.id = e.project_id")
+def _(t: Tables) -> DataFrame:
+    return G.entity_search_named(t.entity, t.project, "load")
+
+
+@_q("enclosing_functions", """WITH p AS (SELECT DISTINCT project_id, filename, line FROM symbol_reference), k AS (SELECT p.*, e.id AS function_id, e.symbol AS function, row_number() OVER (PARTITION BY p.project_id, p.filename, p.line ORDER BY e.end_line - e.start_line, e.id) AS r
+FROM p JOIN entity e ON e.project_id = p.project_id AND e.filename = p.filename AND p.line BETWEEN e.start_line AND e.end_line WHERE e.type = 'function') SELECT * EXCLUDE (r) FROM k WHERE r = 1""")
+def _(t: Tables) -> DataFrame:
+    return G.enclosing_functions(t.symbol_reference, t.entity)
+
+
 # ---------------------------------------------------------------- classes
 
 

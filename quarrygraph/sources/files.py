@@ -16,20 +16,49 @@ LANGUAGES = {
 }
 
 
-def ignore_regex(lines: list[str]) -> str | None:
-    """One pattern for the relative paths that gitignore lines (without negations) shut out; None for no line."""
-    parts = []
+def ignore_rules(lines: list[str]) -> list[tuple[str, bool]]:
+    """(pattern of relative paths, whether it shuts out) of gitignore lines, in order; a line that begins with ! lets in again."""
+    rules = []
     for raw in lines:
         line = raw.strip()
-        if not line or line.startswith(("#", "!")):
+        if not line or line.startswith("#"):
             continue
+        shuts = not line.startswith("!")
+        line = line.lstrip("!").removeprefix("\\")
         folder, rooted = line.endswith("/"), "/" in line.rstrip("/")
         body = line.strip("/")
         out = ""
         for piece in re.split(r"(\*\*/|\*\*|\*|\?)", body):
             out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(piece, re.escape(piece))
-        parts.append(("^" if rooted else "(?:^|/)") + out + ("/" if folder else "(?:/|$)"))
-    return "|".join(parts) or None
+        rules.append((("^" if rooted else "(?:^|/)") + out + ("/" if folder else "(?:/|$)"), shuts))
+    return rules
+
+
+def ignore_regex(lines: list[str]) -> str | None:
+    """One pattern for what the lines shut out, negations aside; None for no line."""
+    return "|".join(pattern for pattern, shuts in ignore_rules(lines) if shuts) or None
+
+
+def is_ignored(path: Column, lines: list[str]) -> Column:
+    """Whether the lines shut a relative path out: the last line that matches decides."""
+    out = F.lit(False)
+    for pattern, shuts in ignore_rules(lines):
+        out = F.when(path.rlike(pattern), F.lit(shuts)).otherwise(out)
+    return out
+
+
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the ignore file in the root; none where there is no such file."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    stream = fs.open(place)  # Spark's own readers leave hidden files out
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
 
 
 def language_column(filename: Column) -> Column:
@@ -49,16 +78,19 @@ def is_binary(text: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), ignore: list[str] | None = None) -> DataFrame:
-    """filename (relative to the root), language, source of all text files below the root."""
+    """filename (relative to the root), language, source of all text files below the root that the root's ignore file and the
+    lines of ``ignore`` let in. Files of other extensions are not read at all."""
     base = root.rstrip("/")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extensions:
+        cased = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x.lstrip(".")) for x in extensions]
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(cased) + "}")
+    df = reader.load(base)
     rel = F.regexp_replace("path", rf"^(?:file:)?/*{re.escape(base.lstrip('/'))}/", "")
     df = df.select(rel.alias("filename"), "content")
     df = df.filter(~F.col("filename").rlike("(?:^|/)(?:" + "|".join(re.escape(x) for x in EXCLUDED) + ")/"))
-    if extensions:
-        df = df.filter(F.lower(F.regexp_extract("filename", r"\.([^./]*)$", 1)).isin(*[x.lstrip(".") for x in extensions]))
-    if pattern := ignore_regex(ignore or []):
-        df = df.filter(~F.col("filename").rlike(pattern))
+    if lines := ignore_lines(spark, base) + (ignore or []):
+        df = df.filter(~is_ignored(F.col("filename"), lines))
     df = df.select("filename", language_column(F.col("filename")).alias("language"), F.decode("content", "UTF-8").alias("source"))
     return df.filter(~is_binary(F.col("source")))
 

@@ -66,6 +66,11 @@ def test_exceptions():
     assert {("try", "except ValueError as e", "exception"), ("except ValueError as e", "raise", ""), ("a()", "finally", "")} <= py
 
 
+def test_levels():
+    g, _ = graph("void f(int n) {\n  while (n) {\n    if (n > 2) {\n      a();\n      b();\n    }\n    n--;\n  }\n}\n", "c")
+    assert {label: level for (_, _, label, *_), level in zip(g.nodes, g.levels())} == {"Start": 0, "while (n)": 1, "if (n > 2)": 2, "a()": 3, "b()": 4, "n--": 5, "End": 2}
+
+
 def test_labels_and_odd_bodies():
     long = "value = " + " + ".join(["part"] * 30)
     g, _ = graph(f"void f() {{\n  {long};\n}}\n", "c")

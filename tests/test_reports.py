@@ -207,3 +207,13 @@ def test_analyses_are_calculated_ahead(spark, tmp_path):
     again = A.precalculate(spark, {"dashboard": broken, "files": plans["files"]}, path)
     assert again[0][2] == "ValueError: no" and again[1][2] is None
     assert A.read_cache(spark, path, "dashboard").count() == 2 and A.read_cache(spark, path, "files").count() == 2
+
+
+def test_bulk_insert_and_places(spark):
+    old = spark.createDataFrame([(5, 1), (9, 2)], "id long, caller long")
+    got = C.bulk_insert(old, spark.createDataFrame([(7,), (8,)], "caller long").repartition(2)).collect()
+    ids = [r["id"] for r in got]
+    assert len(set(ids)) == 4 and min(i for i in ids if i not in (5, 9)) > 9 and {r["caller"] for r in got} == {1, 2, 7, 8}
+    e = spark.createDataFrame([(1, 1, "a.c", "outer", "function", 1, 20), (2, 1, "a.c", "inner", "function", 5, 9), (3, 1, "a.c", "T", "class", 5, 9)], "id long, project_id int, filename string, symbol string, type string, start_line int, end_line int")
+    places = spark.createDataFrame([(1, "a.c", 6), (1, "a.c", 12), (1, "a.c", 30), (2, "a.c", 6)], "project_id int, filename string, line int")
+    assert {(r["line"], r["function"]) for r in G.enclosing_functions(places, e).collect()} == {(6, "inner"), (12, "outer")}

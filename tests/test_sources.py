@@ -96,3 +96,13 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
     bare = N(conf=N(get=lambda k, d="": d), sparkContext=N(master="spark://host:7077", getConf=lambda: N(get=lambda k, d="": d)))
     with pytest.raises(ValueError):
         checkpoint_dir(bare)
+
+
+def test_ignore_files_let_in_again(spark, tmp_path):
+    for name in ("a.py", "b.PY", "gen/c.py", "gen/keep.py", "x/out/d.py", "e.txt"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("# made\ngen/*\n!gen/keep.py\nout/\n")
+    assert {r["filename"] for r in S.read_tree(spark, str(tmp_path), (".py",)).collect()} == {"a.py", "b.PY", "gen/keep.py"}
+    assert {r["filename"] for r in S.read_tree(spark, str(tmp_path), (".py",), ["b.PY", "!out/"]).collect()} == {"a.py", "gen/keep.py", "x/out/d.py"}
