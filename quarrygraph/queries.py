@@ -511,13 +511,6 @@ def _(t: Tables) -> DataFrame:
     return G.duplicate_pairs(t.entity)
 
 
-@_q("file_analytics", f"WITH {_M} SELECT project_id, filename, count(*) AS functions, min(cyclomatic) AS least, max(cyclomatic) AS most, floor(avg(cyclomatic) * 100 + 0.5) / 100.0::DOUBLE AS average, array_to_string(list(symbol ORDER BY cyclomatic DESC, id)[1:5], ',') AS top FROM mr GROUP BY ALL")
-def _(t: Tables) -> DataFrame:
-    m = G.function_complexity(t.entity)
-    top = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cyclomatic")).alias("c"), "id", "symbol"))), 1, 5), lambda x: x["symbol"])
-    return m.groupBy("project_id", "filename").agg(F.count("*").alias("functions"), F.min("cyclomatic").alias("least"), F.max("cyclomatic").alias("most"), T.half_up(F.avg("cyclomatic"), 2).alias("average"), F.array_join(top, ",").alias("top"))
-
-
 # ---------------------------------------------------------------- merges and deletes
 
 
