@@ -165,4 +165,12 @@ n AS (SELECT id, count(*) AS n FROM w GROUP BY id HAVING count(*) >= 30),
 k AS (SELECT w.id, w.word, n.n FROM w JOIN n ON n.id = w.id),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS s, any_value(a.n) + any_value(b.n) AS u FROM k a JOIN k b ON a.word = b.word AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY a.id, b.id)
 SELECT a AS entity_id_a, b AS entity_id_b FROM p WHERE s >= 0.7 * (u - s)"""
+_LINKS = """w AS (SELECT id, list_sort(list_distinct(regexp_extract_all(source, '[A-Za-z0-9_]+'))) AS words FROM entity WHERE type = 'function' AND source IS NOT NULL),
+s AS (SELECT id, min(id) OVER (PARTITION BY words) AS rep, words FROM w WHERE len(words) >= 30),
+k AS (SELECT id, unnest(words) AS word, len(words) AS n FROM s WHERE id = rep),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS s, any_value(a.n) + any_value(b.n) AS u FROM k a JOIN k b ON a.word = b.word AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY a.id, b.id HAVING count(*) >= 0.7 * (any_value(a.n) + any_value(b.n) - count(*)))"""
+SQL["p3_links"] = f"WITH {_LINKS} SELECT a AS entity_id_a, b AS entity_id_b, s / (u - s)::DOUBLE AS similarity FROM p"
+SQL["p3_groups"] = f"""WITH RECURSIVE {_LINKS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT rep AS x, rep AS y FROM s UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+c AS (SELECT x, min(y) AS class_id FROM r GROUP BY x), d AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT s.id AS entity_id, c.class_id, coalesce(d.n_links, 0) AS n_links FROM s JOIN c ON c.x = s.rep LEFT JOIN d ON d.a = s.rep"""
 SQL["p8_decoded"] = "SELECT doc_id, coalesce(text, '') AS decoded, true AS same FROM documents"
