@@ -74,6 +74,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     and loops are no edges. An empty table gives an empty result."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     kind = dict(e.dtypes)["u"]
+    e = cut(e)
     e = e.repartition(max(1, -(-e.count() // CHUNK)))  # whole chunks, so that few edges meet in one task
     e = cut(e.mapInPandas(_stars, f"u {kind}, v {kind}").distinct())
     before = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
