@@ -237,6 +237,7 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """rid, class_id, n_links of every record: class_id is the smallest record reached through links and copies,
     n_links counts the other representatives linked to the record's own."""
+    links = cut(links.select("ra", "rb"))  # read by the components and by the degrees
     parts = connected_components(links, "ra", "rb")
     degree = links.select(F.col("ra").alias("rep")).union(links.select(F.col("rb").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     out = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
