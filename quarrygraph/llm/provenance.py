@@ -54,7 +54,7 @@ _LANGUAGES = {"python", "javascript", "typescript", "java", "c", "cpp", "csharp"
 
 # fixed values: how generators, in several languages, and minifiers introduce their files
 _NOTICE = re.compile(
-    r"^(?:this (?:file|code|source) (?:is|was|has been) (?:automatically |auto-?)?(?:generated|produced|created)\b|(?:this (?:file|code) (?:is|was) )?(?:automatically|auto)[ -]?(?:generated|produced)(?! method| constructor| function)|<auto-?generated|code generated (?:by|from)|generated (?:by|from|with)\b|@generated\b|produced by \S+ on every build|source generated by|file generated by|do not (?:edit|modify|change)(?: this file| by hand| manually|[.!]|$)"
+    r"^(?:this (?:file|code|source) (?:is|was|has been) (?:automatically |auto-?)?(?:generated|produced|created)\b|(?:this (?:file|code) (?:is|was) )?(?:automatically|auto)[ -]?(?:generated|produced)(?! method| constructor| function)|<auto-?generated|code generated (?:by|from)|(?:(?:source|file|code) )?(?:generated|produced) (?:by|from|with)\b|@generated\b|do not (?:edit|modify|change)(?: this file| by hand| manually|[.!]|$)"
     r"|(?:diese datei (?:ist|wurde) )?automatisch (?:erzeugt|generiert|erstellt)|(?:ce )?fichier (?:produit|généré|genere|créé|cree)|(?:este )?archivo (?:generado|creado)|(?:este )?(?:arquivo|ficheiro) (?:gerado|criado)|(?:questo )?file (?:generato|creato)|(?:dit )?bestand (?:is )?(?:automatisch )?(?:gegenereerd|gemaakt)|automatisch gegenereerd|(?:ten )?plik (?:został )?(?:wygenerowany|utworzony)|(?:этот )?файл (?:создан|сгенерирован)|автоматически (?:создан|сгенерирован)|(?:此|本)?文件(?:由|是).*(?:自动)?生成|自动生成|このファイルは.*(?:自動)?生成|自動生成)",
     re.I,
 )
