@@ -439,24 +439,26 @@ def concurrency_warnings(findings: DataFrame) -> DataFrame:
 
 
 def resource_findings(entity: DataFrame) -> DataFrame:
-    """What functions do with resources: acquisitions, and whether they may leak, releases, and safe holders. An acquisition
-    leaks unless the function also releases, or uses a form of its language that releases by itself."""
-    src, none = F.col("source"), F.lit(False)
-    hits = []
+    """Resources that functions acquire, and whether they may leak: unless the function also releases, or uses a form of its
+    language that releases by itself."""
+    src, hits = F.col("source"), []
+    for lang, rows in R.RESOURCES.items():
+        formed = src.rlike(R.RELEASED_BY_FORM[lang]) if lang in R.RELEASED_BY_FORM else F.lit(False)
+        hits += [F.when((F.col("language") == lang) & src.rlike(a), F.struct(F.lit(k).alias("kind"), F.lit(n).alias("resource"), (~src.rlike(r) & ~formed).alias("leak"))) for k, n, a, r in rows]
+    f = functions_of(entity).filter(src.isNotNull() & F.col("language").isin(*R.RESOURCES))
+    return f.select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("id", "project_id", "x.kind", "x.resource", "x.leak")
 
-    def hit(test: Column, finding: str, kind: str, name: str, leak: Column = none) -> Column:
-        return F.when(test, F.struct(F.lit(finding).alias("finding"), F.lit(kind).alias("kind"), F.lit(name).alias("resource"), leak.alias("leak")))
 
+def resource_holders(entity: DataFrame) -> DataFrame:
+    """Resources that functions release, and the safe holders they use."""
+    src, hits = F.col("source"), []
+    hit = lambda lang, p, finding, k, n: F.when((F.col("language") == lang) & src.rlike(p), F.struct(F.lit(finding).alias("finding"), F.lit(k).alias("kind"), F.lit(n).alias("resource")))
     for lang, rows in R.RESOURCES.items():
-        own = F.col("language") == lang
-        formed = src.rlike(R.RELEASED_BY_FORM[lang]) if lang in R.RELEASED_BY_FORM else none
-        for kind, name, acquire, release in rows:
-            hits.append(hit(own & src.rlike(acquire), "acquisition", kind, name, ~src.rlike(release) & ~formed))
-            hits.append(hit(own & src.rlike(release), "release", kind, name))
+        hits += [hit(lang, r, "release", k, n) for k, n, _, r in rows]
     for lang, rows in R.SAFE_RESOURCES.items():
-        hits += [hit((F.col("language") == lang) & src.rlike(p), "safe", kind, name) for kind, name, p in rows]
+        hits += [hit(lang, p, "safe", k, n) for k, n, p in rows]
     f = functions_of(entity).filter(src.isNotNull() & F.col("language").isin(*R.RESOURCES))
-    return f.select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("id", "project_id", "x.finding", "x.kind", "x.resource", "x.leak")
+    return f.select("id", "project_id", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("id", "project_id", "x.finding", "x.kind", "x.resource")
 
 
 def resource_warnings(entity: DataFrame) -> DataFrame:
@@ -587,14 +589,19 @@ def _own_name() -> Column:
 
 
 def naming_issues(entity: DataFrame) -> DataFrame:
-    """One row for each issue that an entity's name shows: its form, a reserved word of its language, a short word that is no
-    common abbreviation."""
+    """One row for each issue that the form of an entity's name shows."""
     hits = [F.when(F.col("symbol").rlike(p), F.lit(k)) for k, p in R.NAME_ISSUES.items()]
-    hits.append(F.when(_by_language(R.RESERVED_WORDS, "javascript", lambda words: F.col("symbol").isin(*words)), F.lit("reserved_word")))
-    hits.append(F.when(F.exists(T.identifier_words(F.col("symbol")), lambda w: (F.length(w) <= 3) & ~F.lower(w).isin(*R.KNOWN_SHORT)), F.lit("uncommon_abbreviation")))
     return entity.filter(_own_name()).select("id", "project_id", "symbol", F.explode(F.array_compact(F.array(*hits))).alias("issue"))
 
 
+def naming_word_issues(entity: DataFrame) -> DataFrame:
+    """Names that are a reserved word of their language, or hold a short word that is no common abbreviation."""
+    reserved = _by_language(R.RESERVED_WORDS, "javascript", lambda words: F.col("symbol").isin(*words))
+    short = F.exists(T.identifier_words(F.col("symbol")), lambda w: (F.length(w) <= 3) & ~F.lower(w).isin(*R.KNOWN_SHORT))
+    made = F.array_compact(F.array(F.when(reserved, "reserved_word"), F.when(short, "uncommon_abbreviation")))
+    return entity.filter(_own_name()).select("id", "project_id", "symbol", F.explode(made).alias("issue"))
+
+
 def import_cycles(sourcecode: DataFrame) -> DataFrame:
     """Pairs of files of a project that name each other in import lines, by base name without extension."""
     base = F.regexp_extract("filename", r"([^/]*?)(?:\.\w+)?\z", 1)

@@ -491,11 +491,16 @@ _RESERVED = "CASE " + " ".join(f"WHEN language = '{k}' THEN symbol IN ({', '.joi
 _SHORT = f"len(list_filter(string_split_regex(regexp_replace(symbol, '([A-Z])', '_\\1', 'g'), '[_-]'), lambda w: len(w) BETWEEN 1 AND 3 AND lower(w) NOT IN ({', '.join(map(repr, R.KNOWN_SHORT))}))) > 0"
 
 
-@_q("naming_issues", " UNION ALL ".join(f"SELECT id, project_id, symbol, '{k}' AS issue FROM entity WHERE {_OWN} AND {test}" for k, test in [*((k, _has("symbol", p)) for k, p in R.NAME_ISSUES.items()), ("reserved_word", _RESERVED), ("uncommon_abbreviation", _SHORT)]))
+@_q("naming_issues", " UNION ALL ".join(f"SELECT id, project_id, symbol, '{k}' AS issue FROM entity WHERE {_OWN} AND {_has('symbol', p)}" for k, p in R.NAME_ISSUES.items()))
 def _(t: Tables) -> DataFrame:
     return G.naming_issues(t.entity)
 
 
+@_q("naming_word_issues", f"SELECT id, project_id, symbol, 'reserved_word' AS issue FROM entity WHERE {_OWN} AND {_RESERVED} UNION ALL SELECT id, project_id, symbol, 'uncommon_abbreviation' FROM entity WHERE {_OWN} AND {_SHORT}")
+def _(t: Tables) -> DataFrame:
+    return G.naming_word_issues(t.entity)
+
+
 @_q("import_cycles", f"WITH f AS (SELECT DISTINCT project_id, filename, regexp_extract(filename, '([^/]*?)(?:\\.\\w+)?\\z', 1) AS word FROM sourcecode), w AS (SELECT DISTINCT project_id, filename AS importer, unnest(flatten(list_transform(regexp_extract_all(source, {_s(R.IMPORT_LINE)}), lambda x: regexp_extract_all(x, '[\\w-]+')))) AS word FROM sourcecode WHERE source IS NOT NULL), e AS (SELECT DISTINCT w.project_id, w.importer AS file_a, f.filename AS file_b FROM w JOIN f ON f.project_id = w.project_id AND f.word = w.word WHERE f.word <> '' AND w.importer <> f.filename) SELECT x.project_id, x.file_a, x.file_b FROM e x JOIN e y ON x.project_id = y.project_id AND x.file_a = y.file_b AND x.file_b = y.file_a WHERE x.file_a < x.file_b")
 def _(t: Tables) -> DataFrame:
     return G.import_cycles(t.sourcecode)

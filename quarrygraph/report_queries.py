@@ -35,11 +35,7 @@ def _leak(lang: str, release: str) -> str:
 
 
 _OF = "FROM entity WHERE type = 'function' AND source IS NOT NULL AND language ="
-SQL["resource_findings"] = _rules(
-    [f"SELECT id, project_id, 'acquisition' AS finding, '{k}' AS kind, '{n}' AS resource, {_leak(lang, r)} AS leak {_OF} '{lang}' AND {_has('source', a)}" for lang, rows in R.RESOURCES.items() for k, n, a, r in rows]
-    + [f"SELECT id, project_id, 'release', '{k}', '{n}', false {_OF} '{lang}' AND {_has('source', r)}" for lang, rows in R.RESOURCES.items() for k, n, a, r in rows]
-    + [f"SELECT id, project_id, 'safe', '{k}', '{n}', false {_OF} '{lang}' AND {_has('source', p)}" for lang, rows in R.SAFE_RESOURCES.items() for k, n, p in rows]
-)
+SQL["resource_findings"] = _rules([f"SELECT id, project_id, '{k}' AS kind, '{n}' AS resource, {_leak(lang, r)} AS leak {_OF} '{lang}' AND {_has('source', a)}" for lang, rows in R.RESOURCES.items() for k, n, a, r in rows])
 _FORMS = {(n, lang): "|".join(f"(?:{x})" for x in forms) for names in R.PATTERN_KINDS.values() for n in names for lang in R.PATTERN_LANGUAGES if (forms := R.pattern_forms(n, lang))}
 _OTHERS = ", ".join(f"'{x}'" for x in R.PATTERN_LANGUAGES if x != "javascript")
 SQL["design_patterns"] = _rules([
@@ -53,6 +49,14 @@ def _(t: Tables) -> DataFrame:
     return G.resource_warnings(t.entity)
 
 
+@_q("resource_holders", _rules(
+    [f"SELECT id, project_id, 'release' AS finding, '{k}' AS kind, '{n}' AS resource {_OF} '{lang}' AND {_has('source', r)}" for lang, rows in R.RESOURCES.items() for k, n, a, r in rows]
+    + [f"SELECT id, project_id, 'safe', '{k}', '{n}' {_OF} '{lang}' AND {_has('source', p)}" for lang, rows in R.SAFE_RESOURCES.items() for k, n, p in rows]
+))
+def _(t: Tables) -> DataFrame:
+    return G.resource_holders(t.entity)
+
+
 def _rollup(name: str, by: str) -> str:
     return f"SELECT x.project_id, {by}, count(*) AS findings, count(DISTINCT x.id) AS functions, count(DISTINCT e.filename) AS files FROM {_sql(name)} x JOIN entity e ON e.id = x.id GROUP BY ALL"
 
@@ -62,9 +66,9 @@ def _(t: Tables) -> DataFrame:
     return P.findings_by(G.concurrency_findings(t.entity), t.entity, ["language", "category"])
 
 
-@_q("resources_by_category", _rollup("resource_findings", "e.language, x.finding, x.kind"))
+@_q("resources_by_category", _rollup("resource_findings", "e.language, x.kind"))
 def _(t: Tables) -> DataFrame:
-    return P.findings_by(G.resource_findings(t.entity), t.entity, ["language", "finding", "kind"])
+    return P.findings_by(G.resource_findings(t.entity), t.entity, ["language", "kind"])
 
 
 @_q("patterns_by_category", _rollup("design_patterns", "x.category, x.pattern"))
@@ -198,9 +202,9 @@ def _truncated(name: str, order: str, limit: int) -> str:
     return f"SELECT * EXCLUDE (n), n > {limit} AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY project_id) AS n, row_number() OVER (PARTITION BY project_id ORDER BY {order}) AS rank FROM {_sql(name)}) WHERE rank <= {limit}"
 
 
-@_q("naming_issue_list", _truncated("naming_issues", "id, issue", 100))
+@_q("naming_issue_list", _truncated("naming_word_issues", "id, issue", 100))
 def _(t: Tables) -> DataFrame:
-    return P.top_rows(G.naming_issues(t.entity), ["project_id"], [F.col("id"), F.col("issue")], 100).drop("total")
+    return P.top_rows(G.naming_word_issues(t.entity), ["project_id"], [F.col("id"), F.col("issue")], 100).drop("total")
 
 
 # ---------------------------------------------------------------- places and names

@@ -60,10 +60,10 @@ RESOURCES = [
 
 def test_resources(spark):
     e = functions(spark, *[x[:2] for x in RESOURCES])
-    rows, warned = G.resource_findings(e).collect(), G.resource_warnings(e).collect()
+    rows, held, warned = G.resource_findings(e).collect(), G.resource_holders(e).collect(), G.resource_warnings(e).collect()
     for i, (_, _, taken, safe, warnings) in enumerate(RESOURCES, 1):
-        assert {(r["resource"], r["leak"]) for r in rows if r["id"] == i and r["finding"] == "acquisition"} == taken
-        assert {r["resource"] for r in rows if r["id"] == i and r["finding"] == "safe"} == safe
+        assert {(r["resource"], r["leak"]) for r in rows if r["id"] == i} == taken
+        assert {r["resource"] for r in held if r["id"] == i and r["finding"] == "safe"} == safe
         assert {r["warning"] for r in warned if r["id"] == i} == warnings
 
 
@@ -95,7 +95,8 @@ def test_names_that_show_nothing_in_the_tables(spark):
     rows = [(i, 1, "python", s, "function", "a.py", "x", 1, 2, None) for i, s in enumerate(["load1", "load2", "load3", "a", "x", "n" * 41, "a__b", "myVar_x", "plain", "lambda", "__init__", "$gen"], 1)]
     e = spark.createDataFrame(rows, SCHEMA)
     assert [(r["base_name"], r["n"], r["severity"]) for r in G.name_suspects(e).collect()] == [("load", 3, "low")]
-    assert {(r["symbol"][:7], r["issue"]) for r in G.naming_issues(e).collect()} == {
+    both = G.naming_issues(e).unionByName(G.naming_word_issues(e))
+    assert {(r["symbol"][:7], r["issue"]) for r in both.collect()} == {
         ("a", "too_short"), ("a", "uncommon_abbreviation"), ("x", "uncommon_abbreviation"), ("nnnnnnn", "too_long"), ("a__b", "consecutive_underscores"), ("a__b", "uncommon_abbreviation"),
         ("myVar_x", "mixed_conventions"), ("myVar_x", "uncommon_abbreviation"), ("lambda", "reserved_word"),
     }

@@ -95,7 +95,7 @@ def test_concurrency_and_resources(spark):
     e = entity(spark, rows)
     found = G.concurrency_findings(e)
     assert {(r["id"], r["kind"]) for r in found.collect()} == {(1, "lock_acquire"), (1, "goroutine_call"), (2, "promise_then")}
-    assert {r["id"] for r in G.concurrency_warnings(found).collect()} == {2}
+    assert {(r["id"], r["warning"]) for r in G.concurrency_warnings(found).collect()} == {(1, "lock_not_released"), (2, "shared_state_no_lock")}
     assert {(r["id"], r["resource"], r["leak"]) for r in G.resource_findings(e).collect()} == {(3, "malloc/free", True), (4, "open", False)}
 
 
