@@ -29,7 +29,8 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, base: str) -> DataFrame:
-    return hierarchy.forest(_extends(spark, base))
+    """Every class of the hierarchy with its path as text, from the root down."""
+    return hierarchy.forest(_extends(spark, base)).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
 def p6_descendants(spark: SparkSession, base: str) -> DataFrame:

@@ -280,7 +280,7 @@ tip AS (SELECT node, arg_max(cur, depth) AS last, max(depth) AS depth, arg_max(s
 ok AS (SELECT node FROM tip WHERE last NOT IN (SELECT child FROM ext)),
 below AS (SELECT cur AS node, count(*) AS size, max(depth) AS peel FROM up WHERE node IN (FROM ok) GROUP BY cur)
 SELECT tip.node AS node_id, own.parent AS parent_id, CASE WHEN ok.node IS NOT NULL THEN tip.last ELSE list_min(tip.seen[list_position(tip.seen, e.parent):]) END AS root_id, CASE WHEN ok.node IS NOT NULL THEN tip.depth ELSE -1 END AS depth,
-CASE WHEN ok.node IS NOT NULL THEN below.size END AS subtree_size, CASE WHEN ok.node IS NOT NULL THEN below.peel END AS peel_level, CASE WHEN ok.node IS NOT NULL THEN list_reverse(tip.seen) END AS path
+CASE WHEN ok.node IS NOT NULL THEN below.size END AS subtree_size, CASE WHEN ok.node IS NOT NULL THEN below.peel END AS peel_level, CASE WHEN ok.node IS NOT NULL THEN array_to_string(list_reverse(tip.seen), '>') END AS path
 FROM tip LEFT JOIN ext own ON own.child = tip.node LEFT JOIN ext e ON e.child = tip.last LEFT JOIN ok ON ok.node = tip.node LEFT JOIN below ON below.node = tip.node"""
 
 
