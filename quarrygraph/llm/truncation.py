@@ -124,7 +124,7 @@ def flag_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         found AS (
             SELECT doc_id, min(why) AS why FROM (SELECT doc_id, why FROM judged WHERE why IS NOT NULL UNION ALL SELECT doc_id, 1 FROM {bodies} WHERE marked AND size(t) > 3) GROUP BY doc_id
         )
-        SELECT d.doc_id, d.source, f.why IS NOT NULL AS truncated, element_at(array('mark', 'trigram', 'pair', 'word', 'fragment', 'line'), f.why) AS reason
+        SELECT d.doc_id, d.source, f.why IS NOT NULL AS truncated, CASE f.why WHEN 1 THEN 'mark' WHEN 2 THEN 'trigram' WHEN 3 THEN 'pair' WHEN 4 THEN 'word' WHEN 5 THEN 'fragment' WHEN 6 THEN 'line' END AS reason
         FROM {docs} d LEFT JOIN found f ON d.doc_id = f.doc_id
     """)
     for name in views:  # the plan holds what they stand for
@@ -133,6 +133,7 @@ def flag_truncated(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def truncation_rates(documents: DataFrame, **names) -> DataFrame:
-    """source, texts, truncated, rate; a null source is a group of its own."""
+    """source, texts, truncated, by_mark, by_trigram, by_other, rate; a null source is a group of its own."""
     flags = flag_truncated(documents, **names)
-    return flags.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated")).withColumn("rate", F.col("truncated") / F.col("texts"))
+    by = [F.count_if(F.col("reason") == "mark").alias("by_mark"), F.count_if(F.col("reason") == "trigram").alias("by_trigram"), F.count_if(~F.col("reason").isin("mark", "trigram")).alias("by_other")]
+    return flags.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated"), *by).withColumn("rate", F.col("truncated") / F.col("texts"))

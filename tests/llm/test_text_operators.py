@@ -260,11 +260,23 @@ def test_truncated_texts(spark):
     df = spark.createDataFrame(docs + [(i, t, "review") for i, (t, _) in cases.items()], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["truncated"] for r in T.flag_truncated(df).collect()}
     assert {i: got[i] for i in cases} == {i: c for i, (_, c) in cases.items()} and not any(got[i] for i in range(60))
+    why = {r["doc_id"]: r["reason"] for r in T.flag_truncated(df).collect()}
+    assert all((why[i] is not None) == got[i] for i in got) and why[102] == "mark"
+    assert all(r["by_mark"] + r["by_trigram"] + r["by_other"] == r["truncated"] for r in T.truncation_rates(df).collect())
+    assert not [v for v in spark.catalog.listTables() if v.name.startswith(("bodies_", "counts_", "documents_"))]
     rates = {r["source"]: (r["texts"], r["truncated"]) for r in T.truncation_rates(df).collect()}
     assert rates == {"issue": (60, 0), "review": (10, 3)}
     assert T.flag_truncated(df.limit(0)).count() == 0
 
 
+def test_marks_are_found_behind_any_length(spark):
+    tail = " (+120 chars)" * 60  # 780 characters of marks, none of them beyond reach
+    long = "The reader keeps the last value of the file. " * 4000 + "The queue" + tail
+    blank = "The reader keeps the last value." + " " * 100_000 + "x " * 3 + "\n" * 5000 + "done."
+    df = spark.createDataFrame([(1, long, "a"), (2, blank, "a"), (3, "." * 50_000, "a")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["reason"] for r in T.flag_truncated(df).collect()} == {1: "mark", 2: None, 3: None}
+
+
 def test_no_reference_to_files_outside(spark):
     import pathlib
 
