@@ -12,7 +12,7 @@ from .operators import codegraph as G
 from .operators import hierarchy
 from .operators import reports as P
 from .plans.rounds import cut
-from .queries import _AS, _CONC, _EXTENDS_SQL, _M, _TF, SQL, Tables, _extends, _has, _q, _sums
+from .queries import _AS, _CONC, _EXTENDS_SQL, _M, _TF, SQL, Tables, _extends, _has, _q, _score, _sums
 
 def _sql(name: str) -> str:
     return f"({SQL[name]})"
@@ -123,12 +123,35 @@ def _(t: Tables) -> DataFrame:
     return P.top_functions(G.function_complexity(t.entity))
 
 
-@_q("readability_extremes")
+_W = R.READABILITY_WEIGHTS
+_PLAIN = ", ".join(f"{x!r}::DOUBLE" for x in R.PLAIN_NUMBERS)
+# a number stands free of letters, digits and points, so it is a whole run of such characters
+SQL["readability_score"] = f"""WITH b AS (SELECT e.id, e.project_id, r.identifier_score, r.boolean_score, r.length_score, string_split(e.source, chr(10)) AS lines,
+    CASE WHEN e.language IN ('python', 'ruby') THEN '^\\s*#' WHEN e.language IN ('javascript', 'typescript', 'java', 'go', 'rust', 'c', 'cpp') THEN '^\\s*//' ELSE '^\\s*(//|#)' END AS mark FROM entity e JOIN {_sql('readability')} r ON r.id = e.id),
+c AS (SELECT *, list_filter(lines, lambda x: trim(x) <> '') AS filled, list_filter(list_transform(lines, lambda x: len(x)), lambda n: n > 0) AS lengths,
+    list_filter(lines, lambda x: NOT regexp_matches(x, '^\\s*(//|#|/\\*)') AND NOT regexp_matches(x, '(?i)\\b(const|final|static|#define)\\b') AND NOT regexp_matches(x, '\\[\\s*\\d+\\s*\\]')) AS plain FROM b),
+d AS (SELECT *, CASE WHEN len(filled) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(filled, lambda x: regexp_matches(x, mark))) / len(filled)::DOUBLE END AS ratio,
+    list_reduce(list_concat([0::BIGINT], list_transform(lines, lambda x: len(regexp_extract_all(x, '[{{\\[(]')) * 100000 + len(regexp_extract_all(x, '[}}\\])]')))), lambda a, x: greatest(a // 100000, a % 100000 + x // 100000) * 100000 + greatest(a % 100000 + x // 100000 - x % 100000, 0)) // 100000 AS deepest,
+    len(list_filter(lengths, lambda n: n > 120)) / len(lengths)::DOUBLE * 100 AS over, coalesce(list_max(lengths), 0) AS longest,
+    len(list_filter(flatten(list_transform(plain, lambda x: list_filter(regexp_extract_all(x, '[\\w.]+'), lambda w: regexp_full_match(w, '\\d+(\\.\\d+)?')))), lambda w: w::DOUBLE NOT IN ({_PLAIN}))) AS magic FROM c),
+f AS (SELECT id, project_id, identifier_score, boolean_score, length_score,
+    floor((CASE WHEN ratio >= 0.2::DOUBLE THEN 100.0 WHEN ratio >= 0.1::DOUBLE THEN 85.0 WHEN ratio >= 0.05::DOUBLE THEN 70.0 WHEN ratio >= 0.02::DOUBLE THEN 50.0 ELSE greatest(0.0::DOUBLE, 50.0::DOUBLE - (0.02::DOUBLE - ratio) * 10) END)::DOUBLE + 0.5::DOUBLE)::BIGINT AS comment_score,
+    floor({_score('deepest', 2, 3, 4, 6)} + 0.5::DOUBLE)::BIGINT AS nesting_score,
+    CASE WHEN len(lengths) = 0 THEN 100.0::DOUBLE ELSE greatest(0.0::DOUBLE, floor({_score('longest', 80, 100, 120, 150)} - least(30.0::DOUBLE, over) + 0.5::DOUBLE)) END AS line_score,
+    floor({_score('magic', 0, 2, 5, 10)} + 0.5::DOUBLE)::BIGINT AS number_score FROM d),
+g AS (SELECT *, floor((identifier_score * {_W['identifiers']}::DOUBLE + comment_score * {_W['comments']}::DOUBLE + nesting_score * {_W['nesting']}::DOUBLE + line_score * {_W['lines']}::DOUBLE + number_score * {_W['numbers']}::DOUBLE + boolean_score * {_W['booleans']}::DOUBLE) / {1 - R.READABILITY_LENGTH}::DOUBLE + 0.5::DOUBLE)::BIGINT AS score FROM f)
+SELECT *, floor(score * {1 - R.READABILITY_LENGTH}::DOUBLE + floor(length_score + 0.5::DOUBLE) * {R.READABILITY_LENGTH}::DOUBLE + 0.5::DOUBLE)::BIGINT AS combined_score,
+CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 55 THEN 'acceptable' WHEN score >= 40 THEN 'poor' ELSE 'very_poor' END AS rating FROM g"""
+_EXTREMES = " UNION ALL ".join(f"SELECT project_id, '{n}' AS list, rank, id, score FROM (SELECT project_id, id, combined_score AS score, row_number() OVER (PARTITION BY project_id ORDER BY combined_score {o}, id) AS rank FROM {_sql('readability_score')}) WHERE rank <= 10" for n, o in (("worst", "ASC"), ("best", "DESC")))
+_RATED = {"excellent": "combined_score >= 85", "good": "combined_score BETWEEN 70 AND 84", "acceptable": "combined_score BETWEEN 55 AND 69", "poor": "combined_score BETWEEN 40 AND 54", "very_poor": "combined_score < 40"}
+
+
+@_q("readability_extremes", _EXTREMES)
 def _(t: Tables) -> DataFrame:
     return P.readability_extremes(G.readability_score(t.entity))
 
 
-@_q("readability_by_project")
+@_q("readability_by_project", f"SELECT project_id, count(*) AS functions, floor(avg(combined_score) + 0.5)::BIGINT AS average, {', '.join(f'count(*) FILTER (WHERE {v}) AS {k}' for k, v in _RATED.items())} FROM {_sql('readability_score')} GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return P.readability_by_project(G.readability_score(t.entity))
 
