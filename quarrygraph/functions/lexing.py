@@ -1,4 +1,4 @@
-"""String- and comment-aware lexing of nine languages, by one compiled pattern a language.
+"""String- and comment-aware lexing of thirteen languages, by one compiled pattern a language.
 
 ``skim(source, language)`` walks the text once from token to token and returns the comments and
 string literals with their places, what is wrong with literals and brackets, and the code with
@@ -18,6 +18,7 @@ from functools import cached_property
 EXTENSION_LANGUAGE = {
     "py": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "java": "java", "c": "c", "h": "c",
     "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp", "go": "go", "rs": "rust", "json": "json",
+    "rb": "ruby", "rake": "ruby", "php": "php", "phtml": "php", "swift": "swift", "zig": "zig",
     "env": "env", "yaml": "yaml", "yml": "yaml", "properties": "properties", "toml": "toml", "sh": "sh",
 }
 
@@ -36,11 +37,15 @@ _PATTERNS = {
     "go": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<t>`[^`]*(?:`|(?P<badt>\Z)))|(?P<s>{_DQ}|{_SQ})|(?P<b>{_BRACKET})",
     "rust": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<t>r(?P<d>\#*)\"[\s\S]*?(?:\"(?P=d)|(?P<badt>\Z))|b?\"(?:[^\"\\]|\\[\s\S])*(?:\"|(?P<badt2>\Z)))|(?P<l>'[A-Za-z_]\w*(?!'))|(?P<s>{_SQ})|(?P<b>{_BRACKET})",
     "javascript": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<t>`)|(?P<s>{_DQ}|{_SQ})|(?P<b>{_BRACKET})|(?P<r>/)",
+    "php": rf"(?P<c>{_LINE}|\#(?!\[)[^\n]*|{_BLOCK})|(?P<s>\"(?:[^\"\\]|\\[\s\S])*(?:\"|(?P<bad>\Z))|'(?:[^'\\]|\\[\s\S])*(?:'|(?P<bad2>\Z)))|(?P<b>{_BRACKET})",
+    "swift": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<t>\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*(?:\"\"\"|(?P<badt>\Z)))|(?P<s>{_DQ})|(?P<b>{_BRACKET})",
+    "zig": rf"(?P<c>{_LINE})|(?P<t>\\\\[^\n]*)|(?P<s>{_DQ}|{_SQ})|(?P<b>{_BRACKET})",
+    "ruby": rf"(?P<c>(?:(?<=\s)|^)\#[^\n]*|^=begin\b[\s\S]*?(?:^=end\b|(?P<badc>\Z)))|(?P<s>\"(?:[^\"\\]|\\[\s\S])*(?:\"|(?P<bad>\Z))|'(?:[^'\\]|\\[\s\S])*(?:'|(?P<bad2>\Z)))|(?P<b>{_BRACKET})",
     # settings files: a hash comment only after a blank or at a line's start; quotes end with the line
     "settings": r"(?P<c>(?:(?<=\s)|^)[\#;][^\n]*)|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<b>[{}\[\]])",
 }
 _PATTERNS["typescript"] = _PATTERNS["javascript"]
-_RX = {k: re.compile(v, re.M if k == "settings" else 0) for k, v in _PATTERNS.items()}
+_RX = {k: re.compile(v, re.M if k in ("settings", "ruby") else 0) for k, v in _PATTERNS.items()}
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?P<end>`|\$\{|\Z)")
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _BEFORE_REGEX = re.compile(r"(?:(?:^|[(,=:\[!&|?{};+\-*%~^<>])|\b(?:return|typeof|case|in|of|delete|void|throw|new))\s*\Z")
@@ -182,9 +187,16 @@ _HEAD = {
     "go": re.compile(r"^func\s+(?:\([^)]*\)\s*)?(?P<n>\w+)(?:\[[^\]]*\])?\s*(?=\()", re.M),
     "rust": re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<n>\w+)(?:<[^{;]*?>)?\s*(?=\()", re.M),
 }
+_HEAD |= {
+    "php": re.compile(r"^[ \t]*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?\s*(?P<n>\w+)\s*(?=\()", re.M),
+    "swift": re.compile(r"^[ \t]*(?:@\w+\s+)*(?:(?:public|private|internal|fileprivate|open|static|class|final|override|mutating|convenience|required)\s+)*(?:func\s+(?P<n>\w+)(?:<[^(]*>)?|(?P<v>init)\??)\s*(?=\()", re.M),
+    "zig": re.compile(r"^[ \t]*(?:pub\s+)?(?:(?:export|extern|inline)\s+)*fn\s+(?P<n>\w+)\s*(?=\()", re.M),
+    "ruby": re.compile(r"^[ \t]*def\s+(?:self\.)?(?P<n>\w+[?!=]?)(?=[ \t]*(?:\(|$|;|[a-z_*&]))", re.M),
+}
 _HEAD |= {"typescript": _HEAD["javascript"], "csharp": _HEAD["java"], "cpp": _HEAD["c"]}
 
 
+_RUBY_END = re.compile(r"\s*\n[ \t]*end\b")
 _INDENT = re.compile(r"[ \t]*")
 
 
@@ -239,10 +251,16 @@ def functions_in(src: str, lang: str, k: Skim) -> Iterator[tuple[str, int, int,
         name = next(x for x in m.groups() if x)
         begin = m.start() + (len(m[0]) - len(m[0].lstrip()))
         op = code.find("(", m.end())
+        if lang == "ruby" and (op < 0 or "\n" in code[m.end() : op]):
+            op = -1  # parameters without parentheses
         close = closing.get(op, op) if op >= 0 else m.end()
         if lang == "python":
             end = indented_end(code, begin, close)
             doc = docstring(src, k, begin)
+        elif lang == "ruby":  # to the line of the end that stands as far in as the head
+            end, doc = indented_end(code, begin, m.end()), None
+            if last := _RUBY_END.match(code, end):
+                end = last.end()
         else:
             brace = code.find("{", close)
             semi = code.find(";", close)

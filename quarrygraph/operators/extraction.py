@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.lexing import functions_in, indented_end, language_of, skim
 
-CODE = {"python", "javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust"}
+CODE = {"python", "javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust", "ruby", "php", "swift", "zig"}
 _CLASS = {
     "python": re.compile(r"^[ \t]*class[ \t]+(?P<n>\w+)[ \t]*(?:\((?P<base>[^)]*)\))?[ \t]*:", re.M),
     "java": re.compile(r"\b(?P<abs>abstract\s+)?(?:final\s+)?(?P<kind>class|interface)\s+(?P<n>\w+)(?:<[^{]*?>)?(?:\s+extends\s+(?P<base>[\w.<>, ]+?))?(?:\s+implements\s+(?P<impl>[\w.<>, ]+?))?\s*\{"),
@@ -28,6 +28,12 @@ _CLASS = {
     "rust": re.compile(r"\b(?P<kind>struct)\s+(?P<n>\w+)[^;{(]*\{"),
     "c": re.compile(r"\b(?P<kind>struct)\s+(?P<n>\w+)\s*\{"),
 }
+_CLASS |= {
+    "ruby": re.compile(r"^[ \t]*(?:class|module)[ \t]+(?P<n>[A-Z]\w*(?:::\w+)*)(?:[ \t]*<[ \t]*(?P<base>[\w:]+))?", re.M),
+    "php": re.compile(r"\b(?P<abs>abstract\s+)?(?:final\s+)?(?P<kind>class|interface|trait)\s+(?P<n>\w+)(?:\s+extends\s+(?P<base>[\w\\, ]+?))?(?:\s+implements\s+(?P<impl>[\w\\, ]+?))?\s*\{"),
+    "swift": re.compile(r"\b(?P<kind>class|struct|protocol)\s+(?P<n>[A-Z]\w*)(?:<[^{]*?>)?\s*(?::\s*(?P<base>[\w.<>, ]+?))?\s*\{"),
+    "zig": re.compile(r"\bconst\s+(?P<n>\w+)\s*=\s*(?:extern\s+|packed\s+)?(?P<kind>struct)\s*\{"),
+}
 _CLASS |= {"javascript": _CLASS["java"], "typescript": _CLASS["java"]}
 _CALL = re.compile(r"(?<![\w$])([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)\s*\(")
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
@@ -62,6 +68,11 @@ def return_type(src: str, code: str, begin: int, name: str, close: int, lang: st
         if re.compile(r"\s*(?::[^={]+)?=>").match(code, close + 1):
             return "arrow_function"
         return "function" if re.search(r"\bfunction\b", code[begin:close]) else "method"
+    if lang == "ruby":
+        return "def"
+    if lang in ("php", "swift", "zig"):
+        m = re.compile(r"\s*(?:throws\s*)?(?::|->)?\s*([?!\w\[\]<>.\\ ]*?)\s*\{").match(code, close + 1)
+        return m[1].strip() if m and m[1].strip() else "function" if lang == "php" else "void"
     if lang == "go":
         m = re.compile(r"\s*([A-Za-z_]\w*)\s*\{").match(code, close + 1)
         return m[1] if m else "void"
@@ -135,9 +146,11 @@ def _classes(src: str, code: str, closing: dict, lang: str, at) -> list[tuple]:
     for m in _CLASS[lang].finditer(code):
         g = m.groupdict()
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
-        brace = code.find("{", m.end() - 1) if lang != "python" else -1
+        brace = code.find("{", m.end() - 1) if lang not in ("python", "ruby") else -1
         line, col = at(begin)
-        end = at(closing[brace])[0] if brace in closing else at(max(begin, indented_end(code, begin, m.end() - 1) - 1))[0] if lang == "python" else line
+        end = at(closing[brace])[0] if brace in closing else at(max(begin, indented_end(code, begin, m.end() - 1) - 1))[0] if lang in ("python", "ruby") else line
+        if lang == "ruby" and end < len(lines := code.split("\n")) and lines[end].strip() == "end":
+            end += 1
         rows.append((g.get("kind") or "class", g["n"], line, end, col, "abstract" if g.get("abs") else ""))
         rows += [("extends", g["n"], line, line, col, b) for b in _names(g.get("base"))]
         rows += [("implements", g["n"], line, line, col, b) for b in _names(g.get("impl"))]

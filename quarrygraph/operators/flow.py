@@ -1,4 +1,4 @@
-"""Control-flow graphs of functions in nine languages.
+"""Control-flow graphs of functions in twelve languages.
 
 A function's body is read into a tree of statements: for Python by its own parser, for the others by a recursive walk over
 the lexed code, in which comments are blank and literals are quotes, so brackets and keywords are those of the
@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 
 from ..functions.lexing import Skim, functions_in, language_of, skim
 
-BRACES = ("javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust")
+BRACES = ("javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust", "php", "swift", "zig")
 _WORD = re.compile(r"[A-Za-z_]\w*!?")
-_LOOPS = {"for", "while", "foreach", "loop"}
+_LOOPS = {"for", "while", "foreach", "loop", "repeat"}
 _SWITCHES = {"switch", "match", "select"}
 _ENDS_PATH = {"return", "throw", "raise"}
 _JUMPS = _ENDS_PATH | {"break", "continue", "goto"}
 _GOES_ON = re.compile(r"[-+*/%=&|^<>!?:,.(\[]\s*\Z")
 _LABEL = re.compile(r"(?:case\b[^:]*?(?:::[^:]*?)*|default\s*)(?::(?!:)|->|=>)")
-_NEEDS_NO_SEMICOLON = ("go", "javascript", "typescript")
+_ZIG_HEAD = re.compile(r"\s*(?::\s*\([^{}]*?\))?\s*(?:\|[^|\n]*\|)?")  # what a loop goes on by, and what it catches
+_NEEDS_NO_SEMICOLON = ("go", "javascript", "typescript", "swift")
 
 
 @dataclass
@@ -64,8 +65,10 @@ class _Reader:
     def header(self, i: int, end: int) -> tuple[int, int]:
         """(end of the header that begins at i, begin of the body)."""
         i = self.skip(i, end)
-        if i < end and self.code[i] == "(" and self.lang not in ("go", "rust"):
+        if i < end and self.code[i] == "(" and self.lang not in ("go", "rust", "swift"):
             close = self.closing.get(i, end - 1) + 1
+            if self.lang == "zig" and (m := _ZIG_HEAD.match(self.code, close, end)):
+                close = m.end()
             return close, close
         at = i
         while at < end and self.code[at] != "{":
@@ -176,7 +179,7 @@ class _Reader:
         return end
 
     def cases(self, i: int, end: int) -> list[Statement]:
-        if self.lang == "rust":
+        if self.lang in ("rust", "zig"):
             return self.arms(i, end)
         marks, at = [], i
         while at < end:
@@ -191,7 +194,7 @@ class _Reader:
         for n, (s, e, head) in enumerate(marks):
             stop = marks[n + 1][0] if n + 1 < len(marks) else end
             # the empty case falls through to the next one, as all do that do not jump, but in Go and behind an arrow
-            out.append(Statement("case", s, stop, re.sub(r"\s*(?::|->|=>)\Z", "", self.text(s, e)), self.statements(e, stop), [] if self.lang in ("go", "rust") or head.endswith((">",)) else None))
+            out.append(Statement("case", s, stop, re.sub(r"\s*(?::|->|=>)\Z", "", self.text(s, e)), self.statements(e, stop), [] if self.lang in ("go", "swift") or head.endswith((">",)) else None))
         return out
 
     def arms(self, i: int, end: int) -> list[Statement]:

@@ -66,6 +66,29 @@ def test_exceptions():
     assert {("try", "except ValueError as e", "exception"), ("except ValueError as e", "raise", ""), ("a()", "finally", "")} <= py
 
 
+MORE = [
+    ("php", "<?php\nclass A extends B implements C {\n  // adds\n  public function add(int $a): int {\n    if ($a > 1) {\n      return 1;\n    }\n    foreach ($xs as $x) {\n      g($x);\n    }\n    return 2;\n  }\n}\n", "add", "int", (4, 12), "A", "// adds"),
+    ("swift", "class A: B {\n    /// adds\n    func add(_ a: Int) -> Int {\n        if a > 1 {\n            return 1\n        }\n        for x in xs {\n            g(x)\n        }\n        return 2\n    }\n}\n", "add", "Int", (3, 11), "A", "/// adds"),
+    ("zig", "const A = struct {\n    /// adds\n    pub fn add(a: i32) i32 {\n        if (a > 1) {\n            return 1;\n        }\n        for (xs) |x| {\n            g(x);\n        }\n        return 2;\n    }\n};\n", "add", "i32", (3, 11), "A", "/// adds"),
+    ("ruby", "class A < B\n  # adds\n  def add(a)\n    if a > 1\n      return 1\n    end\n    2\n  end\n\n  def self.size\n    3\n  end\nend\n", "add", "def", (3, 8), "A", "# adds"),
+]
+
+
+@pytest.mark.parametrize("lang,src,name,kind,lines,cls,doc", MORE)
+def test_four_more_languages(lang, src, name, kind, lines, cls, doc):
+    rows = {r[0]: r for r in X.entity_rows(src, lang)}
+    add = rows[name]
+    assert (add[7], (add[3], add[4]), add[6]) == (kind, lines, doc)
+    found = X.parse(src, lang)
+    assert (cls in {r[1] for r in found if r[0] in ("class", "struct")}) and (lang == "zig" or ("extends", cls, "B") in {(r[0], r[1], r[5]) for r in found})
+    if lang == "ruby":
+        assert [r for r in found if r[0] == "class"][0][2:4] == (1, 13) and rows["size"][3:5] == (10, 12)
+        return
+    _, edges = graph(src, lang)
+    test = {"php": "if ($a > 1)", "swift": "if a > 1", "zig": "if (a > 1)"}[lang]
+    assert (test, "return 1", "Yes") in edges and ("return 2", "End", "") in edges and any(c == "Done" and b == "return 2" for _, b, c in edges)
+
+
 def test_levels():
     g, _ = graph("void f(int n) {\n  while (n) {\n    if (n > 2) {\n      a();\n      b();\n    }\n    n--;\n  }\n}\n", "c")
     assert {label: level for (_, _, label, *_), level in zip(g.nodes, g.levels())} == {"Start": 0, "while (n)": 1, "if (n > 2)": 2, "a()": 3, "b()": 4, "n--": 5, "End": 2}
