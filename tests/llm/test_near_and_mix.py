@@ -112,3 +112,13 @@ def test_meetings_against_brute_force(spark, hot):
     crowd = found.filter("rb IS NULL").selectExpr("ra AS rep", "key")
     assert {tuple(x) for x in crowd.collect()} == {(i, k) for k, v in by.items() if len(v) > hot for i in v}
     assert {tuple(x) for x in N._blocks(crowd, hot).collect()} == {(a, b) for v in by.values() if len(v) > hot for a in v for b in v if a < b}
+
+
+def test_ids_may_be_texts(spark, texts):
+    rows = [(f"id{i:05d}", t) for i, t in texts]
+    df = spark.createDataFrame(rows, "id string, source string")
+    members, links = N.similar_pairs(df, hot=2)
+    want = {(f"id{a:05d}", f"id{b:05d}") for a, b in brute(texts, 0.7, 30)}
+    got = {tuple(r) for r in N.all_pairs(members, links).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
+    assert N.groups(members, links).count() == members.count()
