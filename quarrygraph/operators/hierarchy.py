@@ -195,7 +195,8 @@ def _coloured(e: DataFrame) -> DataFrame:
 
 def circles(edges: DataFrame, source: str = "source", target: str = "target", part_edges: int = PART_EDGES) -> DataFrame:
     """node_id, root_id of every node that can reach itself; root_id is the smallest node of its strong component."""
-    e = edges.select(F.col(source).cast("long").alias("u"), F.col(target).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct()
+    kind = dict(edges.dtypes)[source]
+    e = edges.select(F.col(source).alias("u"), F.col(target).cast(kind).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct()
     e = cut(e)
     own = e.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("least"))
     core = e.filter("u <> v")
@@ -215,8 +216,8 @@ def circles(edges: DataFrame, source: str = "source", target: str = "target", pa
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _strong(pdf)
 
-    found = small.groupBy("component").applyInPandas(solve, "node long, least long")
+    found = small.groupBy("component").applyInPandas(solve, f"node {kind}, least {kind}")
     if large.limit(1).count():
-        found = found.unionByName(_coloured(cut(tagged.join(large, "component", "left_semi").select("u", "v"))).select(F.col("node").cast("long"), F.col("least").cast("long")))
+        found = found.unionByName(_coloured(cut(tagged.join(large, "component", "left_semi").select("u", "v"))).select("node", "least"))
     return found.unionByName(own).groupBy(F.col("node").alias("node_id")).agg(F.min("least").alias("root_id"))
 

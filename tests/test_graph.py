@@ -169,3 +169,11 @@ def test_components_beyond_a_chunk(spark, monkeypatch):
     rows = [(i, i + 1) for i in range(60)] + [(100, 101), (None, 3), (5, 5)]
     got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("part_edges", [100_000, 0])
+def test_ids_may_be_texts(spark, part_edges):
+    trees = H.forest(spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x")], "child string, parent string"))
+    assert {(r["node_id"], r["root_id"], r["depth"]) for r in trees.collect()} == {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("x", "x", -1), ("y", "x", -1), ("z", "x", -1)}
+    calls = spark.createDataFrame([("f", "g"), ("g", "h"), ("h", "f"), ("h", "k"), ("m", "m")], "source string, target string")
+    assert {tuple(r) for r in H.circles(calls, part_edges=part_edges).collect()} == {("f", "f"), ("g", "f"), ("h", "f"), ("m", "m")}
